@@ -149,15 +149,19 @@ def with_names(
     )
 
 
-def pipeline_names(events: DataFrame, rules: names.NameRules = names.DEFAULT_RULES) -> DataFrame:
+def labels(representatives: DataFrame, rules: names.NameRules = names.DEFAULT_RULES) -> DataFrame:
     """One row per pipeline: display name, family, kind, group.
 
-    The last aggregate is over unique keys and needs no shuffle; it stops later filters on
-    names from being pushed into, and copied over, the naming steps.
+    The input has one row per pipeline, so the aggregate needs no further shuffle; it stops
+    later filters on names from being pushed into, and copied over, the naming steps.
     """
-    labels = ("name", "family", "kind", "group")
-    return with_names(representative_payload(events), rules).groupBy("pipeline_name").agg(
-        *[F.max(c).alias(c) for c in labels])
+    cols = ("name", "family", "kind", "group")
+    return with_names(representatives, rules).groupBy("pipeline_name").agg(
+        *[F.max(c).alias(c) for c in cols])
+
+
+def pipeline_names(events: DataFrame, rules: names.NameRules = names.DEFAULT_RULES) -> DataFrame:
+    return labels(representative_payload(events), rules)
 
 
 def selector_filters(

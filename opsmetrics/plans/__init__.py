@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("filters", "reports")
+MODULES = ("filters", "reports", "timelines", "catalogs")
 
 
 def load_all() -> None:
