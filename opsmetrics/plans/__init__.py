@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("filters", "reports", "timelines", "catalogs")
+MODULES = ("filters", "reports", "timelines", "catalogs", "alerting")
 
 
 def load_all() -> None:
