@@ -80,10 +80,11 @@ def csv_events(spark: SparkSession, path: str) -> DataFrame:
         return F.nullif(F.trim(F.col(name)), F.lit(""))
 
     def stamp(name: str) -> Column:
-        rfc = F.regexp_replace(filled(name), r"^[A-Za-z]{3},\s*", "")
+        # the mail-date form keeps its wall clock; weekday and zone are cut off
+        mail = F.regexp_extract(filled(name), r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
         return F.coalesce(
             filled(name).try_cast("timestamp_ntz"),
-            F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")).cast("timestamp_ntz"))
+            F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz"))
 
     def flag(name: str) -> Column:
         return F.coalesce(F.lower(F.trim(F.col(name))) == "true", F.lit(False))
