@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("filters", "reports", "timelines", "catalogs", "alerting", "scans")
+MODULES = ("filters", "reports", "timelines", "catalogs", "alerting", "scans", "anomalies")
 
 
 def load_all() -> None:
