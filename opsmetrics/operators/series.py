@@ -48,7 +48,11 @@ def points_of(events: DataFrame) -> DataFrame:
 
 # --- small array helpers ------------------------------------------------------
 def _bind(col: Column, fn) -> Column:
-    """Evaluate `col` once and use it several times inside `fn`."""
+    """Evaluate `col` once per row and use it any number of times inside `fn`.
+
+    A column of its own would not do: once nothing else reads it, the optimizer copies its
+    expression into the lambda, which then evaluates it per element.
+    """
     return F.get(F.transform(F.array(col), fn), 0)
 
 
@@ -149,32 +153,36 @@ def with_period(series: DataFrame, opts: CurveOptions = CurveOptions()) -> DataF
     """ts_acf_period: lag of the strongest local autocorrelation peak above `acf_min`, with
     room for `min_periods` cycles; null when there is none."""
     n = F.col("n_grid")
-    centred = _bind(_mean_of(F.col("vals")), lambda m: F.transform("vals", lambda x: x - m))
+    max_lag = F.floor(n / opts.min_periods).cast("int")
+    lags = F.sequence(F.lit(1), F.least(max_lag + 1, n - 1))
 
-    def dot(lag: Column) -> Column:
+    def dot(x: Column, lag: Column) -> Column:
         pairs = F.zip_with(
-            F.slice(F.col("_x"), F.lit(1), n - lag), F.slice(F.col("_x"), lag + 1, n - lag),
-            lambda a, b: a * b)
-        return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+            F.slice(x, F.lit(1), n - lag), F.slice(x, lag + 1, n - lag), lambda a, b: a * b)
+        return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p)
 
-    max_lag = F.floor(n / opts.min_periods).cast("int")
-    lags = F.sequence(F.lit(1), F.least(max_lag + 1, n - 1))
-    acf = F.transform(lags, lambda lag: dot(lag) / F.col("_power"))
-    at = lambda lag: F.get(F.col("_acf"), lag - 1)
-    peaks = F.transform(
-        F.filter(F.sequence(F.lit(2), max_lag), lambda lag: (
+    def highest_peak(acf: Column) -> Column:
+        def at(lag: Column) -> Column:
+            return F.get(acf, lag - 1)
+
+        peaks = F.filter(F.sequence(F.lit(2), max_lag), lambda lag: (
             (at(lag) > opts.acf_min) & (at(lag) >= at(lag - 1))
-            & (at(lag) >= F.coalesce(at(lag + 1), F.lit(-1.0))))),
-        lambda lag: F.struct(at(lag).alias("height"), (-lag).alias("back")))
-    usable = (n >= 2 * opts.min_periods) & (F.col("_power") > 0) & (max_lag >= 2)
+            & (at(lag) >= F.coalesce(at(lag + 1), F.lit(-1.0)))))
+        return F.array_max(F.transform(
+            peaks, lambda lag: F.struct(at(lag).alias("height"), (-lag).alias("back"))))
+
+    def peak_of(x: Column) -> Column:
+        power = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
+        return _bind(power, lambda total: F.when(total > 0, _bind(
+            F.transform(lags, lambda lag: dot(x, lag) / total), highest_peak)))
+
+    centred = _bind(_mean_of(F.col("vals")), lambda m: F.transform("vals", lambda x: x - m))
+    peak = F.when((n >= 2 * opts.min_periods) & (max_lag >= 2), _bind(centred, peak_of))
     return (
-        series.withColumn("_x", centred)
-        .withColumn("_power", F.aggregate("_x", F.lit(0.0), lambda s, x: s + x * x))
-        .withColumn("_acf", F.when(usable, acf))
-        .withColumn("_peak", F.when(usable, F.array_max(peaks)))
+        series.withColumn("_peak", peak)
         .withColumn("period", -F.col("_peak.back"))
         .withColumn("acf", F.col("_peak.height"))
-        .drop("_x", "_power", "_acf", "_peak")
+        .drop("_peak")
     )
 
 
@@ -207,12 +215,9 @@ def with_trend(series: DataFrame) -> DataFrame:
     n = F.col("n_grid")
     width = F.greatest(F.lit(5), F.floor(n / 8).cast("int"))
     half = F.floor(F.when(width % 2 == 0, width + 1).otherwise(width) / 2).cast("int")
-    return (
-        series.withColumn("_half", half)
-        .withColumn("_med", _rolling(F.col("vals"), F.col("_half"), n, _median_of))
-        .withColumn("trend", _rolling(F.col("_med"), F.col("_half"), n, _mean_of))
-        .drop("_half", "_med")
-    )
+    trend = _bind(half, lambda h: _bind(
+        _rolling(F.col("vals"), h, n, _median_of), lambda med: _rolling(med, h, n, _mean_of)))
+    return series.withColumn("trend", trend)
 
 
 STL_RESULT = T.StructType([
@@ -287,8 +292,9 @@ def baseline_curve(
         .withColumn("resid", resid)
         .withColumn("sigma_overall", robust_sd_of(F.col("resid")))
         .withColumn("by_phase", F.when(season, phase_sigma(F.col("resid"), F.col("period"), opts)))
-        .withColumn("sigma", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(
-            season, F.get(F.col("by_phase"), F.pmod(i, F.col("period").cast("int")))).otherwise(F.col("sigma_overall"))))
+        .withColumn("sigma", F.when(season, _bind(F.col("by_phase"), lambda s: F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.get(s, F.pmod(i, F.col("period").cast("int")))))
+        ).otherwise(F.array_repeat(F.col("sigma_overall"), n)))
         .withColumn("sigma_latest", F.when(season, F.get(F.col("by_phase"), last_phase)).otherwise(F.col("sigma_overall")))
         .withColumn("period_label", F.when(season, label))
         .withColumn("basis", F.when(season, F.concat(F.lit("seasonal "), label)).otherwise("smooth trend"))
@@ -307,7 +313,7 @@ def trend_baseline(points: DataFrame, opts: CurveOptions = CurveOptions()) -> Da
         with_trend(as_arrays(grid)).withColumn("resid", resid)
         .withColumn("sigma_overall", robust_sd_of(F.col("resid")))
         .withColumn("expected", F.col("trend"))
-        .withColumn("sigma", F.transform("trend", lambda _t: F.col("sigma_overall")))
+        .withColumn("sigma", F.array_repeat("sigma_overall", F.col("n_grid")))
     )
 
 
