@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from opsmetrics.functions import clock, names, text
 from opsmetrics.operators import filters, series
-from opsmetrics.operators.exact import first_per_key, median_and_mad, value_counts
+from opsmetrics.operators.exact import (
+    first_per_key, is_bounded, median_and_mad, value_counts,
+)
 from opsmetrics.operators.series import KEYS, CurveOptions
+from opsmetrics.session import stage
 
 SENSITIVITY_GRID = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0)
 MAD_TO_SD = 0.6745
@@ -69,8 +72,9 @@ def baseline_points(points: DataFrame, latest: DataFrame) -> DataFrame:
 
 def baseline_stats(baseline: DataFrame, min_points: int = 8) -> DataFrame:
     """agg_median_mad: exact median and MAD per metric, from one set of value counts."""
-    counts = value_counts(baseline, ["metric_name"], "metric_value")
-    stats = median_and_mad(counts, ["metric_name"], "metric_value")
+    counts = stage(value_counts(baseline, ["metric_name"], "metric_value"), "counts")
+    stats = median_and_mad(
+        counts, ["metric_name"], "metric_value", bounded=is_bounded(counts, ["metric_name"]))
     n = counts.groupBy("metric_name").agg(F.sum("w").alias("n"))
     return stats.join(n.where(F.col("n") >= min_points), "metric_name")
 
@@ -154,26 +158,27 @@ def _first_gates(opts: AnomalyOptions) -> Column:
     )
 
 
-def labelled_series(events: DataFrame, now: datetime, opts: AnomalyOptions) -> DataFrame:
-    """Series with their counts, label, family and group, and the gates that need no median.
+def gated_series(points: DataFrame, opts: AnomalyOptions) -> DataFrame:
+    """Series with their counts, label, and the gates that need no median.
 
     anom_generic_label: a metric of several pipelines is labelled `pipeline.metric`.
     """
-    rows = _window_rows(events, now, opts)
-    stats = series_stats(scored_points(events, now, opts), opts)
+    stats = series_stats(points, opts)
     shared = stats.groupBy("metric_name").agg(F.count(F.lit(1)).alias("n_pipelines"))
-    labels = filters.pipeline_names(rows, opts.rules).select("pipeline_name", "family", "group")
-    out = (
-        stats.join(shared, "metric_name").join(labels, "pipeline_name", "left")
+    return (
+        stats.join(shared, "metric_name")
         .withColumn("metric", F.when(
             (F.col("pipeline_name") != "") & (F.col("n_pipelines") > 1),
             F.concat_ws(".", "pipeline_name", "metric_name")).otherwise(F.col("metric_name")))
         .withColumn("reason", _first_gates(opts))
     )
+
+
+def _selected(rows: DataFrame, opts: AnomalyOptions) -> DataFrame:
     for column, value in (("group", opts.group), ("family", opts.family), ("pipeline_name", opts.pipeline)):
         if value:
-            out = out.where(F.col(column) == value)
-    return out
+            rows = rows.where(F.col(column) == value)
+    return rows
 
 
 def _baseline_counts(points: DataFrame, eligible: DataFrame, opts: AnomalyOptions) -> DataFrame:
@@ -194,11 +199,17 @@ def score(events: DataFrame, now: datetime, opts: AnomalyOptions = AnomalyOption
 
     Point mode scores the newest value; range mode the mean over [agg_start, agg_end] against
     the points before it. No series is lost on the way.
+
+    The events are read twice: once for the narrow points of the window, once for the payloads
+    that name the pipelines. All later passes read the staged points or one row per series.
     """
-    points = scored_points(events, now, opts)
-    listed = labelled_series(events, now, opts)
+    points = stage(scored_points(events, now, opts), "points")
+    labels = filters.pipeline_names(_window_rows(events, now, opts), opts.rules)
+    labels = labels.select(F.coalesce("pipeline_name", F.lit("")).alias("pipeline_name"), "family", "group")
+    listed = stage(_selected(gated_series(points, opts).join(labels, "pipeline_name", "left"), opts), "series")
     eligible = listed.where(F.col("reason").isNull())
-    stats = median_and_mad(_baseline_counts(points, eligible, opts), KEYS, "value")
+    counts = stage(_baseline_counts(points, eligible, opts), "counts")
+    stats = median_and_mad(counts, KEYS, "value", bounded=is_bounded(counts, KEYS))
 
     kept = points.join(eligible.select(*KEYS), KEYS, "left_semi")
     curve = series.baseline_curve(kept, opts.curve)

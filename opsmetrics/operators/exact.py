@@ -18,6 +18,14 @@ from opsmetrics.functions.clock import slice_of
 _TOP = 4096  # upper 12 mantissa bits
 _MID = 1 << 20  # next 20 bits; the remaining 20 bits bound the last step to 2^20 values
 _LARGEST = 1.7976931348623157e308
+BOUNDED_ROWS = 1 << 20  # a group of at most this many rows may be handled by one task
+
+
+def is_bounded(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether no group has more than `BOUNDED_ROWS` rows: a size check, one number to the
+    driver. Meant for a staged table, where it is a cheap scan."""
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return (largest or 0) <= BOUNDED_ROWS
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str = "w") -> DataFrame:
@@ -58,9 +66,13 @@ def _match(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def weighted_median(
-    counts: DataFrame, keys: Sequence[str], value: str, weight: str = "w", out: str = "median"
+    counts: DataFrame, keys: Sequence[str], value: str, weight: str = "w", out: str = "median",
+    bounded: bool = False,
 ) -> DataFrame:
-    """Exact median per `keys` from (keys, value, weight) rows, by radix selection.
+    """Exact median per `keys` from (keys, value, weight) rows.
+
+    `bounded` (see `is_bounded`) says that every group is small enough for the built-in
+    percentile; otherwise it is found by radix selection.
 
     Each pass histograms the candidates on a coarser-to-finer slice of the double's bits and
     keeps only the slice that holds the wanted rank: at most 2^12 per exponent, then 2^20,
@@ -68,6 +80,9 @@ def weighted_median(
     `value_counts` is one exchange that all passes reuse.
     """
     keys = list(keys)
+    if bounded:
+        return counts.where(F.col(weight) > 0).groupBy(*keys).agg(
+            F.percentile(value, F.lit(0.5), F.col(weight)).alias(out))
     rows = counts.where(F.col(weight) > 0).select(
         *keys, F.col(value).cast("double").alias("_v"), F.col(weight).alias("_w"))
     coarse, fine = _radix(F.col("_v"))
@@ -108,10 +123,12 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
     return weighted_median(value_counts(df, keys, value), keys, value, out=out)
 
 
-def median_and_mad(counts: DataFrame, keys: Sequence[str], value: str, weight: str = "w") -> DataFrame:
+def median_and_mad(
+    counts: DataFrame, keys: Sequence[str], value: str, weight: str = "w", bounded: bool = False
+) -> DataFrame:
     """(keys, median, mad): both exact, both from the same value counts."""
     keys = list(keys)
-    med = weighted_median(counts, keys, value, weight)
+    med = weighted_median(counts, keys, value, weight, bounded=bounded)
     # one row per group; AQE broadcasts it when small and splits hot keys when not
     spread = (
         _match(counts, med, keys)
@@ -119,7 +136,7 @@ def median_and_mad(counts: DataFrame, keys: Sequence[str], value: str, weight: s
         .groupBy(*keys, "_dev")
         .agg(F.sum(weight).alias(weight))
     )
-    mad = weighted_median(spread, keys, "_dev", weight, out="mad")
+    mad = weighted_median(spread, keys, "_dev", weight, out="mad", bounded=bounded)
     return med.join(mad, keys)
 
 
@@ -131,13 +148,16 @@ def previous_value(
     value: str,
     out: str = "previous",
     chunk_seconds: int = 60,
+    bounded: bool = False,
 ) -> DataFrame:
-    """`lag(value)` over (keys order by time, tie) without sorting a group in one task.
+    """`lag(value)` over (keys order by time, tie) without sorting a large group in one task.
 
     Rows are ordered inside (keys, minute) chunks. Only one row per chunk (its last value)
     goes through the per-group window, and only the first row of a chunk needs it.
     """
     keys = list(keys)
+    if bounded:
+        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(time, tie)))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(time, tie)
     marked = (
         df.withColumn("_chunk", slice_of(F.col(time), chunk_seconds))

@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 from opsmetrics.functions import clock, text
 from opsmetrics.functions.stl import decompose
 from opsmetrics.operators.exact import (
-    exact_median, median_and_mad, previous_value, value_counts,
+    is_bounded, median_and_mad, previous_value, value_counts, weighted_median,
 )
-from opsmetrics.session import ship_package
+from opsmetrics.session import ship_package, stage
 
 KEYS = ["metric_name", "pipeline_name"]
 CONFIDENCE_BANDS = (("90%", 1.645), ("95%", 1.960))
@@ -36,6 +36,7 @@ class CurveOptions:
     sigma_floor: float = 0.5
     max_grid: int = 720
     render_points: int = 120
+    seasonal: bool = True
 
 
 def points_of(events: DataFrame) -> DataFrame:
@@ -76,7 +77,8 @@ def robust_sd_of(arr: Column) -> Column:
 
 def robust_sd(df: DataFrame, keys: Sequence[str], value: str, out: str = "sd") -> DataFrame:
     """robust_sd over the rows of a group of any size."""
-    stats = median_and_mad(value_counts(df, keys, value), keys, value)
+    counts = stage(value_counts(df, keys, value), "counts")
+    stats = median_and_mad(counts, keys, value, bounded=is_bounded(counts, keys))
     spread = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"))
     return stats.join(spread, list(keys)).withColumn(
         out, F.when(F.col("mad") > 0, F.col("mad") / 0.6745).when(F.col("_sd") > 0, F.col("_sd"))
@@ -84,7 +86,9 @@ def robust_sd(df: DataFrame, keys: Sequence[str], value: str, out: str = "sd") -
 
 
 # --- even grid ------------------------------------------------------------------
-def geometry(distinct_points: DataFrame, opts: CurveOptions = CurveOptions()) -> DataFrame:
+def geometry(
+    distinct_points: DataFrame, opts: CurveOptions = CurveOptions(), bounded: bool = False
+) -> DataFrame:
     """Grid step and origin per series: the median gap, but never finer than span / max_grid.
 
     Cells are counted from midnight of the first day. Integer nanoseconds keep cell edges
@@ -94,9 +98,9 @@ def geometry(distinct_points: DataFrame, opts: CurveOptions = CurveOptions()) ->
     timed = distinct_points.select(*KEYS, "occurred_at", us.alias("us"))
     spans = timed.groupBy(*KEYS).agg(
         F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n_times"))
-    gaps = previous_value(timed, KEYS, "occurred_at", "us", "us", out="before").withColumn(
+    gaps = previous_value(timed, KEYS, "occurred_at", "us", "us", out="before", bounded=bounded).withColumn(
         "gap", (F.col("us") - F.col("before")).cast("double"))
-    med = exact_median(gaps, KEYS, "gap", out="gap_us")
+    med = weighted_median(value_counts(gaps, KEYS, "gap"), KEYS, "gap", out="gap_us", bounded=bounded)
     step = F.greatest(
         F.round(F.col("gap_us") * 1000, 0),
         F.round((F.col("last_us") - F.col("first_us")) * 1000 / F.lit(opts.max_grid), 0)).cast("bigint")
@@ -116,9 +120,14 @@ GEOMETRY = ("first_us", "last_us", "step_ns", "origin_ns")
 
 
 def resample_even(points: DataFrame, opts: CurveOptions = CurveOptions()) -> DataFrame:
-    """ts_resample_even: one row per series and grid cell, gaps filled linearly."""
-    distinct = points.groupBy(*KEYS, "occurred_at").agg(F.avg("value").alias("value"))
-    located = distinct.join(geometry(distinct, opts), KEYS)
+    """ts_resample_even: one row per series and grid cell, gaps filled linearly.
+
+    The points (time and value only) and the step per series are staged: three passes read
+    them.
+    """
+    distinct = stage(points.groupBy(*KEYS, "occurred_at").agg(F.avg("value").alias("value")), "points")
+    shape = geometry(distinct, opts, is_bounded(distinct, KEYS))
+    located = distinct.join(stage(shape, "geometry"), KEYS)
     cells = (
         located.withColumn("_ns", clock.epoch_us(F.col("occurred_at")) * 1000 - F.col("origin_ns"))
         .groupBy(*KEYS, F.expr("_ns div step_ns").alias("idx"))
@@ -196,7 +205,8 @@ def with_seasonal_gate(series: DataFrame, opts: CurveOptions = CurveOptions()) -
         & (F.col("n_grid") >= opts.min_periods * F.col("period"))
         & (F.col("n_cycles") >= opts.min_periods) & (per_cycle >= opts.pts_per_cycle)
     )
-    return series.withColumn("n_cycles", cycles).withColumn("seasonal", F.coalesce(ok, F.lit(False)))
+    return series.withColumn("n_cycles", cycles).withColumn(
+        "seasonal", F.lit(opts.seasonal) & F.coalesce(ok, F.lit(False)))
 
 
 # --- baselines ---------------------------------------------------------------------
@@ -250,9 +260,9 @@ def phase_sigma(resid: Column, period: Column, opts: CurveOptions = CurveOptions
     around the cycle and never below `sigma_floor` times the overall spread."""
     p = period.cast("int")
 
-    def build(overall: Column) -> Column:
+    def build(values: Column, overall: Column) -> Column:
         own = F.transform(F.sequence(F.lit(0), p - 1), lambda ph: _bind(
-            F.filter(resid, lambda _r, i: i % p == ph),
+            F.filter(values, lambda _r, i: i % p == ph),
             lambda r: F.when(F.size(r) >= 3, robust_sd_of(r)).otherwise(overall)))
         k = F.least(F.greatest(F.lit(1), F.floor(p / 12).cast("int")), F.floor(p / 2).cast("int"))
         ring = _bind(own, lambda s: F.transform(F.sequence(F.lit(0), p - 1), lambda ph: _mean_of(
@@ -260,7 +270,7 @@ def phase_sigma(resid: Column, period: Column, opts: CurveOptions = CurveOptions
         smooth = F.when((k < 1) | (p <= 2), own).otherwise(ring)
         return F.transform(smooth, lambda s: F.greatest(s, overall * opts.sigma_floor))
 
-    return _bind(robust_sd_of(resid), build)
+    return _bind(resid, lambda r: _bind(robust_sd_of(r), lambda overall: build(r, overall)))
 
 
 def baseline_curve(

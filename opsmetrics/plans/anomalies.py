@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from opsmetrics.operators import anomaly, series
 from opsmetrics.operators.anomaly import AnomalyOptions
-from opsmetrics.operators.series import KEYS
+from opsmetrics.operators.series import KEYS, CurveOptions
 from opsmetrics.plans.common import hidden_sql, identity_sql, representative_sql, rounded
 from opsmetrics.plans.fixtures import CY, ME, NOW, PNOW, PROD, anchor, cycle_events, metric_events, prod_events
 from opsmetrics.plans.registry import query
@@ -178,12 +178,12 @@ def conf_point_scores(spark, sf):
 THIN = f"""
 th AS (SELECT DISTINCT {K}, CAST(round_even(k * ((n_grid - 1) / (least(n_grid, 120) - 1)), 0) AS INTEGER) AS idx
   FROM nn JOIN np USING ({K}), LATERAL (SELECT unnest(range(least(n_grid, 120))) AS k) WHERE n_points >= 16),
-tk AS (SELECT th.metric_name, th.pipeline_name, th.idx, expected, sigma_overall, make_timestamp((origin_ns + th.idx * step_ns) // 1000) AS at
+tk AS (SELECT th.metric_name, th.pipeline_name, th.idx, expected, sigma_overall, make_timestamp((origin_ns + th.idx * step_ns) // 1000) AS "at"
   FROM th JOIN tr USING ({K}, idx) JOIN sg USING ({K}) JOIN geo USING ({K}))"""
 
 
 @query("thin_evenly", f"""
-WITH {CYP}, {GRID}, {TREND}, {THIN} SELECT {K}, idx, at, round(expected, 4) AS expected FROM tk""")
+WITH {CYP}, {GRID}, {TREND}, {THIN} SELECT {K}, idx, "at", round(expected, 4) AS expected FROM tk""")
 def thin_evenly(spark, sf):
     return rounded(series.thin_evenly(series.trend_baseline(_cycle_points(spark, sf))), "expected").select(
         *KEYS, "idx", "at", "expected")
@@ -317,11 +317,17 @@ def anom_point(spark, sf):
     return _shown(_score(spark, sf))
 
 
-@query("anom_range", f"WITH {ME}, {PROD}, {PNOW}, {scored_sql('range')} SELECT {SCORED_COLS} FROM sd")
+@query("anom_range")
 def anom_range(spark, sf):
+    """With seasonal baselines, which SQL cannot express; see anom_range_smooth."""
     return _shown(_score(spark, sf, over_last_day=True))
 
 
+@query("anom_range_smooth", f"WITH {ME}, {PROD}, {PNOW}, {scored_sql('range')} SELECT {SCORED_COLS} FROM sd")
+def anom_range_smooth(spark, sf):
+    return _shown(_score(spark, sf, over_last_day=True, curve=CurveOptions(seasonal=False)))
+
+
 @query("anom_gates", f"WITH {ME}, {PROD}, {PNOW}, {scored_sql()} SELECT metric_name, pipeline_name, metric, reason, n FROM sd WHERE NOT scored")
 def anom_gates(spark, sf):
     return anomaly.gates(_score(spark, sf)).drop("reason_text")
@@ -330,7 +336,8 @@ def anom_gates(spark, sf):
 @query("anom_generic_label", f"WITH {ME}, {PROD}, {PNOW}, {scored_sql()} SELECT metric_name, pipeline_name, metric FROM sd")
 def anom_generic_label(spark, sf):
     events = prod_events(spark, sf)
-    return anomaly.labelled_series(events, anchor(events), AnomalyOptions()).select(*KEYS, "metric")
+    opts = AnomalyOptions()
+    return anomaly.gated_series(anomaly.scored_points(events, anchor(events), opts), opts).select(*KEYS, "metric")
 
 
 @query("topk_anomalies", f"""

@@ -40,7 +40,7 @@ CYCLE_EVENTS = """
 SELECT CAST(event_id AS STRING) AS event_key,
   concat('pipe', CAST(user_id % 3 AS STRING)) AS pipeline_name,
   concat('ingest.web.', event_type, '.rows') AS metric_name,
-  1000 + value + 150 * sin(hour(ts) * 0.2617993877991494) AS metric_value,
+  1000 + value + 150 * sin(hour(ts) * CAST(0.2617993877991494 AS DOUBLE) + minute(ts) * CAST(0.0043633231299858 AS DOUBLE)) AS metric_value,
   'info' AS severity, CAST(NULL AS STRING) AS run_id, CAST(NULL AS STRING) AS payload,
   ts AS occurred_at, FALSE AS is_alert, FALSE AS sent,
   CAST(NULL AS TIMESTAMP) AS sent_at, 'prod' AS environment
