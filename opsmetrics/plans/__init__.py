@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("filters", "reports", "timelines", "catalogs", "alerting", "scans", "anomalies")
+MODULES = (
+    "filters", "reports", "timelines", "catalogs", "alerting", "scans", "anomalies", "scalars", "streams",
+)
 
 
 def load_all() -> None:

@@ -20,6 +20,8 @@ RUNTIME_CONF = {
     # row_number() <= k is cut to k rows per group before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
     "spark.sql.parquet.aggregatePushdown": "true",
+    # sessions are merged before the shuffle, so a busy key does not send its rows
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 # No Python call site per column expression: building a large plan takes half the time.
 BUILD_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
