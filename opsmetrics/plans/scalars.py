@@ -138,12 +138,12 @@ def fn_math(spark, sf):
 
 @query("fn_array", """
 SELECT o_custkey, array_to_string(list_sort(list_distinct(array_agg(o_orderpriority))), '|') AS priorities,
-  coalesce(array_to_string(list_sort(list_distinct(array_agg(o_orderkey) FILTER (o_orderstatus = 'F'))), '|'), '') AS failed FROM orders GROUP BY 1""")
+  coalesce(array_to_string(list_sort(list_distinct(array_agg(month(o_orderdate)) FILTER (o_orderstatus = 'F'))), '|'), '') AS failed_months FROM orders GROUP BY 1""")
 def fn_array(spark, sf):
-    failed = F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))
+    failed = F.when(F.col("o_orderstatus") == "F", F.month("o_orderdate"))
     return table(spark, sf, "orders").groupBy("o_custkey").agg(
         F.array_join(F.sort_array(F.collect_set("o_orderpriority")), "|").alias("priorities"),
-        F.array_join(F.sort_array(F.array_compact(F.collect_set(failed))), "|").alias("failed"))
+        F.array_join(F.sort_array(F.array_compact(F.collect_set(failed))), "|").alias("failed_months"))
 
 
 @query("fn_enum", f"""
