@@ -52,13 +52,16 @@ def loess(y: np.ndarray, span: int, weights: np.ndarray, before: int = 0) -> np.
     at, nearby, base = _neighbourhood(n, span, before)
     w = base * weights[..., nearby]
     total = w.sum(axis=-1, keepdims=True)
-    w = np.where(total > 0, w / np.where(total > 0, total, 1.0), 1.0 / nearby.shape[1])
+    seen = total[..., 0] > 0
+    w = w / np.where(total > 0, total, 1.0)
     centre = (w * nearby).sum(axis=-1)
     spread = (w * (nearby - centre[..., None]) ** 2).sum(axis=-1)
     sloped = np.sqrt(spread) > 0.001 * (n - 1)
     tilt = np.where(sloped, (at - centre) / np.where(sloped, spread, 1.0), 0.0)
     w = w * (1.0 + tilt[..., None] * (nearby - centre[..., None]))
-    return (w * y[..., nearby]).sum(axis=-1)
+    fitted = (w * y[..., nearby]).sum(axis=-1)
+    # where every neighbour has lost its weight, the value itself stands
+    return np.where(seen, fitted, y[..., np.clip(at, 0, n - 1).astype(int)])
 
 
 def _moving_average(x: np.ndarray, width: int) -> np.ndarray:

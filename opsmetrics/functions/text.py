@@ -40,8 +40,11 @@ def strip_dates(col: Column, limit: int = 1000) -> Column:
 
 
 def _fixed(value: Column, digits: int, grouping: bool) -> Column:
-    # DecimalFormat rounds the exact binary value half-even, like the % operator of C
-    out = F.format_number(value, digits)
+    # DecimalFormat rounds the exact binary value half-even, like the % operator of C; only a
+    # value that is all below the last digit is not seen exactly
+    out = F.when(
+        F.abs(value) == 0.5 * 10.0**-digits, F.format_string(f"%.{digits}f", value)
+    ).otherwise(F.format_number(value, digits))
     return out if grouping else F.replace(out, F.lit(","), F.lit(""))
 
 
