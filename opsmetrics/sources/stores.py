@@ -45,9 +45,11 @@ def new_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 def insert_ignore(batch: DataFrame, path: str) -> None:
     """Append only what is new. Rows with a key already in `path` are left out."""
-    spark = batch.sparkSession
-    stored = spark.read.parquet(path)
-    with_run_date(new_rows(batch, stored)).write.mode("append").partitionBy("run_date").parquet(path)
+    stored = batch.sparkSession.read.parquet(path)
+    (
+        with_run_date(new_rows(batch, stored)).repartitionByRange("run_date", "occurred_at")
+        .write.mode("append").partitionBy("run_date").parquet(path)
+    )
 
 
 def upsert_latest(
@@ -89,8 +91,9 @@ def sync_status(runs: DataFrame) -> DataFrame:
     return runs.groupBy("job_status").agg(F.count(F.lit(1)).alias("n")).withColumn("newest", newest)
 
 
-def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
-    """Replace only the partitions `df` has rows for.
+def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str], spread: Sequence[str]) -> None:
+    """Replace only the partitions `df` has rows for. Ranges on `by` and `spread` cut a large
+    partition into several tasks and files.
 
     The rows are staged first: a plan that reads `path` never overwrites it while it runs, and
     a lost executor recomputes from data that is still there.
@@ -100,7 +103,7 @@ def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.write.parquet(staged)
     (
         spark.read.schema(df.schema).parquet(staged)
-        .repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .repartitionByRange(*by, *spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by).parquet(path)
     )
 
@@ -108,7 +111,8 @@ def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
 def write_rollup(rollup: DataFrame, path: str) -> None:
     """sink_idempotent_rollup: recomputed whole days overwrite by key."""
     overwrite_partitions(
-        rollup.withColumn("date", clock.run_date_key(F.col("hour"))), path, ["environment", "date"])
+        rollup.withColumn("date", clock.run_date_key(F.col("hour"))), path,
+        ["environment", "date"], ["pipeline_name", "hour"])
 
 
 def manifest_new(listed: DataFrame, manifest: DataFrame) -> DataFrame:
