@@ -7,6 +7,7 @@ them, and the batch rollup of whole days repairs them exactly.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,8 +83,22 @@ def run_sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 # --- runners -------------------------------------------------------------------------
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None):
+    """State partitions are fixed when a query first starts, so they are sized by the cluster's
+    cores (or `n`) instead of the session's batch default."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_to_table(
-    rows: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ()
+    rows: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = (),
+    partitions: int | None = None,
 ) -> None:
     """Drain what is there (availableNow) into a parquet table. The checkpoint makes a rerun
     continue where the last one stopped."""
@@ -91,7 +106,9 @@ def run_to_table(
         "checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.start().awaitTermination()
+    with state_partitions(rows.sparkSession, partitions):
+        query = writer.start()
+    query.awaitTermination()
 
 
 def run_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
