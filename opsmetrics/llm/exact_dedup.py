@@ -15,10 +15,9 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from opsmetrics.session import stage
 
@@ -98,15 +97,11 @@ def add_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
         groups.withColumnRenamed("keep_id", "own_id")
         .join(index.plain_rows(), "digest")
         .select("digest", "keep_id", "own_id", "group_size"), "decided")
-    joined = rows.join(decided, "digest").withColumn(
-        "is_first", F.col("id").eqNullSafe(F.col("keep_id")) & F.col("own_id").eqNullSafe(F.col("keep_id")))
-    return joined.withColumn("kept", F.col("is_first") & (_copy_number() == 1)).select(
-        "id", "digest", "keep_id", "group_size", "kept", "row")
-
-
-def _copy_number() -> Column:
-    """1 for one of the rows that repeat both id and text, 2 and so on for the others."""
-    return F.row_number().over(Window.partitionBy("id", "digest").orderBy("row"))
+    # before the join, where no row needs its whole group: a hot digest stays splittable
+    numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "digest").orderBy("row")))
+    stays = F.col("id").eqNullSafe(F.col("keep_id")) & F.col("own_id").eqNullSafe(F.col("keep_id"))
+    return numbered.join(decided, "digest").select(
+        "id", "digest", "keep_id", "group_size", (stays & (F.col("copy") == 1)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
