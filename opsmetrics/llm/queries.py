@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsmetrics.llm import chat_format, exact_dedup, mixing, simhash_dedup, url_filter
+from opsmetrics.llm import chat_format, exact_dedup, mixing, simhash_dedup, url_filter, warc
 from opsmetrics.session import configure, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,22 @@ URL_RULES = tuple(url_filter.Rule(action, target) for action, target in (
 ))
 
 
+@query("op2_warc_archives", sql="""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages)
+    SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest,
+           CASE WHEN n >= 100 AND page_id > min(page_id) OVER g THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 100 AND page_id > min(page_id) OVER g THEN min(page_id) OVER g END AS refers_to
+    FROM p WINDOW g AS (PARTITION BY t)
+""")
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(warc.chunk_rows(warc.records(read(spark, sf_dir, "pages"))))
+    ends = warc.read_archives(manifest).where("is_last")
+    return ends.select(
+        F.col("record_id").alias("page_id"),
+        (F.col("offset") + F.octet_length("data")).alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 TRICKY_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
