@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsmetrics.llm import chat_format, exact_dedup, mixing, simhash_dedup, url_filter, warc
+from opsmetrics.llm import chat_format, exact_dedup, language_id, mixing, quality, simhash_dedup, url_filter, warc
 from opsmetrics.session import configure, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,19 @@ URL_RULES = tuple(url_filter.Rule(action, target) for action, target in (
 ))
 
 
+def id_bucket(col: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n: which rows are held out."""
+    return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs, may_learn=id_bucket("doc_id", 4) != 2)
+    return language_id.predict(docs, model).select(
+        F.col("id").alias("doc_id"), (id_bucket("id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @query("op2_warc_archives", sql="""
     WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages)
     SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest,
@@ -96,6 +109,18 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+GOOD_FROM = 0.3
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), may_learn=id_bucket("doc_id", 5) != 0)
+    return quality.score(docs, model).select(
+        F.col("id").alias("doc_id"), (id_bucket("id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 @query("op10_exact_dedup", sql=r"""
     SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
            doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
