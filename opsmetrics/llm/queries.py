@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsmetrics.llm import chat_format, exact_dedup, language_id, mixing, quality, simhash_dedup, url_filter, warc
+from opsmetrics.llm import chat_format, exact_dedup, language_id, mixing, packing, quality, simhash_dedup, url_filter, warc
 from opsmetrics.session import configure, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +95,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
 
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER, capacity=4096, end_id=1)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 @query("op6_source_mix")
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), total_ratio=1.5, cap=2.0)
