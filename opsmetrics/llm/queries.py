@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsmetrics.llm import chat_format, exact_dedup, language_id, mixing, packing, quality, simhash_dedup, url_filter, warc
+from opsmetrics.llm import chat_format, exact_dedup, language_id, mixing, order_minhash, packing, quality, simhash_dedup, url_filter, warc
 from opsmetrics.session import configure, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,15 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op8_order_minhash")
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.fingerprint_edits(read(spark, sf_dir, "documents"), share=4)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
+        order_minhash.fingerprint_text(F.col("fp")).alias("fingerprint"),
+        order_minhash.fingerprint_text(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 GOOD_FROM = 0.3
 
 
