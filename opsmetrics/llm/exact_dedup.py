@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opsmetrics.llm.boxes import boxed, unboxed
 from opsmetrics.session import stage
 
 WHITE_SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -107,8 +108,8 @@ def add_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
 def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, all columns as they are."""
     kept = add_batch(docs, index, id_col, text_col).where("kept").select(
-        F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
-    keyed = docs.withColumn("_digest", text_digest(F.col(text_col))).join(
-        kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
-    again = Window.partitionBy(id_col, "_digest").orderBy(F.lit(1))
-    return keyed.withColumn("_copy", F.row_number().over(again)).where("_copy = 1").select(*docs.columns)
+        F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    rows = boxed(docs, id=F.col(id_col), digest=text_digest(F.col(text_col)))
+    same = rows["id"].eqNullSafe(kept["kept_id"]) & (rows["digest"] == kept["kept_digest"])
+    again = Window.partitionBy("id", "digest").orderBy(F.lit(1))
+    return unboxed(rows.join(kept, same, "left_semi").withColumn("copy", F.row_number().over(again)).where("copy = 1"))

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsmetrics.llm.boxes import boxed, unboxed
 from opsmetrics.session import ship_package, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +31,10 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], total_ratio: float, cap: float) -> DataFrame:
     """(source, source_id, source_size, target) from (source, source_size) rows.
 
@@ -140,7 +145,7 @@ def plan_mix(
     text = F.col(text_col)
     rows = stage(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
-        F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"),
+        _text_key(text).alias("text_key"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("order")), "sizes")
     counted = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     per_source = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -171,19 +176,15 @@ def plan_mix(
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: each row of `docs` as often as the plan takes it, all columns as they are."""
-    key = ("_id", "_source", "_key")
+    key = ("id", "source", "text_key")
 
     def numbered(df: DataFrame) -> DataFrame:
-        return df.withColumn("_no", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
-
-    plan = numbered(plan_mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).select(
-        F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), "copies")
-        .where("copies > 0"))
-    keyed = numbered(docs.withColumns({
-        "_id": F.col(id_col), "_source": F.col(source_col),
-        "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}))
-    same = keyed["_id"].eqNullSafe(plan["_id"])
-    for c in ("_source", "_key", "_no"):
-        same = same & keyed[c].eqNullSafe(plan[c])
-    joined = keyed.join(plan, same).select(*[keyed[c] for c in docs.columns], plan["copies"].alias("_copies"))
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+        return df.withColumn("no", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+
+    plan = numbered(plan_mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).select(*key, "copies"))
+    rows = numbered(boxed(docs, id=F.col(id_col), source=F.col(source_col), text_key=_text_key(F.col(text_col))))
+    same = F.lit(True)
+    for c in (*key, "no"):
+        same = same & rows[c].eqNullSafe(plan[c])
+    taken = rows.join(plan.where("copies > 0"), same).select("row", "copies")
+    return unboxed(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))))

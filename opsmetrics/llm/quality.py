@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from opsmetrics.llm.boxes import boxed, unboxed
 from opsmetrics.llm.byte_ngrams import ngram_counts
 from opsmetrics.session import ship_package
 
@@ -146,9 +148,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, at_least: float, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that score `at_least`, all columns as they are; nothing is shuffled."""
     run = _scorer(docs, model)
-    schema = docs.schema.add("_score", "double")
-    return docs.mapInArrow(lambda batches: run(batches, docs.columns, text_col), schema).where(
-        F.col("_score") >= at_least).select(*docs.columns)
+    rows = boxed(docs, text=F.col(text_col))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    return unboxed(rows.mapInArrow(lambda batches: run(batches, ["row"], "text"), schema).where(F.col("score") >= at_least))
 
 
 def _scorer(docs: DataFrame, model: Model):
@@ -163,6 +165,6 @@ def _scorer(docs: DataFrame, model: Model):
                 scores.append(m.score(np.stack([term_counts(t.as_py()) for t in texts[at:at + BLOCK]])))
             column = pa.array(np.concatenate(scores) if scores else [], pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), column], names=[*carried, "_score" if len(carried) > 1 else "score"])
+                [*(batch.column(c) for c in carried), column], names=[*carried, "score"])
 
     return run

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsmetrics.llm.boxes import boxed, unboxed
 from opsmetrics.llm.components import roots
 from opsmetrics.session import ship_package, stage
 
@@ -162,9 +163,9 @@ def components(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component: the one with the smallest id. All columns as they are."""
     kept = components(docs, id_col=id_col, text_col=text_col, **options).where(
-        F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept")).distinct()
-    again = Window.partitionBy(id_col).orderBy(F.lit(1))
-    return (
-        docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-        .withColumn("_copy", F.row_number().over(again)).where("_copy = 1").select(*docs.columns)
-    )
+        F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id")).distinct()
+    rows = boxed(docs, id=F.col(id_col))
+    again = Window.partitionBy("id").orderBy(F.lit(1))
+    return unboxed(
+        rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]), "left_semi")
+        .withColumn("copy", F.row_number().over(again)).where("copy = 1"))
