@@ -2,8 +2,7 @@
 
 Sizes are words. Targets share a total by weight and stop at `cap` times their source. A source
 is taken whole as often as its target holds it; the remaining budget is fitted: documents are
-counted by exact size, every size gives its share, and a bounded knapsack over what is left picks
-how many more of each size make the budget up. Which documents of a size are taken is decided by
+counted by exact size, every size gives its share, and a bounded knapsack over what is left picks how many more of each size make the budget up. Which documents of a size are taken is decided by
 a seeded order.
 
 Defined results: a null text has no words and a document without words is taken zero words; null
@@ -67,8 +66,8 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
     """How many documents of each size to take, so that their words make up `budget`.
 
     Each size gives the whole part of its share. Of what then is missing, the largest documents
-    that fit are taken until at most `dp_words` are missing; a bounded knapsack finds the largest
-    sum up to that and the documents that make it.
+    that fit are taken until at most `dp_words` are missing; a bounded knapsack finds the sum
+    nearest to that, below or above, and the documents that make it.
     """
     total = int(sizes @ counts)
     if budget <= 0 or total == 0:
@@ -87,28 +86,31 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Counts of a subset with the largest sum that is at most `budget`.
+    """Counts of a subset whose sum is nearest to `budget`, of two as near the smaller.
 
-    Counts are split into powers of two, so an item is used once or not; `by[s]` is the first item
-    that made the sum s reachable, which also leads back from it.
+    The empty subset is off by `budget`, so sums up to twice that can be nearest. Counts are split
+    into powers of two, so an item is used once or not; `by[s]` is the first item that made the
+    sum s reachable, which also leads back from it.
     """
-    by = np.full(budget + 1, -1, dtype=np.int64)
-    reached = np.zeros(budget + 1, dtype=bool)
+    top = 2 * budget
+    by = np.full(top + 1, -1, dtype=np.int64)
+    reached = np.zeros(top + 1, dtype=bool)
     reached[0] = True
     items: list[tuple[int, int]] = []
     for i in np.argsort(-sizes, kind="stable"):
         size, n, part = int(sizes[i]), int(counts[i]), 1
-        n = min(n, budget // size) if size else 0
+        n = min(n, top // size) if size else 0
         while n > 0 and not reached[budget]:
             k = min(part, n)
             n, part, w = n - k, part * 2, k * size
             new = np.zeros_like(reached)
-            new[w:] = reached[:budget + 1 - w]
+            new[w:] = reached[:top + 1 - w]
             new &= ~reached
             by[new] = len(items)
             reached |= new
             items.append((int(i), k))
-    take, s = np.zeros_like(counts), int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    take, s = np.zeros_like(counts), int(sums[np.abs(sums - budget).argmin()])
     while s:
         i, k = items[by[s]]
         take[i] += k
