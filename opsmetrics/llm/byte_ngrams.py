@@ -19,10 +19,11 @@ def ngram_counts(data: bytes, orders: tuple[int, ...], bits: int, symbols: np.nd
     for at in range(0, max(len(data), 1), PIECE):
         first, last = at == 0, at + PIECE >= len(data)
         part = np.frombuffer(data, np.uint8, count=min(len(data) - at, PIECE + overlap), offset=at) if data else np.zeros(0, np.uint8)
+        at_end = at + len(part) == len(data)
         if symbols is not None:
             part = symbols[part]
         edge = np.array([0 if symbols is not None else 32], np.uint8)
-        part = np.concatenate([edge[:first], part, edge[:last]]).astype(np.uint32)
+        part = np.concatenate([edge[:first], part, edge[:at_end]]).astype(np.uint32)
         for n in orders:
             stop = min(len(part) - n + 1, len(part) if last else PIECE + first)
             if stop <= 0:
