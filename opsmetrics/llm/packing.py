@@ -28,7 +28,7 @@ from opsmetrics.session import ship_package, stage
 
 SMALL = 3  # a further piece is small when it is at most this part of the gap
 FREELY_AFTER = 8
-RANGE_ROWS = 50_000
+RANGE_ROWS = 100_000
 
 PIECE, GAP, USED = 0, 1, 2
 SWEPT = "part int, kind int, id long, size long, rank long, seq long, room long"
@@ -110,87 +110,103 @@ def _between(parts: dict[int, dict[int, tuple[int, int, int]]], small: int) -> _
     return _Between(found, keep)
 
 
+@dataclass
+class _State:
+    """What is unplaced and which gaps are open, with the numbers that decide what comes next."""
+
+    left: DataFrame  # id, size
+    gaps: DataFrame  # seq, gap
+    pieces: int
+    tokens: int
+    open_gaps: int
+
+
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """(id, seq, offset) for (id, size) rows with unique ids and sizes of 1 to `capacity`."""
+    """(id, seq, offset) for (id, size) rows with unique ids and sizes of 1 to `capacity`.
+
+    `pieces` should be a written table: it is read again.
+    """
     spark = pieces.sparkSession
     ship_package(spark)
-    placed: list[DataFrame] = []
-    left = stage(pieces.where(F.col("size") > 0), "unplaced")
-    gaps = stage(spark.range(0).select(F.col("id").alias("seq"), F.col("id").alias("gap")), "gaps")
+    left = pieces.select("id", F.col("size").cast("long").alias("size")).where("size > 0")
+    number, tokens = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    state = _State(left, spark.range(0).select(F.col("id").alias("seq"), F.col("id").alias("gap")), number, tokens, 0)
+    places = left.select("id", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("offset")).where("false")
     opened, rounds, stuck = 0, 0, True
-    while True:
-        number, tokens, open_gaps = _totals(left, gaps)
-        if not number:
-            break
+    while state.pieces:
         if stuck:
-            more = -(-tokens // capacity)
-            gaps = gaps.unionAll(spark.range(opened, opened + more).select(
+            more = -(-state.tokens // capacity)
+            state.gaps = state.gaps.unionAll(spark.range(opened, opened + more).select(
                 F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap")))
-            opened, open_gaps = opened + more, open_gaps + more
+            opened, state.open_gaps = opened + more, state.open_gaps + more
         rounds += 1
-        left, gaps, done = _round(spark, left, gaps, number + open_gaps, capacity, 1 if rounds > FREELY_AFTER else SMALL)
+        done = _round(spark, state, capacity, 1 if rounds > FREELY_AFTER else SMALL)
         stuck = done is None
         if done is not None:
-            placed.append(done)
-    empty = left.select("id", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("offset")).where("false")
-    for df in placed:
-        empty = empty.unionAll(df)
-    return empty
-
-
-def _totals(left: DataFrame, gaps: DataFrame) -> tuple[int, int, int]:
-    number, tokens = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    return number, tokens, gaps.count()
+            state, placed = done
+            places = places.unionAll(placed)
+    return places
 
 
-def _round(
-    spark: SparkSession, left: DataFrame, gaps: DataFrame, rows: int, capacity: int, small: int
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """What is left, the gaps, and what was placed (None: nothing) after one round."""
-    items = left.select("size", F.lit(PIECE).alias("kind"), "id").unionAll(
-        gaps.select(F.col("gap").alias("size"), F.lit(GAP).alias("kind"), F.col("seq").alias("id")))
-    ranges = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS)))
+def _round(spark: SparkSession, state: _State, capacity: int, small: int) -> tuple[_State, DataFrame] | None:
+    """The state after one round and what it placed, or None where nothing fits."""
+    items = state.left.select("size", F.lit(PIECE).alias("kind"), "id").unionAll(
+        state.gaps.select(F.col("gap").alias("size"), F.lit(GAP).alias("kind"), F.col("seq").alias("id")))
+    ranges = -(-(state.pieces + state.open_gaps) // RANGE_ROWS)
     # equal sizes: pieces before gaps, each in the order of their numbers, so a hot size is cut too
     order = ("size", "kind", "id")
+    # what one task may hold is one range and needs no shuffle
+    ranged = items.coalesce(1) if ranges == 1 else items.repartitionByRange(ranges, *order)
     swept = stage(
-        items.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        ranged.sortWithinPartitions(*order)
         .select(F.spark_partition_id().alias("part"), "kind", "id", "size").mapInArrow(_sweep(small), SWEPT), "swept")
+    summary = swept.groupBy("part", "kind", F.col("seq").isNotNull().alias("matched")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("largest"), F.sum("size").alias("sum")
+    ).collect()  # at most four rows per range
     parts: dict[int, dict[int, tuple[int, int, int]]] = {}
-    matched = 0
-    summary = swept.where(F.col("kind") != USED).groupBy("part", "kind", F.col("rank").isNull().alias("matched")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("largest"))
-    for r in summary.collect():  # at most three rows per range
-        if r["matched"]:
-            matched += r["n"]
-        else:
+    for r in summary:
+        if not r["matched"] and r["kind"] != USED:
             parts.setdefault(r["part"], {})[r["kind"]] = (r["n"], r["least"], r["largest"])
     plan = _between(parts, small)
-    if not matched and not plan.intervals:
-        return left, gaps, None
 
-    inside = swept.where((F.col("kind") == PIECE) & F.col("seq").isNotNull()).select(
-        "id", "seq", (capacity - F.col("room")).alias("offset"))
     free = swept.where((F.col("kind") == PIECE) & F.col("seq").isNull()).select("part", "id", "size", "rank")
     untouched = swept.where(F.col("kind") == GAP).select(
         F.col("part").alias("q"), F.col("rank").alias("gap_rank"), F.col("id").alias("seq"), F.col("size").alias("gap"))
     used = swept.where(F.col("kind") == USED).select(F.col("id").alias("seq"), F.col("size").alias("gap"))
+    inside = swept.where((F.col("kind") == PIECE) & F.col("seq").isNotNull()).select(
+        "id", "seq", (capacity - F.col("room")).alias("offset"))
+    if not plan.intervals:
+        if not any(r["matched"] for r in summary):
+            return None
+        rest = [r for r in summary if r["kind"] == PIECE and not r["matched"]]
+        return _State(
+            free.select("id", "size"), untouched.select("seq", "gap").unionAll(used), sum(r["n"] for r in rest),
+            sum(r["sum"] for r in rest), sum(r["n"] for r in summary if r["kind"] != PIECE)), inside
+
+    crossed = stage(_crossed(spark, free, untouched, plan, capacity), "crossed")
+    filled = crossed.groupBy("seq").agg(F.sum("size").alias("filled"))
+    gaps = stage(untouched.join(filled, "seq", "left").select(
+        "seq", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")).where("gap > 0").unionAll(used), "gaps")
+    keep = spark.createDataFrame(list(plan.keep.items()), "part int, keep long")
+    left = stage(free.join(F.broadcast(keep), "part").where("rank < keep").select("id", "size"), "unplaced")
+    number, tokens = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return _State(left, gaps, number, tokens, gaps.count()), inside.unionAll(crossed.select("id", "seq", "offset"))
+
 
+def _crossed(spark: SparkSession, free: DataFrame, untouched: DataFrame, plan: _Between, capacity: int) -> DataFrame:
+    """Pieces that meet a gap of a higher range, by their ranks."""
+    # at most two rows per range
     meets = spark.createDataFrame(plan.intervals, "p int, low long, high long, each long, q int, gap_low long")
-    by_rank = Window.partitionBy("seq").orderBy(F.desc("rank"))
-    crossed = stage(
-        free.join(F.broadcast(meets), (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    in_interval = (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    below = Window.partitionBy("seq").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        free.join(F.broadcast(meets), in_interval)
         .withColumn("gap_rank", F.col("gap_low") + F.floor((F.col("high") - 1 - F.col("rank")) / F.col("each")))
         .select("id", "size", "rank", "q", "gap_rank")
         .join(untouched, ["q", "gap_rank"])
-        .withColumn("filled", F.sum("size").over(by_rank.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("id", "seq", "size", "gap", (capacity - F.col("gap") + F.col("filled") - F.col("size")).alias("offset")),
-        "crossed")
-    filled = crossed.groupBy("seq").agg(F.sum("size").alias("filled"))
-    gaps = untouched.join(filled, "seq", "left").select(
-        "seq", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")).where("gap > 0").unionAll(used)
-    keep = spark.createDataFrame(list(plan.keep.items()), "part int, keep long")
-    left = free.join(F.broadcast(keep), "part").where("rank < keep").select("id", "size")
-    return stage(left, "unplaced"), stage(gaps, "gaps"), inside.unionAll(crossed.select("id", "seq", "offset"))
+        .withColumn("filled", F.sum("size").over(below))
+        .select("id", "seq", "size", (capacity - F.col("gap") + F.col("filled") - F.col("size")).alias("offset"))
+    )
 
 
 def pack_documents(
