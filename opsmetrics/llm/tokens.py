@@ -7,7 +7,9 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +17,14 @@ from pyspark.sql import functions as F
 from opsmetrics.session import ship_package
 
 SLAB = 1 << 20  # characters tokenised together
-GENERATION = 1 << 18  # words kept per generation of the cache
+GENERATION = 1 << 20  # words kept per generation of the cache, about 200 MB
+JOINED = 4096  # words in one call of the tokenizer
 ID_BYTES = 4
 # str.split() parts at these, the tokenizer's white space does not
 _NOT_ITS_SPACE = re.compile("[\x1c-\x1f]")
+# Letters of Latin-1 whose lower case is one letter, then marks other than the apostrophe: the
+# tokenizer takes the run of letters, in lower case, and the run of marks, each for itself.
+_PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:-@\[-`{-~]*)")
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -41,13 +47,40 @@ class WordTokenizer:
         return [array("I", e.ids).tobytes() for e in found]
 
     def _learn(self, words: set[str]) -> None:
+        """Put the ids of all words into the young generation."""
         new = words.difference(self._young)
         if len(self._young) + len(new) > GENERATION:
             self._old, self._young, new = self._young, {}, words
-        again = {w: ids for w in new if (ids := self._old.get(w)) is not None}
-        self._young.update(again)
-        unknown = list(new.difference(again))
-        self._young.update(zip(unknown, self._encode(unknown), strict=True))
+        young, old, plain = self._young, self._old, _PLAIN.fullmatch
+        unknown, joined = set(), []
+        for w in new:
+            if w in old:
+                young[w] = old[w]
+            elif (parts := plain(w)) is None:
+                unknown.add(w)
+            else:
+                letters, marks = parts[1].lower(), parts[2]
+                if letters not in young:
+                    unknown.add(letters)
+                if marks and marks not in young:
+                    unknown.add(marks)
+                joined.append((w, letters, marks))
+        young.update(zip(unknown, self._encode_words(list(unknown)), strict=True))
+        for w, letters, marks in joined:
+            young[w] = young[letters] + young[marks] if marks else young[letters]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from texts of many words and the places of their tokens."""
+        out: list[bytes] = []
+        for at in range(0, len(words), JOINED):
+            some = words[at:at + JOINED]
+            found = self._tokenizer.encode(" ".join(some), add_special_tokens=False)
+            places = np.array([begin for begin, _ in found.offsets], dtype=np.int64)
+            begins = np.cumsum(np.array([len(w) + 1 for w in some[:-1]], dtype=np.int64))
+            cuts = [0, *(np.searchsorted(places, begins) * ID_BYTES).tolist(), len(places) * ID_BYTES]
+            ids = array("I", found.ids).tobytes()
+            out += [ids[a:b] for a, b in pairwise(cuts)]
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""

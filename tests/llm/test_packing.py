@@ -68,6 +68,8 @@ def test_tokens_are_those_of_the_whole_text():
     spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
     texts = ["", " ", "The the, THE!\n\nx", "é ́a ß İΣ Σ", "<|endoftext|>a <|startoftext|>", "it's 123 can't", "日本語 한국어"]
     texts += [f"ab{s}cd{s}{s}́e" for s in spaces]
+    texts += [f"Ab{c}c {c} {c}x {c}{c}y Éß{c} x{c}." for c in map(chr, range(33, 0x250)) if not c.isspace()]
+    texts += ["<|endoftext|>." * 2, "a<|startoftext|> b", "ﬁ ½ ª µ ﷺ 👍🏽 é ḍ̇ ö", "THE!! the$$$ it's, 's 'S don't!! x'll"]
     for _ in range(2):  # the second time from the cache
         assert mine.ids(texts) == [
             np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
@@ -81,7 +83,7 @@ def test_the_cache_is_bounded(monkeypatch):
     for n in range(20):
         words = " ".join(f"w{i}" for i in range(n, n + 4))
         assert mine.ids([words]) == WordTokenizer(TOKENIZER).ids([words])
-        assert len(mine._young) <= 5 and len(mine._old) <= 5
+        assert len(mine._young) <= 10 and len(mine._old) <= 10
 
 
 def test_documents(spark, docs):
