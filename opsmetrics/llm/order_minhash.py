@@ -146,18 +146,20 @@ def fingerprint_edits(
     """
     following = stage(next_ids(docs, id_col), "next-ids")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartition(parts, "id")
-    quarter = F.floor(F.length("text") / share).cast("int")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # the joins below drop null ids anyway: said before the shuffle, both sides are the same one
+    rows = texts.where("id is not null").repartition(parts, "id")
     wanted = docs.select(F.col(id_col).alias("id"), F.floor(F.length(text_col) / share).cast("int").alias("n")).groupBy("id").agg(
         F.max("n").alias("n")).join(following, "id").select(F.col("next_id").alias("id"), F.col("id").alias("to"), "n")
     one = Window.partitionBy("id").orderBy(F.xxhash64("text"))
     named = rows.withColumn("_no", F.row_number().over(one)).where("_no = 1").drop("_no")
     beginnings = named.join(wanted, "id").select(F.col("to").alias("id"), F.substring("text", F.lit(1), F.col("n")).alias("begin"))
-    edited = F.concat(
+    followed = rows.join(beginnings, "id", "left").unionByName(
+        texts.where("id is null").withColumn("begin", F.lit(None).cast("string")))
+    quarter = F.floor(F.length("text") / share).cast("int")
+    both = followed.withColumn("edited", F.concat(
         F.substring("text", F.lit(1), F.length("text") - quarter),
-        F.substring(F.coalesce("begin", F.lit("")), F.lit(1), quarter))
-    both = rows.join(beginnings, "id", "left").withColumn("edited", edited)
+        F.substring(F.coalesce("begin", F.lit("")), F.lit(1), quarter)))
     both = with_fingerprint(with_fingerprint(both, "text", "fp"), "edited", "edited_fp")
     done = stage(both.select(
         "id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("text_key"),
