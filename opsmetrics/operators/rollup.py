@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from opsmetrics.functions import clock, severity
@@ -37,28 +37,32 @@ def hourly_rollup(
             F.col("occurred_at") >= clock.ts(start.replace(minute=0, second=0, microsecond=0)))
     if end is not None:
         rows = rows.where(F.col("occurred_at") <= clock.ts(end))
-    has_value = F.col("metric_value").isNotNull()
-    return (
+    return summarised(
         rows.where(F.col("occurred_at").isNotNull())
         .withColumn("hour", clock.hour_of(F.col("occurred_at")))
-        .withColumn("_ord", _order_in_hour())
-        .groupBy(*KEY)
-        .agg(
+        .groupBy(*KEY), F.col("hour"), ttl_days)
+
+
+def summarised(grouped: GroupedData, hour: Column, ttl_days: int = ROLLUP_TTL_DAYS) -> DataFrame:
+    """The rollup's columns over rows grouped by key and hour, batch or stream."""
+    has_value = F.col("metric_value").isNotNull()
+    return (
+        grouped.agg(
             F.count(F.lit(1)).alias("n"),
             F.max(severity.rollup_rank(F.col("severity"))).alias("_rank"),
             F.bool_or(F.coalesce(F.col("is_alert"), F.lit(False))).alias("any_alert"),
             F.sum("metric_value").alias("sum_val"),
-            F.max_by("metric_value", F.when(has_value, F.col("_ord"))).alias("last_val"),
+            F.max_by("metric_value", F.when(has_value, _order_in_hour())).alias("last_val"),
             F.max("occurred_at").alias("last_ts"),
         )
         .select(
-            *KEY, "n",
+            *KEY[:-1], hour.alias("hour"), "n",
             severity.rollup_name(F.col("_rank")).alias("worst_sev"),
             "any_alert", "sum_val",
             # over all rows of the hour, numeric or not
             (F.col("sum_val") / F.col("n")).alias("mean_val"),
             "last_val", "last_ts",
-            (F.col("hour") + F.expr(f"INTERVAL {int(ttl_days)} DAYS")).alias("expires_at"),
+            (hour + F.expr(f"INTERVAL {int(ttl_days)} DAYS")).alias("expires_at"),
         )
     )
 

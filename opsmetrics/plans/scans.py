@@ -233,32 +233,52 @@ def sink_route_by_severity(spark, sf):
     return spark.read.parquet(path).groupBy("route", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sink_ignore_duplicates", f"""
-WITH {ME} SELECT event_key, severity FROM me WHERE CAST(event_key AS BIGINT) % 3 <> 0""")
+@query("sink_ignore_duplicates", f"WITH {ME} SELECT event_key, severity, occurred_at FROM me")
 def sink_ignore_duplicates(spark, sf):
+    """The first batch creates the store; the second brings all rows and some of them twice."""
     events = metric_events(spark, sf)
-    known = events.where(F.col("event_key").cast("bigint") % 3 == 0)
+    path = work_path(spark, "ignore")
     again = events.where(F.col("event_key").cast("bigint") % 10 == 0)
-    return stores.new_rows(events.unionByName(again), known).select("event_key", "severity")
+    stores.insert_ignore(events.where(F.col("event_key").cast("bigint") % 3 == 0), path)
+    stores.insert_ignore(events.unionByName(again), path)
+    return spark.read.parquet(path).select("event_key", "severity", "occurred_at")
 
 
 UPSERT = f"""{cte('sr', fx.SYNC_RUNS)},
 old AS (SELECT integration_id, sync_start_time, CASE WHEN rows_failed < 2 THEN 'running' ELSE job_status END AS job_status,
   rows_synced, rows_failed, integration_name, sync_type FROM sr WHERE rows_failed <> 3),
-nw AS (SELECT * FROM sr WHERE rows_synced % 5 <> 0 AND sync_start_time >= TIMESTAMP '2024-01-10')"""
-
-
-@query("sink_latest_wins_upsert", f"""
-WITH {UPSERT} SELECT integration_id, sync_start_time,
+nw AS (SELECT * FROM sr WHERE rows_synced % 5 <> 0 AND sync_start_time >= TIMESTAMP '2024-01-10'),
+merged AS (SELECT integration_id, sync_start_time,
   CASE WHEN n.integration_id IS NOT NULL THEN n.job_status ELSE o.job_status END AS job_status,
+  coalesce(n.rows_synced, o.rows_synced) AS rows_synced,
   CASE WHEN o.integration_id IS NULL THEN 'inserted' WHEN n.integration_id IS NULL OR n.job_status = o.job_status THEN 'kept' ELSE 'updated' END AS change
-FROM old o FULL JOIN nw n USING (integration_id, sync_start_time)""")
-def sink_latest_wins_upsert(spark, sf):
+FROM old o FULL JOIN nw n USING (integration_id, sync_start_time))"""
+
+
+def _sync_tables(spark, sf):
+    """The stored runs and a batch in which each run was polled twice, running before it was done."""
     runs = derive(spark, sf, fx.SYNC_RUNS, "events")
     stored = runs.where("rows_failed <> 3").withColumn(
         "job_status", F.when(F.col("rows_failed") < 2, "running").otherwise(F.col("job_status")))
-    out = stores.upsert_sync_runs(stored, runs.where("rows_synced % 5 <> 0"), date(2024, 1, 10))
-    return out.select("integration_id", "sync_start_time", "job_status", "change")
+    batch = runs.where("rows_synced % 5 <> 0")
+    earlier = batch.withColumns({"job_status": F.lit("running"), "rows_synced": F.col("rows_synced") - 1})
+    return stored, batch.unionByName(earlier)
+
+
+@query("sink_latest_wins_upsert", f"WITH {UPSERT} SELECT integration_id, sync_start_time, job_status, rows_synced, change FROM merged")
+def sink_latest_wins_upsert(spark, sf):
+    out = stores.upsert_sync_runs(*_sync_tables(spark, sf), date(2024, 1, 10))
+    return out.select("integration_id", "sync_start_time", "job_status", "rows_synced", "change")
+
+
+@query("sink_upsert_partitions", f"WITH {UPSERT} SELECT integration_id, sync_start_time, job_status, rows_synced FROM merged")
+def sink_upsert_partitions(spark, sf):
+    """The same through the writer: a new table, then a batch that touches some of its days."""
+    stored, batch = _sync_tables(spark, sf)
+    path = work_path(spark, "syncs")
+    stores.write_sync_runs(stored, path, date(2000, 1, 1))
+    stores.write_sync_runs(batch, path, date(2024, 1, 10))
+    return spark.read.parquet(path).select("integration_id", "sync_start_time", "job_status", "rows_synced")
 
 
 @query("agg_sync_status", f"""
@@ -270,13 +290,11 @@ def agg_sync_status(spark, sf):
 @query("sink_idempotent_rollup", f"""
 WITH {ME}, {PROD}, r AS ({rollup_sql('prod')}) SELECT pipeline_name, metric_name, hour, n, worst_sev, mean_val FROM r""")
 def sink_idempotent_rollup(spark, sf):
-    """The newest two days are written twice; the second write replaces the first."""
+    """All hours, then the regular refresh of the last six: no other hour changes."""
     events = prod_events(spark, sf)
-    now = anchor(events)
     path = work_path(spark, "rollup")
     stores.write_rollup(rollup.hourly_rollup(events), path)
-    day = (now - timedelta(days=2)).replace(hour=0, minute=0, second=0, microsecond=0)
-    stores.write_rollup(rollup.hourly_rollup(events, start=day), path)
+    stores.refresh_rollup(events, path, anchor(events), hours=6)
     return rounded(spark.read.parquet(path), "mean_val").select(
         "pipeline_name", "metric_name", "hour", "n", "worst_sev", "mean_val")
 

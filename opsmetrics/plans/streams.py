@@ -10,6 +10,7 @@ from opsmetrics.plans.alerting import CHANNEL
 from opsmetrics.plans.common import rounded
 from opsmetrics.plans.fixtures import ME, NOW, anchor, metric_events
 from opsmetrics.plans.registry import query
+from opsmetrics.plans.reports import rollup_sql
 from opsmetrics.plans.timelines import SINCE, STALE_AFTER, session_sql
 from opsmetrics.session import work_path
 from opsmetrics.streaming import jobs
@@ -47,30 +48,21 @@ def _table(spark, sf, transform, label, partition_by=()):
     return spark.read.parquet(out)
 
 
-@query("st_ingest_normalise", f"""
-WITH {SPLIT} SELECT event_key, pipeline_name, occurred_at FROM b1
-UNION ALL SELECT event_key, pipeline_name, occurred_at FROM b2, w1 WHERE occurred_at > wm1""")
+@query("st_ingest_normalise", f"WITH {ME} SELECT event_key, pipeline_name, severity, occurred_at FROM me")
 def st_ingest_normalise(spark, sf):
-    out = _table(spark, sf, jobs.ingest_normalise, "ingest", ("run_date",))
-    return out.select("event_key", "pipeline_name", "occurred_at")
+    """Late rows are in, copies are not."""
+    out = _drain(spark, sf, lambda src, dst, state: jobs.run_batches(
+        jobs.read_stream(spark, src, None), jobs.ingest_handler(dst), state), "ingest")
+    return spark.read.parquet(out).select("event_key", "pipeline_name", "severity", "occurred_at")
 
 
 # rows of a window that was already closed when the second delivery came are late
 KEPT = "kp AS (SELECT * FROM b1 UNION ALL SELECT * FROM cp WHERE {0} UNION ALL SELECT b2.* FROM b2, w1 WHERE {1})"
-HOURS = KEPT.format(
-    "date_trunc('hour', occurred_at) + INTERVAL 1 HOUR > (SELECT wm1 FROM w1)",
-    "date_trunc('hour', occurred_at) + INTERVAL 1 HOUR > wm1")
-
-
-@query("st_hourly_rollup", f"""
-WITH {SPLIT}, {HOURS},
-r AS (SELECT environment, pipeline_name, metric_name, date_trunc('hour', occurred_at) AS hour, count(*) AS n,
-  max(CASE severity WHEN 'warning' THEN 2 WHEN 'error' THEN 3 WHEN 'critical' THEN 4 ELSE 1 END) AS rnk, bool_or(is_alert) AS any_alert,
-  sum(metric_value) AS s FROM kp GROUP BY ALL)
-SELECT environment, pipeline_name, metric_name, hour, n, CASE rnk WHEN 4 THEN 'critical' WHEN 3 THEN 'error' WHEN 2 THEN 'warning' ELSE 'info' END AS worst_sev,
-  any_alert, round(s, 4) AS sum_val, round(s / n, 4) AS mean_val FROM r, w2 WHERE hour + INTERVAL 1 HOUR <= wm2""")
+@query("st_hourly_rollup", f"WITH {ME} {rollup_sql('me')}")
 def st_hourly_rollup(spark, sf):
-    return rounded(_table(spark, sf, jobs.hourly_rollup, "rollup"), "sum_val", "mean_val")
+    """What the stream closed, and the repair of late and open hours: all hours, as in batch."""
+    closed = _table(spark, sf, jobs.hourly_rollup, "rollup")
+    return rounded(jobs.repaired_rollup(closed, metric_events(spark, sf)), "sum_val", "mean_val", "last_val")
 
 
 SLICES = KEPT.format(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,7 +21,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # row_number() <= k is cut to k rows per group before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
-    "spark.sql.parquet.aggregatePushdown": "true",
     # sessions are merged before the shuffle, so a busy key does not send its rows
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
@@ -55,16 +56,44 @@ def local_session(name: str = "opsmetrics", cores: str = "8", partitions: int =
 
 @lru_cache(maxsize=1)
 def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="opsmetrics-")
+    root = tempfile.mkdtemp(prefix="opsmetrics-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
-def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the cluster's shared folder (`spark.checkpoint.dir`).
+def _application_root(spark: SparkSession) -> str:
+    """This application's folder below the cluster's shared one (`spark.checkpoint.dir`).
 
-    A local folder is used only where the cluster names none, as in tests.
+    Only a session whose tasks run inside the driver process may do without: anywhere else a
+    local folder would be a different one on every machine, and reads would miss files.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
-    return f"{root.rstrip('/')}/opsmetrics/{label}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
+    return f"{root.rstrip('/')}/opsmetrics/{spark.sparkContext.applicationId}"
+
+
+def work_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the application's shared folder."""
+    return f"{_application_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete everything this application has written with `stage` and `work_path`. Results that
+    still read it cannot be computed any more."""
+    delete_path(spark, _application_root(spark))
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from opsmetrics.functions import clock, keys
 from opsmetrics.operators.exact import first_per_key
+from opsmetrics.operators.rollup import KEY, hourly_rollup
 from opsmetrics.schema import (
     EVENT_COLUMNS, HOT_SEVERITIES, LOW_SEVERITIES, RAW_TTL_DAYS,
 )
-from opsmetrics.session import work_path
+from opsmetrics.session import delete_path, path_exists, stage, work_path
 from opsmetrics.sources.events import union_dedup_stores, with_run_date
 
 
@@ -43,27 +44,50 @@ def new_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return once.join(stored.select("event_key"), "event_key", "left_anti")
 
 
+def touched(df: DataFrame, column: str) -> list:
+    """The distinct values of a partition column in `df`: as few as it has days."""
+    return [r[0] for r in df.select(column).distinct().collect()]
+
+
+def within(column: str, values: Sequence) -> Column:
+    """A literal partition filter; null is a value like others."""
+    known = [v for v in values if v is not None]
+    hit = F.col(column).isin(*known) if known else F.lit(False)
+    return hit | F.col(column).isNull() if len(known) < len(values) else hit
+
+
 def insert_ignore(batch: DataFrame, path: str) -> None:
-    """Append only what is new. Rows with a key already in `path` are left out."""
-    stored = batch.sparkSession.read.parquet(path)
+    """Append only what is new. Rows with a key already in `path` are left out.
+
+    A key belongs to one day, so only the days of the batch are read. A store that does not
+    exist yet is created. The fresh rows are staged: what is appended does not depend on the
+    store it is appended to.
+    """
+    spark = batch.sparkSession
+    dated = with_run_date(batch)
+    known = dated.limit(0).withColumn("event_key", keys.store_key())
+    if path_exists(spark, path):
+        # the schema is given: a store may hold days without any file yet
+        known = spark.read.schema(known.schema).parquet(path).where(within("run_date", touched(dated, "run_date")))
+    fresh = stage(new_rows(dated, known), "fresh")
     (
-        with_run_date(new_rows(batch, stored)).repartitionByRange("run_date", "occurred_at")
+        fresh.repartitionByRange("run_date", "occurred_at")
         .write.mode("append").partitionBy("run_date").parquet(path)
     )
 
 
 def upsert_latest(
     stored: DataFrame, incoming: DataFrame, pk: Sequence[str], compared: Sequence[str],
-    carried: Sequence[str] = (), order: Column | None = None,
+    carried: Sequence[str] = (), *, order: Sequence[Column],
 ) -> DataFrame:
     """sink_latest_wins_upsert: the merged table, with `change` per row.
 
-    The newest incoming row per key wins; a stored row is replaced only when a compared value
-    differs. One full outer join on the key, so each side is shuffled once.
+    Of the incoming rows of a key the first by `order` wins, so the result has one row per key;
+    a stored row is replaced only when a compared value differs from it. One full outer join on
+    the key, so each side is shuffled once.
     """
     pk, values = list(pk), [*compared, *carried]
-    fresh = incoming if order is None else first_per_key(incoming, pk, order.desc())
-    fresh = fresh.select(*pk, F.struct(*values).alias("_new"))
+    fresh = first_per_key(incoming, pk, *order).select(*pk, F.struct(*values).alias("_new"))
     old = stored.select(*pk, F.struct(*values).alias("_old"))
     differs = F.lit(False)
     for c in compared:
@@ -77,12 +101,37 @@ def upsert_latest(
     return merged.withColumn("_row", final).select(*pk, "_row.*", "change")
 
 
+SYNC_PK = ("integration_id", "sync_start_time")
+SYNC_COMPARED = ("job_status", "rows_synced", "rows_failed")
+SYNC_CARRIED = ("integration_name", "sync_type")
+
+
+def _most_advanced() -> list[Column]:
+    """A sync polled several times: the report that is done comes before one still running, then
+    the one that moved more rows, then a fixed order."""
+    running = F.lower(F.trim("job_status")).isin("running", "pending", "queued", "started")
+    return [
+        F.coalesce(running, F.lit(True)).asc(), F.desc_nulls_last("rows_synced"), F.desc_nulls_last("rows_failed"),
+        F.asc_nulls_last("job_status"), F.asc_nulls_last("integration_name"), F.asc_nulls_last("sync_type")]
+
+
 def upsert_sync_runs(stored: DataFrame, incoming: DataFrame, floor: date) -> DataFrame:
     """Sync runs on (integration, start); runs before the floor date are not taken in."""
     kept = incoming.where(F.col("sync_start_time") >= clock.ts(datetime(floor.year, floor.month, floor.day)))
-    return upsert_latest(
-        stored, kept, ["integration_id", "sync_start_time"],
-        ["job_status", "rows_synced", "rows_failed"], ["integration_name", "sync_type"])
+    return upsert_latest(stored, kept, SYNC_PK, SYNC_COMPARED, SYNC_CARRIED, order=_most_advanced())
+
+
+def write_sync_runs(incoming: DataFrame, path: str, floor: date) -> None:
+    """Upsert into the table at `path`, partitioned by the day of the start: only the days of the
+    batch are read and rewritten."""
+    spark = incoming.sparkSession
+    day = clock.run_date_key(F.col("sync_start_time"))
+    dated = incoming.select(*SYNC_PK, *SYNC_COMPARED, *SYNC_CARRIED).withColumn("run_date", day)
+    stored = dated.limit(0)
+    if path_exists(spark, path):
+        stored = spark.read.schema(dated.schema).parquet(path).where(within("run_date", touched(dated, "run_date")))
+    merged = upsert_sync_runs(stored.drop("run_date"), dated.drop("run_date"), floor)
+    overwrite_partitions(merged.drop("change").withColumn("run_date", day), path, ["run_date"], ["sync_start_time"])
 
 
 def sync_status(runs: DataFrame) -> DataFrame:
@@ -109,10 +158,30 @@ def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str], spread: Se
 
 
 def write_rollup(rollup: DataFrame, path: str) -> None:
-    """sink_idempotent_rollup: recomputed whole days overwrite by key."""
-    overwrite_partitions(
-        rollup.withColumn("date", clock.run_date_key(F.col("hour"))), path,
-        ["environment", "date"], ["pipeline_name", "hour"])
+    """sink_idempotent_rollup: recomputed hours overwrite by key, all other hours stay.
+
+    Only the (environment, date) partitions that have rows are read, merged and rewritten.
+    """
+    spark = rollup.sparkSession
+    dated = stage(rollup.withColumn("date", clock.run_date_key(F.col("hour"))), "rollup")
+    merged = dated
+    if path_exists(spark, path):
+        parts = dated.select("environment", "date").distinct()
+        stored = spark.read.schema(dated.schema).parquet(path).where(within("date", touched(dated, "date")))
+        # null-safe: an event without environment has a partition, too
+        mine = stored.alias("s").join(
+            parts.alias("p"), F.col("s.environment").eqNullSafe(F.col("p.environment")) & (F.col("s.date") == F.col("p.date")), "left_semi")
+        same = F.lit(True)
+        for c in KEY:
+            same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}"))
+        kept = mine.alias("s").join(dated.select(*KEY).alias("n"), same, "left_anti")
+        merged = kept.select(*dated.columns).unionByName(dated)
+    overwrite_partitions(merged, path, ["environment", "date"], ["pipeline_name", "hour"])
+
+
+def refresh_rollup(events: DataFrame, path: str, now: datetime, hours: int = 6) -> None:
+    """The regular refresh: recompute the last `hours` whole hours and merge them."""
+    write_rollup(hourly_rollup(events, start=now - timedelta(hours=hours), end=now), path)
 
 
 def manifest_new(listed: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -167,6 +236,36 @@ def severity_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def record_ingested(keys_done: DataFrame, path: str) -> None:
+    """Add files to the manifest as ingested and not archived yet; known files stay as they are."""
+    spark = keys_done.sparkSession
+    new = keys_done.select("file_key").distinct()
+    if path_exists(spark, path):
+        new = manifest_new(new, spark.read.parquet(path))
+    stage(new.withColumn("archived", F.lit(False)), "manifest").write.mode("append").parquet(path)
+
+
+def mark_archived(keys_done: DataFrame, path: str) -> None:
+    """Set `archived` for files of the manifest. One row per file, so it is rewritten whole, from
+    a staged copy."""
+    spark = keys_done.sparkSession
+    done = keys_done.select("file_key").distinct().withColumn("_done", F.lit(True))
+    now = spark.read.parquet(path).join(done, "file_key", "left").select(
+        "file_key", (F.col("archived") | F.coalesce("_done", F.lit(False))).alias("archived"))
+    stage(now, "manifest").write.mode("overwrite").parquet(path)
+
+
+def drop_expired_days(spark: SparkSession, path: str, now: datetime, ttl_days: int = RAW_TTL_DAYS) -> list[str]:
+    """Retention without reading rows: remove the `run_date` partitions whose every event has
+    expired; returns them."""
+    last = (now - timedelta(days=ttl_days)).strftime("%Y%m%d")
+    days = spark.read.parquet(path).select(F.col("run_date").cast("string")).distinct().collect()
+    gone = sorted(d for (d,) in days if d is not None and d < last)
+    for day in gone:
+        delete_path(spark, f"{path.rstrip('/')}/run_date={day}")
+    return gone
+
+
 def file_keys(spark: SparkSession, path: str) -> DataFrame:
     """The files a scan of `path` lists, as manifest keys."""
     return spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file_key")).distinct()

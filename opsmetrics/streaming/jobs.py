@@ -1,7 +1,8 @@
 """Stream jobs. Event time is TIMESTAMP (a watermark refuses TIMESTAMP_NTZ) in a UTC session.
 
-Rows later than the watermark are left out of a stream's result by design; `late_audit` counts
-them, and the batch rollup of whole days repairs them exactly.
+Ingest keeps every row, however late. Windowed results close by the watermark, so rows later than
+that and hours still open are not in them: `repaired_rollup` recomputes exactly those hours from
+the ingested rows, after which the table equals the batch rollup. `late_audit` counts late rows.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsmetrics.functions import clock, severity
-from opsmetrics.operators import alerts, timeline
+from opsmetrics.operators import alerts, rollup, timeline
 from opsmetrics.operators.exact import first_per_key
 from opsmetrics.schema import METRIC_EVENT
+from opsmetrics.session import delete_path, path_exists, stage
+from opsmetrics.sources import adapters, stores
 from opsmetrics.sources.events import with_run_date
 
 LATENESS = "6 hours"
@@ -29,10 +32,17 @@ def read_stream(spark: SparkSession, path: str, lateness: str | None = LATENESS)
 
 
 # --- transformations ---------------------------------------------------------------
-def ingest_normalise(rows: DataFrame) -> DataFrame:
-    """st_ingest_normalise: each event key once within the watermark."""
-    return with_run_date(
-        rows.where(F.col("occurred_at").isNotNull()).dropDuplicatesWithinWatermark(["event_key"]))
+def ingest_handler(path: str) -> Callable[[DataFrame, int], None]:
+    """st_ingest_normalise: rows in the contract's form, each event key once, none left out.
+
+    A batch is reduced to its first row per key and anti-joined with the days it touches, so a
+    late row finds its day and a batch that runs again adds nothing.
+    """
+
+    def handle(batch: DataFrame, _batch_id: int) -> None:
+        stores.insert_ignore(adapters.normalise_rows(batch), path)
+
+    return handle
 
 
 def _window(name: str = "window"):
@@ -40,20 +50,36 @@ def _window(name: str = "window"):
 
 
 def hourly_rollup(rows: DataFrame) -> DataFrame:
-    """st_hourly_rollup."""
+    """st_hourly_rollup: closed hours, in the columns of the batch rollup."""
     start, _ = _window()
-    return (
-        rows.groupBy("environment", "pipeline_name", "metric_name", F.window("event_time", "1 hour"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(severity.rollup_rank(F.col("severity"))).alias("_rank"),
-            F.bool_or(F.coalesce(F.col("is_alert"), F.lit(False))).alias("any_alert"),
-            F.sum("metric_value").alias("sum_val"),
-        )
-        .select("environment", "pipeline_name", "metric_name", start.alias("hour"), "n",
-                severity.rollup_name(F.col("_rank")).alias("worst_sev"), "any_alert", "sum_val",
-                (F.col("sum_val") / F.col("n")).alias("mean_val"))
-    )
+    return rollup.summarised(rows.groupBy(
+        "environment", "pipeline_name", "metric_name", F.window("event_time", "1 hour")
+    ), start)
+
+
+def repaired_rollup(streamed: DataFrame, events: DataFrame) -> DataFrame:
+    """The streamed rollup with late and open hours put right from the ingested events.
+
+    Rows are counted per key, which is narrow and combined map-side; keys whose count is not the
+    streamed one are recomputed, all others stay as they were streamed.
+    """
+    keyed = events.where(F.col("occurred_at").isNotNull()).withColumn("hour", clock.hour_of(F.col("occurred_at")))
+    counted = keyed.groupBy(*rollup.KEY).agg(F.count(F.lit(1)).alias("rows"))
+
+    def same(a: str, b: str):
+        cond = F.lit(True)
+        for c in rollup.KEY:
+            cond = cond & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+        return cond
+
+    known = streamed.select(*rollup.KEY, "n")
+    wrong = stage(
+        counted.alias("c").join(known.alias("s"), same("c", "s"), "left")
+        .where(~F.col("s.n").eqNullSafe(F.col("c.rows"))).select("c.*"), "repairs").drop("rows")
+    again = keyed.alias("e").join(wrong.alias("w"), same("e", "w"), "left_semi")
+    fresh = rollup.hourly_rollup(again.select(*events.columns))
+    kept = streamed.alias("s").join(wrong.alias("w"), same("s", "w"), "left_anti")
+    return kept.select(*fresh.columns).unionByName(fresh)
 
 
 def load_slices(rows: DataFrame) -> DataFrame:
@@ -116,26 +142,22 @@ def run_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], check
         availableNow=True).start().awaitTermination()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def outbox_handler(path: str) -> Callable[[DataFrame, int], None]:
-    """st_alert_outbox: one outbox row per alert. A batch owns its partition and only looks at
-    earlier ones, so running it again writes the same rows."""
+    """st_alert_outbox: one outbox row per alert. A batch owns its partitions and only looks at
+    earlier ones of its own event days, so running it again writes the same rows and a batch
+    never reads the whole outbox."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = first_per_key(
+        fresh = with_run_date(first_per_key(
             alerts.route_alert(batch.where("is_alert")).select("event_key", "channel", "severity", "occurred_at"),
-            ["event_key"], F.col("occurred_at"))
-        if _exists(spark, path):
-            done = spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+            ["event_key"], F.col("occurred_at"))).withColumn("batch_id", F.lit(batch_id))
+        if path_exists(spark, path):
+            done = spark.read.schema(fresh.schema).parquet(path).where(
+                (F.col("batch_id") < batch_id) & stores.within("run_date", stores.touched(fresh, "run_date")))
             fresh = fresh.join(done.select("event_key"), "event_key", "left_anti")
-        fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "batch_id", "run_date").parquet(path)
 
     return handle
 
@@ -143,17 +165,21 @@ def outbox_handler(path: str) -> Callable[[DataFrame, int], None]:
 def staleness_handler(path: str) -> Callable[[DataFrame, int], None]:
     """st_staleness: the state is a table of (pipeline, minute, newest time), one version per
     batch: version k is version k - 1 and the batch's own minutes. Each is combined map-side,
-    so a pipeline adds at most one row per minute whatever its volume."""
+    so a pipeline adds at most one row per minute whatever its volume. The version before is kept
+    for a batch that runs again; older ones are deleted."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         marks = batch.groupBy("pipeline_name", clock.minute_of(F.col("occurred_at")).alias("bucket")).agg(
             F.max("occurred_at").alias("last_ts"))
         before = f"{path}/v{batch_id - 1}"
-        if batch_id > 0 and _exists(spark, before):
+        if batch_id > 0:
+            if not path_exists(spark, before):
+                raise FileNotFoundError(f"the state before batch {batch_id} is missing: {before}")
             marks = marks.unionByName(spark.read.parquet(before)).groupBy("pipeline_name", "bucket").agg(
                 F.max("last_ts").alias("last_ts"))
         marks.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        delete_path(spark, f"{path}/v{batch_id - 2}")
 
     return handle
 
@@ -176,7 +202,7 @@ def late_audit_handler(path: str, lateness: timedelta = timedelta(hours=6)) -> C
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = None
-        if _exists(spark, path):
+        if path_exists(spark, path):
             newest = spark.read.parquet(path).where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
         late = F.col("occurred_at") < clock.ts(newest - lateness) if newest else F.lit(False)
         batch.agg(

@@ -1,5 +1,6 @@
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from opsmetrics.functions import documents, names, text
@@ -158,3 +159,58 @@ def test_alert_lanes_are_disjoint(events):
     lanes = {lane: {r.severity for r in filters.unsent_alerts(rows, lane).collect()} for lane in filters.LANES}
     assert lanes["fast"] | lanes["batch"] == lanes["all"] and not lanes["fast"] & lanes["batch"]
     assert "warning" not in lanes["all"]
+
+
+def test_a_trailing_refresh_changes_no_other_hour(events, spark):
+    path = work_path(spark, "roll")
+    rows = events([{"occurred_at": NOW - timedelta(hours=h), "metric_value": float(h), "environment": e}
+                   for h in range(40) for e in ("prod", None)])
+    stores.write_rollup(rollup.hourly_rollup(rows), path)
+    before = {(r.environment, r.hour): r.sum_val for r in spark.read.parquet(path).collect()}
+    doubled = rows.unionByName(rows.withColumn("event_key", F.concat(F.lit("again"), "event_key")))
+    stores.refresh_rollup(doubled, path, NOW, hours=6)
+    after = {(r.environment, r.hour): r.sum_val for r in spark.read.parquet(path).collect()}
+    assert set(after) == set(before) and len(after) == 80
+    for key, value in before.items():
+        assert after[key] == (2 * value if key[1] >= NOW - timedelta(hours=6) else value)
+
+
+def test_a_sync_polled_twice_is_one_row(spark):
+    cols = "integration_id string, sync_start_time timestamp_ntz, job_status string, rows_synced long, rows_failed long, integration_name string, sync_type string"
+    t = datetime(2026, 7, 1)
+    polls = [(i, t, s, n, 0, i, "x") for i in "abcde" for s, n in (("running", 1), ("success", 9))]
+    path = work_path(spark, "syncs")
+    for batch in (polls[::2], polls, polls):
+        stores.write_sync_runs(spark.createDataFrame(batch, cols), path, date(2026, 1, 1))
+    rows = spark.read.parquet(path).collect()
+    assert sorted((r.integration_id, r.job_status, r.rows_synced) for r in rows) == [(i, "success", 9) for i in "abcde"]
+
+
+def test_manifest_and_retention(events, spark):
+    path = work_path(spark, "manifest")
+    files = spark.createDataFrame([("a",), ("b",), ("a",)], "file_key string")
+    stores.record_ingested(files, path)
+    stores.record_ingested(spark.createDataFrame([("b",), ("c",)], "file_key string"), path)
+    stores.mark_archived(spark.createDataFrame([("b",), ("zz",)], "file_key string"), path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", False), ("b", True), ("c", False)]
+    days = work_path(spark, "days")
+    scans.write_day_partitions(events([{"occurred_at": NOW - timedelta(days=i)} for i in range(10)]), days)
+    assert stores.drop_expired_days(spark, days, NOW, ttl_days=7) == ["20260629", "20260630"]
+    assert spark.read.parquet(days).count() == 8
+
+
+def test_written_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    import types
+
+    from opsmetrics import session
+
+    def fake(master, folder=None):
+        return types.SimpleNamespace(
+            conf=types.SimpleNamespace(get=lambda key, default: folder),
+            sparkContext=types.SimpleNamespace(master=master, applicationId="app"))
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            session.work_path(fake(master), "t")
+        assert session.work_path(fake(master, "s3://b/x/"), "t").startswith("s3://b/x/opsmetrics/app/t-")
+    assert session.work_path(fake("local[8]"), "t")
