@@ -35,8 +35,9 @@ def contains_term(col: Column, term: str) -> Column:
     return F.contains(F.lower(col), F.lit(term.lower()))
 
 
-def strip_dates(col: Column, limit: int = 1000) -> Column:
-    return F.regexp_replace(F.substring(col, 1, limit), DATE_PATTERN, "")
+def strip_dates(col: Column) -> Column:
+    """The whole text without its dates: texts that differ anywhere else stay different."""
+    return F.regexp_replace(col, DATE_PATTERN, "")
 
 
 def _fixed(value: Column, digits: int, grouping: bool) -> Column:

@@ -42,10 +42,9 @@ def route_alert(
 
 
 def outbox_rows(alerts: DataFrame, attempts: DataFrame) -> DataFrame:
-    """One outbox row per delivery attempt, with the routed channel and a cut error text."""
+    """One outbox row per delivery attempt, with the routed channel and the error text."""
     tried = attempts.select(
-        "delivery_id", "metric_id", "status", "sent_at",
-        F.substring("error_message", 1, 4000).alias("error_message"))
+        "delivery_id", "metric_id", "status", "sent_at", "error_message")
     return (
         route_alert(alerts).select(F.col("event_key").alias("metric_id"), "channel")
         .join(tried, "metric_id", "inner")

@@ -138,11 +138,11 @@ def series_stats(points: DataFrame, opts: AnomalyOptions) -> DataFrame:
 
 
 REASONS = {
-    "freshness": "freshness metric: staleness is tracked on the timeline",
-    "not_row_count": "not a row-count metric (only *.rows and model runs are scored)",
-    "too_little_history": "too little history",
-    "low_volume": "low volume",
-    "constant": "no variation to score (constant value)",
+    "freshness": "tells how fresh data is; see the timeline",
+    "not_row_count": "counts no rows",
+    "too_little_history": "needs more points",
+    "low_volume": "moves few rows",
+    "constant": "never changes",
 }
 
 
@@ -280,13 +280,14 @@ def _mean_expected(points: DataFrame, curve: DataFrame, opts: AnomalyOptions) ->
 
 def reason_text(opts: AnomalyOptions) -> Column:
     have = F.col("base_n") if opts.range_mode else F.col("n")
-    out = F.when(F.col("reason") == "too_little_history", F.format_string(
-        f"too little history (%d of {opts.min_points} points needed)", have))
-    out = out.when(F.col("reason") == "low_volume", F.concat(
-        F.lit("low volume (typical "), text.number_label(F.col("_median")),
-        F.lit(" < "), text.number_label(F.lit(float(opts.row_limit))), F.lit(" row limit)")))
-    for code in ("freshness", "not_row_count", "constant"):
-        out = out.when(F.col("reason") == code, F.lit(REASONS[code]))
+    details = {
+        "too_little_history": F.format_string(f": has %d of {opts.min_points}", have),
+        "low_volume": F.concat(
+            F.lit(": median "), text.number_label(F.col("_median")), F.lit(", limit "), text.number_label(F.lit(float(opts.row_limit)))),
+    }
+    out = F.lit(None).cast("string")
+    for code, words in REASONS.items():
+        out = F.when(F.col("reason") == code, F.concat(F.lit(words), details.get(code, F.lit("")))).otherwise(out)
     return out
 
 

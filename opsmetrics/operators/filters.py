@@ -114,7 +114,7 @@ def with_names(
     parts = F.col("_parts")
     model = F.when(F.size(parts) >= 3, F.nullif(F.get(parts, 2), F.lit("")))
     project, base, stage = F.col("_project"), F.col("_base"), F.col("_stage")
-    sync = F.lower(p).startswith(rules.sync_prefix)
+    sync = F.lower(p).startswith(rules.sync_prefix) if rules.sync_prefix else F.lit(False)
     suffix = F.regexp_replace(
         F.substring(p, F.lit(len(rules.sync_prefix) + 1), F.length(p)), "^[-_]+", "")
     prefixed = names.is_prefixed_project(project, rules)
@@ -210,15 +210,19 @@ def lookup_by_run_id(events: DataFrame, run_id: str, json_path: str) -> DataFram
 LANES = ("fast", "batch", "all")
 
 
-def unsent_alerts(events: DataFrame, lane: str | None = None, limit: int = 100) -> DataFrame:
-    """Oldest unsent alerts. Warnings are never delivered; the two lanes are disjoint."""
+def unsent_alerts(events: DataFrame, lane: str | None = None, *, poll_size: int | None) -> DataFrame:
+    """Unsent alerts. Warnings are never delivered; the two lanes are disjoint.
+
+    `poll_size` is how many of the oldest one poll takes, None for all of them; the rest waits for
+    the next poll.
+    """
     rows = events.where(
         F.col("is_alert") & ~F.coalesce(F.col("sent"), F.lit(False)) & (F.col("severity") != "warning"))
     if lane == "fast":
         rows = rows.where(F.col("severity").isin(*HOT_SEVERITIES))
     elif lane == "batch":
         rows = rows.where(~F.col("severity").isin(*HOT_SEVERITIES))
-    return rows.orderBy("occurred_at", "event_key").limit(limit)
+    return rows if poll_size is None else rows.orderBy("occurred_at", "event_key").limit(poll_size)
 
 
 def target_table_expr(events: DataFrame) -> DataFrame:

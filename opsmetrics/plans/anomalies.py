@@ -10,7 +10,9 @@ from opsmetrics.operators import anomaly, series
 from opsmetrics.operators.anomaly import AnomalyOptions
 from opsmetrics.operators.series import KEYS, CurveOptions
 from opsmetrics.plans.common import hidden_sql, identity_sql, representative_sql, rounded
-from opsmetrics.plans.fixtures import CY, ME, NOW, PNOW, PROD, anchor, cycle_events, metric_events, prod_events
+from opsmetrics.plans.fixtures import (
+    CY, ME, NOW, PNOW, PROD, RULES, anchor, cycle_events, metric_events, prod_events,
+)
 from opsmetrics.plans.registry import query
 
 K = "metric_name, pipeline_name"
@@ -305,7 +307,7 @@ def _score(spark, sf, **kw):
     now = anchor(events)
     if kw.pop("over_last_day", False):
         kw.update(agg_start=now - timedelta(days=1), agg_end=now)
-    return anomaly.score(events, now, AnomalyOptions(**kw))
+    return anomaly.score(events, now, AnomalyOptions(rules=RULES, **kw))
 
 
 def _shown(df):
@@ -336,7 +338,7 @@ def anom_gates(spark, sf):
 @query("anom_generic_label", f"WITH {ME}, {PROD}, {PNOW}, {scored_sql()} SELECT metric_name, pipeline_name, metric FROM sd")
 def anom_generic_label(spark, sf):
     events = prod_events(spark, sf)
-    opts = AnomalyOptions()
+    opts = AnomalyOptions(rules=RULES)
     return anomaly.gated_series(anomaly.scored_points(events, anchor(events), opts), opts).select(*KEYS, "metric")
 
 

@@ -160,7 +160,7 @@ WITH {cte('qh', fx.QUERY_HISTORY)},
 r AS (SELECT *, execution_time / 1000 / 3600 * CASE upper(warehouse_size) WHEN 'X-SMALL' THEN 1 WHEN 'SMALL' THEN 2 WHEN 'MEDIUM' THEN 4
   WHEN 'LARGE' THEN 8 WHEN 'X-LARGE' THEN 16 ELSE 1 END AS est FROM qh
   WHERE warehouse_size IS NOT NULL AND start_time >= TIMESTAMP '1997-06-01' AND start_time < TIMESTAMP '2001-07-02')
-SELECT regexp_replace(substr(query_text, 1, 1000), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', '', 'g') AS cleaned_query, warehouse_name, warehouse_size,
+SELECT regexp_replace(query_text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', '', 'g') AS cleaned_query, warehouse_name, warehouse_size,
   count(*) AS execution_count, round(sum(execution_time / 1000), 2) AS total_execution_seconds, round(sum(est), 6) AS estimated_compute_credits,
   round(sum(credits_used_cloud_services), 6) AS actual_cloud_services_credits,
   round(sum(est) + sum(credits_used_cloud_services), 6) AS total_estimated_credits, CAST(sum(rows_produced) AS BIGINT) AS total_rows_produced

@@ -33,17 +33,16 @@ CASE WHEN starts_with(pipeline_name, 'ai-ingest') OR starts_with(pipeline_name,
 """
 SIMPLE = "regexp_replace(regexp_replace(family, '^(ai-ingest-|ai_ingest_)', '', 'i'), '_load$', '', 'i')"
 GROUP = rf"""
-CASE WHEN starts_with(lower(family), 'dbt_snowflake_transformation') THEN 'Dbt Snowflake Transformations'
-  WHEN contains(lower(family), 'postgres') THEN 'Postgres'
-  WHEN contains(lower(family), 'plausible') THEN 'Plausible'
-  WHEN lower(family) = 'braze-cdisync' THEN 'Braze CDI Sync'
+CASE WHEN starts_with(lower(family), 'proj0_') THEN 'Project Zero'
+  WHEN contains(lower(family), 'postgres') THEN 'Relational'
+  WHEN contains(lower(family), 'weblogs') THEN 'Web'
+  WHEN lower(family) = 'billing_load' THEN 'Billing'
   ELSE array_to_string(list_transform(string_split(trim(regexp_replace({SIMPLE}, '[_\-\s]+', ' ', 'g')), ' '),
     lambda w: upper(w[1]) || lower(w[2:])), ' ') END
 """
 HIDDEN = (
-    "(lower(trim({0})) IN ('dbt tests','smoke.test','assert_no_expired_members_active','dim','int')"
-    " OR lower({0}) LIKE '%total#_row%' ESCAPE '#' OR lower({0}) LIKE '%processing#_time%' ESCAPE '#'"
-    " OR lower({0}) LIKE '%lisw%' OR lower({0}) LIKE '%nt#_marketing#_#_uni%' ESCAPE '#')"
+    "(lower(trim({0})) IN ('dbt tests','probe.check','dim','int')"
+    " OR lower(trim({0})) LIKE '%#_spare#_%' ESCAPE '#' OR lower(trim({0})) LIKE 'night%')"
 )
 
 

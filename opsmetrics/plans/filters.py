@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from opsmetrics.functions import clock, names
 from opsmetrics.operators import filters
 from opsmetrics.plans.common import hidden_sql, identity_sql, representative_sql, rounded
-from opsmetrics.plans.fixtures import ME, NOW, PNOW, PROD, anchor, metric_events, prod_events
+from opsmetrics.plans.fixtures import ME, NOW, PNOW, PROD, RULES, anchor, metric_events, prod_events
 from opsmetrics.plans.registry import query
 
 CORE = ("event_key", "pipeline_name", "metric_name", "severity", "occurred_at", "environment")
@@ -52,7 +52,7 @@ rep AS ({representative_sql('s')}), n AS ({identity_sql('rep')})
 SELECT event_key, pipeline_name, metric_name FROM s WHERE pipeline_name NOT IN
   (SELECT pipeline_name FROM n WHERE {hidden_sql('name')} OR {hidden_sql('family')})""")
 def hide_list_filter(spark, sf):
-    return filters.hide_list_filter(metric_events(spark, sf)).select(
+    return filters.hide_list_filter(metric_events(spark, sf), RULES).select(
         "event_key", "pipeline_name", "metric_name")
 
 
@@ -84,7 +84,7 @@ SELECT event_key, p.pipeline_name FROM prod p
 WHERE p.pipeline_name IN (SELECT pipeline_name FROM n WHERE family = 'proj1_stg' OR grp = 'Proj1 Stg')""")
 def selector_filters(spark, sf):
     events = prod_events(spark, sf)
-    return filters.selector_filters(events, filters.pipeline_names(events), family="proj1_stg").select(
+    return filters.selector_filters(events, filters.pipeline_names(events, RULES), family="proj1_stg").select(
         "event_key", "pipeline_name")
 
 
@@ -94,7 +94,7 @@ SELECT DISTINCT level, option FROM (
   SELECT 'group' AS level, grp AS option FROM n UNION ALL SELECT 'family', family FROM n
   UNION ALL SELECT 'pipeline', pipeline_name FROM n)""")
 def selector_options(spark, sf):
-    return filters.selector_options(filters.pipeline_names(prod_events(spark, sf)))
+    return filters.selector_options(filters.pipeline_names(prod_events(spark, sf), RULES))
 
 
 @query("recent_n_for_pipeline", f"""
@@ -114,9 +114,9 @@ def lookup_by_run_id(spark, sf):
 
 @query("unsent_alerts", f"""
 WITH {ME} SELECT event_key, pipeline_name, severity, occurred_at FROM me
-WHERE is_alert AND NOT sent AND severity <> 'warning' ORDER BY occurred_at, event_key LIMIT 100""")
+WHERE is_alert AND NOT sent AND severity <> 'warning'""")
 def unsent_alerts(spark, sf):
-    return filters.unsent_alerts(metric_events(spark, sf)).select(
+    return filters.unsent_alerts(metric_events(spark, sf), poll_size=None).select(
         "event_key", "pipeline_name", "severity", "occurred_at")
 
 
@@ -124,7 +124,7 @@ def unsent_alerts(spark, sf):
 WITH {ME} SELECT event_key, pipeline_name, severity, occurred_at FROM me
 WHERE is_alert AND NOT sent AND severity IN ('critical', 'error') ORDER BY occurred_at, event_key LIMIT 100""")
 def unsent_alerts_fast_lane(spark, sf):
-    return filters.unsent_alerts(metric_events(spark, sf), lane="fast").select(
+    return filters.unsent_alerts(metric_events(spark, sf), lane="fast", poll_size=100).select(
         "event_key", "pipeline_name", "severity", "occurred_at")
 
 
@@ -154,7 +154,7 @@ def win_representative_payload(spark, sf):
 WITH {ME}, {PROD}, rep AS ({representative_sql('prod')}), n AS ({identity_sql('rep')})
 SELECT pipeline_name, name, family, kind, grp AS "group" FROM n""")
 def pipeline_names(spark, sf):
-    return filters.pipeline_names(prod_events(spark, sf))
+    return filters.pipeline_names(prod_events(spark, sf), RULES)
 
 
 @query("event_window_half_open", f"""

@@ -7,6 +7,18 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsmetrics.functions.names import NameRules
+from opsmetrics.operators.timeline import TimelineOptions
+
+# Invented name rules; `plans/common.py` restates them for the SQL side.
+RULES = NameRules(
+    sync_prefix="relay-", sync_family="relay", prefixed_projects=("annex",),
+    groups=(("prefix", "proj0_", "Project Zero"), ("contains", "postgres", "Relational"),
+            ("contains", "weblogs", "Web"), ("exact", "billing_load", "Billing")),
+    hidden=("dbt tests", "probe.check", "dim", "int", "*_spare_*", "night*"),
+)
+LANE_OPTIONS = TimelineOptions(rules=RULES)
+
 METRIC_EVENTS = """
 SELECT CAST(event_id AS STRING) AS event_key,
   CASE user_id % 11
@@ -15,7 +27,7 @@ SELECT CAST(event_id AS STRING) AS event_key,
     WHEN 4 THEN 'stg_mail__click'            WHEN 5 THEN 'stg_mail__open'
     WHEN 6 THEN 'dim_customer'               WHEN 7 THEN 'not_null_orders_id'
     WHEN 8 THEN 'billing_load'               WHEN 9 THEN 'plausible'
-    ELSE 'smoke.test' END AS pipeline_name,
+    ELSE 'probe.check' END AS pipeline_name,
   CASE event_type WHEN 'view' THEN 'ingest.web.view.rows' WHEN 'click' THEN 'ingest.web.click.rows'
     WHEN 'purchase' THEN 'load.web.purchase.rows_loaded' WHEN 'signup' THEN 'sync.web.signup.max_date'
     ELSE 'dbt_model_run' END AS metric_name,
@@ -55,8 +67,8 @@ FROM orders
 """
 
 QUERY_HISTORY = """
-SELECT concat('select ', l_returnflag, ' from lineitem where d = ',
-    substring(CAST(l_shipdate AS STRING), 1, 10)) AS query_text,
+SELECT concat(CASE WHEN l_linenumber = 2 THEN concat('select /* ', repeat('long head ', 110), '*/ ') ELSE 'select ' END,
+    l_returnflag, ' from lineitem where d = ', substring(CAST(l_shipdate AS STRING), 1, 10)) AS query_text,
   concat('wh', CAST(l_suppkey % 3 AS STRING)) AS warehouse_name,
   CASE l_linenumber WHEN 1 THEN 'X-Small' WHEN 2 THEN 'Small' WHEN 3 THEN 'Medium'
     WHEN 4 THEN 'Large' WHEN 5 THEN 'X-Large' WHEN 6 THEN 'Adaptive' END AS warehouse_size,

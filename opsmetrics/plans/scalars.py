@@ -8,30 +8,30 @@ from opsmetrics.functions import clock, documents, keys, names, severity, text
 from opsmetrics.operators import filters
 from opsmetrics.plans import fixtures as fx
 from opsmetrics.plans.common import GROUP, SIMPLE, identity_sql
-from opsmetrics.plans.fixtures import ME, cte, derive, metric_events, table
+from opsmetrics.plans.fixtures import ME, RULES, cte, derive, metric_events, table
 from opsmetrics.plans.registry import query
 
 
 @query("fn_name", f"""
 WITH {ME}, n AS ({identity_sql('me')}) SELECT event_key, name, family, kind, grp AS "group", {SIMPLE} AS simple FROM n""")
 def fn_name(spark, sf):
-    return filters.with_names(metric_events(spark, sf)).select(
+    return filters.with_names(metric_events(spark, sf), RULES).select(
         "event_key", "name", "family", "kind", "group", names.simplify(F.col("family")).alias("simple"))
 
 
 @query("fn_group", f"""
 SELECT o_orderkey, {GROUP} AS "group" FROM (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'ai-ingest-' || o_orderpriority
-  WHEN 1 THEN 'AI_INGEST_Orders_Load' WHEN 2 THEN 'warehouse_postgres_x' WHEN 3 THEN 'braze-cdisync' WHEN 4 THEN 'dbt_snowflake_transformation_stg'
-  WHEN 5 THEN 'plausible_daily' ELSE o_orderstatus || '__mart-load' END AS family FROM orders)""")
+  WHEN 1 THEN 'AI_INGEST_Orders_Load' WHEN 2 THEN 'warehouse_postgres_x' WHEN 3 THEN 'Billing_Load' WHEN 4 THEN 'proj0_stg'
+  WHEN 5 THEN 'weblogs_daily' ELSE o_orderstatus || '__mart-load' END AS family FROM orders)""")
 def fn_group(spark, sf):
     k = F.col("o_orderkey") % 7
     fam = (
         F.when(k == 0, F.concat(F.lit("ai-ingest-"), "o_orderpriority")).when(k == 1, "AI_INGEST_Orders_Load")
-        .when(k == 2, "warehouse_postgres_x").when(k == 3, "braze-cdisync")
-        .when(k == 4, "dbt_snowflake_transformation_stg").when(k == 5, "plausible_daily")
+        .when(k == 2, "warehouse_postgres_x").when(k == 3, "Billing_Load")
+        .when(k == 4, "proj0_stg").when(k == 5, "weblogs_daily")
         .otherwise(F.concat("o_orderstatus", F.lit("__mart-load"))))
     rows = table(spark, sf, "orders").withColumn("family", fam)
-    return rows.select("o_orderkey", names.group(F.col("family")).alias("group"))
+    return rows.select("o_orderkey", names.group(F.col("family"), RULES).alias("group"))
 
 
 WRAPPED = """wr AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"k":"a","n":' || CAST(event_id AS STRING) || '}'

@@ -166,12 +166,12 @@ def alarm_messages_to_metrics(spark, sf):
 
 
 CHECKED = f"""{cte('fr', fx.FAILURE_REPORTS)}, ck AS (SELECT *, CASE
-  WHEN trim(coalesce(pipeline_name, '')) = '' THEN 'missing or empty required field: pipeline_name'
-  WHEN trim(coalesce(run_id, '')) = '' THEN 'missing or empty required field: run_id'
-  WHEN trim(coalesce(error_message, '')) = '' THEN 'missing or empty required field: error_message'
-  WHEN lower(severity) NOT IN ('critical', 'error', 'warning', 'info') THEN 'severity'
-  WHEN metric_value IS NOT NULL AND try_cast(metric_value AS DOUBLE) IS NULL THEN 'metric_value must be numeric'
-  WHEN payload IS NOT NULL AND NOT starts_with(payload, '{{') THEN 'payload must be an object' END AS reject_reason FROM fr)"""
+  WHEN trim(coalesce(pipeline_name, '')) = '' THEN 'no_pipeline_name'
+  WHEN trim(coalesce(run_id, '')) = '' THEN 'no_run_id'
+  WHEN trim(coalesce(error_message, '')) = '' THEN 'no_error_message'
+  WHEN lower(severity) NOT IN ('critical', 'error', 'warning', 'info') THEN 'unknown_severity'
+  WHEN metric_value IS NOT NULL AND try_cast(metric_value AS DOUBLE) IS NULL THEN 'value_not_a_number'
+  WHEN payload IS NOT NULL AND NOT starts_with(payload, '{{') THEN 'payload_not_an_object' END AS reject_reason FROM fr)"""
 
 
 @query("failure_reports_to_metrics", f"""
@@ -190,7 +190,7 @@ def failure_reports_to_metrics(spark, sf):
 WITH {CHECKED} SELECT report_id, reject_reason FROM ck WHERE reject_reason IS NOT NULL""")
 def failure_report_rejects(spark, sf):
     _, bad = adapters.failure_reports_to_metrics(derive(spark, sf, fx.FAILURE_REPORTS, "events"))
-    return bad.select("report_id", F.regexp_replace("reject_reason", "^severity must.*", "severity").alias("reject_reason"))
+    return bad.select("report_id", "reject_reason")
 
 
 @query("run_results_to_failures", f"""

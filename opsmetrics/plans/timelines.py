@@ -10,7 +10,7 @@ from opsmetrics.functions import clock
 from opsmetrics.operators import filters, timeline
 from opsmetrics.operators.timeline import TimelineOptions
 from opsmetrics.plans.common import hidden_sql, identity_sql, representative_sql, rounded
-from opsmetrics.plans.fixtures import ME, PNOW, PROD, anchor, metric_events, prod_events
+from opsmetrics.plans.fixtures import LANE_OPTIONS, ME, PNOW, PROD, RULES, anchor, metric_events, prod_events
 from opsmetrics.plans.registry import query
 
 RANK = ("CASE severity WHEN 'noload' THEN 1.5 WHEN 'running' THEN 1.7 WHEN 'warning' THEN 2.0 "
@@ -93,13 +93,13 @@ def _view(spark, sf):
 @query("tl_runs", f"WITH {BASE} {runs_sql(24).replace('rnk AS rank', 'CAST(rnk AS DOUBLE) AS rank')}")
 def tl_runs(spark, sf):
     events, now = _view(spark, sf)
-    return timeline.runs(timeline.visible(events), *timeline.window_bounds(now))
+    return timeline.runs(timeline.visible(events, RULES), *timeline.window_bounds(now))
 
 
 @query("tl_lanes", f"WITH {BASE}, {lanes_sql(24)} SELECT {LANE_SQL} FROM ln")
 def tl_lanes(spark, sf):
     events, now = _view(spark, sf)
-    return rounded(timeline.lanes(events, now), "cadence_s", "since_last_s", "stale_after_s", "jitter").select(*LANE)
+    return rounded(timeline.lanes(events, now, LANE_OPTIONS), "cadence_s", "since_last_s", "stale_after_s", "jitter").select(*LANE)
 
 
 GHOST = f"""
@@ -113,7 +113,7 @@ gg AS (SELECT * FROM gh WHERE pipeline_name NOT IN (SELECT pipeline_name FROM ac
 @query("anti_ghost_pipelines", f"WITH {BASE}, {GHOST} SELECT * FROM gg")
 def anti_ghost_pipelines(spark, sf):
     events, now = _view(spark, sf)
-    return timeline.ghost_pipelines(events, now, TimelineOptions(window_hours=1))
+    return timeline.ghost_pipelines(events, now, TimelineOptions(window_hours=1, rules=RULES))
 
 
 @query("tl_ghost_lanes", f"""
@@ -127,7 +127,7 @@ SELECT pipeline_name, name, family, grp AS "group", kind, last_seen, round(caden
 FROM q WHERE NOT {hidden_sql('name')} AND NOT {hidden_sql('family')} AND since_last_s BETWEEN 0 AND 98 * 86400""")
 def tl_ghost_lanes(spark, sf):
     events, now = _view(spark, sf)
-    out = timeline.ghost_lanes(events, now, TimelineOptions(window_hours=1))
+    out = timeline.ghost_lanes(events, now, TimelineOptions(window_hours=1, rules=RULES))
     return rounded(out, "cadence_s", "since_last_s", "stale_after_s").select(
         "pipeline_name", "name", "family", "group", "kind", "last_seen", "cadence_s", "since_last_s",
         "stale_after_s", "stale", "status_label")
@@ -140,7 +140,7 @@ SELECT pipeline_name, last_seen, round(cadence_s, 4) AS cadence_s, round({SINCE}
 FROM ls LEFT JOIN cd USING (pipeline_name), a""")
 def tl_stale(spark, sf):
     events, now = _view(spark, sf)
-    rows = timeline.visible(filters.window(events, now, 7))
+    rows = timeline.visible(filters.window(events, now, 7), RULES)
     seen = rows.groupBy("pipeline_name").agg(F.max("occurred_at").alias("last_seen"))
     marks = timeline.buckets(rows)
     out = timeline.staleness(seen, timeline.cadence(timeline.session_starts(marks)), now, TimelineOptions())
@@ -154,14 +154,14 @@ SELECT pipeline_name, CAST(session AS BIGINT) AS session, min(bucket) AS session
   count(*) AS buckets FROM nb GROUP BY 1, 2""")
 def win_sessionize(spark, sf):
     events, now = _view(spark, sf)
-    return timeline.sessions(timeline.buckets(timeline.visible(filters.window(events, now, 7))))
+    return timeline.sessions(timeline.buckets(timeline.visible(filters.window(events, now, 7), RULES)))
 
 
 @query("win_cadence", f"""
 WITH {BASE}, {session_sql()} SELECT pipeline_name, round(cadence_s, 4) AS cadence_s FROM cd""")
 def win_cadence(spark, sf):
     events, now = _view(spark, sf)
-    marks = timeline.buckets(timeline.visible(filters.window(events, now, 7)))
+    marks = timeline.buckets(timeline.visible(filters.window(events, now, 7), RULES))
     return rounded(timeline.cadence(timeline.session_starts(marks)), "cadence_s")
 
 
@@ -173,7 +173,7 @@ SELECT pipeline_name, round(cadence_s, 4) AS cadence_s, round(jitter, 6) AS jitt
 FROM jt JOIN ls USING (pipeline_name), a WHERE jitter IS NOT NULL""")
 def win_predict_next(spark, sf):
     events, now = _view(spark, sf)
-    rows = timeline.visible(filters.window(events, now, 7))
+    rows = timeline.visible(filters.window(events, now, 7), RULES)
     seen = rows.groupBy("pipeline_name").agg(F.max("occurred_at").alias("last_seen"))
     out = timeline.predict_next(timeline.session_starts(timeline.buckets(rows)), seen, now)
     return rounded(rounded(out, "cadence_s"), "jitter", digits=6)
@@ -183,13 +183,13 @@ def win_predict_next(spark, sf):
 WITH {BASE}, {lanes_sql(24)} SELECT pipeline_name, last_severity, status_cls, status_label FROM ln""")
 def win_latest_run_status(spark, sf):
     events, now = _view(spark, sf)
-    return timeline.lanes(events, now).select("pipeline_name", "last_severity", "status_cls", "status_label")
+    return timeline.lanes(events, now, LANE_OPTIONS).select("pipeline_name", "last_severity", "status_cls", "status_label")
 
 
 @query("agg_lane_counts", f"WITH {BASE} {counts_sql(24)}")
 def agg_lane_counts(spark, sf):
     events, now = _view(spark, sf)
-    out = timeline.lane_counts(timeline.visible(events), *timeline.window_bounds(now))
+    out = timeline.lane_counts(timeline.visible(events, RULES), *timeline.window_bounds(now))
     return out.select("pipeline_name", "events", *timeline.COUNTED, "alerts")
 
 
@@ -222,9 +222,9 @@ FROM br JOIN o USING (cls) GROUP BY 1, 2""")
 def agg_merge_runs(spark, sf):
     events, now = _view(spark, sf)
     start, end = timeline.window_bounds(now)
-    rows = timeline.visible(filters.window(events, now, 7))
+    rows = timeline.visible(filters.window(events, now, 7), RULES)
     bars = timeline.runs(rows, start, end).join(
-        filters.pipeline_names(rows).select("pipeline_name", "family"), "pipeline_name")
+        filters.pipeline_names(rows, RULES).select("pipeline_name", "family"), "pipeline_name")
     merged = timeline.merge_runs(
         bars.withColumn("left", timeline.bar_left(F.col("bucket"), start, end)), ["family"])
     return merged.withColumn("classes", F.array_join("classes", ","))
@@ -257,11 +257,11 @@ SELECT 'group', "group", NULL, n AS n_children, lanes, n_fail, n_warn, n_noload,
   SELECT "group", count(*) AS n, CAST(sum(n_children) AS BIGINT) AS lanes, CAST(sum(n_fail) AS BIGINT) AS n_fail,
     CAST(sum(n_warn) AS BIGINT) AS n_warn, CAST(sum(n_noload) AS BIGINT) AS n_noload, CAST(sum(n_running) AS BIGINT) AS n_running,
     CAST(sum(n_loaded) AS BIGINT) AS n_loaded, CAST(sum(n_stale) AS BIGINT) AS n_stale, max(rank) AS rank, FALSE AS ghost, {CHILD_COUNTS}
-  FROM fm WHERE "group" IN ('Postgres', 'Plausible', 'Braze CDI Sync', 'Dbt Snowflake Transformations') GROUP BY 1) g
+  FROM fm WHERE "group" IN ('Project Zero', 'Relational', 'Web', 'Billing') GROUP BY 1) g
 WHERE n > 1""")
 def agg_family_group(spark, sf):
     events, now = _view(spark, sf)
-    return timeline.family_groups(timeline.lanes(events, now)).select(
+    return timeline.family_groups(timeline.lanes(events, now, LANE_OPTIONS), RULES).select(
         "level", "group", "family", "n_children", "lanes", "n_fail", "n_warn", "n_noload", "n_running", "n_loaded",
         "n_stale", "rank", "status_cls", "kind", "ghost")
 
@@ -272,7 +272,7 @@ s AS (SELECT kind, count(*) AS n, {CHILD_COUNTS} FROM ln GROUP BY 1)
 SELECT kind, n AS n_children, {CHILD} AS status_cls FROM s""")
 def agg_parent_status(spark, sf):
     events, now = _view(spark, sf)
-    return timeline.roll_statuses(timeline.lanes(events, now), ["kind"]).select(
+    return timeline.roll_statuses(timeline.lanes(events, now, LANE_OPTIONS), ["kind"]).select(
         "kind", "n_children", "status_cls")
 
 
@@ -281,7 +281,7 @@ WITH {BASE}, {lanes_sql(24)} SELECT pipeline_name, CAST(sort_rank AS DOUBLE) AS
 ORDER BY sort_rank DESC, events DESC, pipeline_name""")
 def sort_worst_first(spark, sf):
     events, now = _view(spark, sf)
-    return timeline.worst_first(timeline.lanes(events, now)).select("pipeline_name", "sort_rank", "events")
+    return timeline.worst_first(timeline.lanes(events, now, LANE_OPTIONS)).select("pipeline_name", "sort_rank", "events")
 
 
 @query("topk_fail_warn_stale", f"""
@@ -293,7 +293,7 @@ UNION ALL SELECT * FROM (SELECT 'warn', pipeline_name, warning AS score FROM ln
 UNION ALL SELECT * FROM (SELECT 'stale', pipeline_name, 0 FROM ln WHERE stale ORDER BY sort_rank DESC, events DESC, pipeline_name LIMIT 6)""")
 def topk_fail_warn_stale(spark, sf):
     events, now = _view(spark, sf)
-    return timeline.top_lists(timeline.lanes(events, now))
+    return timeline.top_lists(timeline.lanes(events, now, LANE_OPTIONS))
 
 
 RANGE = f"""
@@ -310,7 +310,7 @@ WITH {BASE}, {RANGE} SELECT pipeline_name, bucket, CAST(rnk AS DOUBLE) AS rank,
   alerts, {SEV} AS worst, round(0.35 + 0.65 * (n / (SELECT max(n) FROM r)), 2) AS opacity FROM r""")
 def agg_range_cells(spark, sf):
     events, now = _view(spark, sf)
-    return timeline.range_cells(events, now - timedelta(days=7), now)
+    return timeline.range_cells(events, now - timedelta(days=7), now, rules=RULES)
 
 
 @query("tl_range_lanes", f"""
@@ -326,7 +326,7 @@ SELECT pipeline_name, CAST(events AS BIGINT) AS events,
 FROM u""")
 def tl_range_lanes(spark, sf):
     events, now = _view(spark, sf)
-    cells = timeline.range_cells(events, now - timedelta(days=7), now)
+    cells = timeline.range_cells(events, now - timedelta(days=7), now, rules=RULES)
     return timeline.range_lanes(cells).select("pipeline_name", "events", "status_label", "sort_rank")
 
 

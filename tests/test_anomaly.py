@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from opsmetrics.functions.names import NameRules
 from opsmetrics.operators import anomaly, series
 from opsmetrics.operators.anomaly import AnomalyOptions
 
@@ -15,7 +16,7 @@ def hourly(metric, n=20, value=1000.0, pipeline="some-ingest", start=T0):
 
 
 def scored(events, rows, **kw):
-    opts = AnomalyOptions(**{"row_limit": 0, **kw})
+    opts = AnomalyOptions(**{"row_limit": 0, "rules": NameRules(hidden=("*total_row*",)), **kw})
     now = max(r["occurred_at"] for r in rows)
     return {(r.metric_name, r.pipeline_name): r for r in anomaly.score(events(rows), now, opts).collect()}
 

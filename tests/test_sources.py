@@ -115,18 +115,18 @@ def test_tolerant_json(spark):
 def test_names_follow_the_model_identity(events):
     rows = filters.with_names(events([
         {"pipeline_name": "x", "metric_name": "dbt_model_run", "payload": '{"unique_id":"model.core.stg_mail__click"}'},
-        {"pipeline_name": "dbt_run_failures", "payload": '{"failures":[{"unique_id":"model.appsflyer_load.installs"}]}'},
-        {"pipeline_name": "braze-cdi-delete"}, {"pipeline_name": "not_null_a"}, {"pipeline_name": "ai-ingest-web-ai-load-w"},
+        {"pipeline_name": "dbt_run_failures", "payload": '{"failures":[{"unique_id":"model.annex_load.installs"}]}'},
+        {"pipeline_name": "relay-delete"}, {"pipeline_name": "not_null_a"}, {"pipeline_name": "ai-ingest-web-ai-load-w"},
         {"pipeline_name": ""},
-    ])).orderBy("event_key").collect()
+    ]), names.NameRules(sync_prefix="relay", sync_family="relay", prefixed_projects=("annex",))).orderBy("event_key").collect()
     assert [(r.name, r.family) for r in rows] == [
-        ("stg_mail__click", "core_stg"), ("appsflyer_load_installs", "appsflyer_load"), ("delete", "braze-cdisync"),
+        ("stg_mail__click", "core_stg"), ("annex_load_installs", "annex_load"), ("delete", "relay"),
         ("dbt tests", "dbt tests"), ("ai-ingest-web-ai-load-w", "ai-ingest-web"), ("—", "—")]
 
 
 def test_hide_list_globs(spark):
     df = spark.createDataFrame([(n,) for n in ("dim", "DIM ", "dim_x", "a_total_rows", "processing_time", "ok", "", None)], "n string")
-    assert [r.h for r in df.select(names.hidden(F.col("n")).alias("h")).collect()] == [True, True, False, True, True, False, False, False]
+    assert [r.h for r in df.select(names.hidden(F.col("n"), names.NameRules(hidden=("dim", "*total_row*", "%processing_time%"))).alias("h")).collect()] == [True, True, False, True, True, False, False, False]
 
 
 def test_number_labels_round_like_the_exact_value(spark):
@@ -156,7 +156,7 @@ def test_alert_is_sent_only_after_a_success(events, spark):
 
 def test_alert_lanes_are_disjoint(events):
     rows = events([{"is_alert": True, "severity": s} for s in (*SEVERITIES, "noload")])
-    lanes = {lane: {r.severity for r in filters.unsent_alerts(rows, lane).collect()} for lane in filters.LANES}
+    lanes = {lane: {r.severity for r in filters.unsent_alerts(rows, lane, poll_size=100).collect()} for lane in filters.LANES}
     assert lanes["fast"] | lanes["batch"] == lanes["all"] and not lanes["fast"] & lanes["batch"]
     assert "warning" not in lanes["all"]
 

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+from opsmetrics.functions.names import NameRules
 from opsmetrics.operators import timeline
 from opsmetrics.operators.timeline import TimelineOptions
 
@@ -45,9 +46,9 @@ def test_newest_run_decides_the_status(events):
         {"pipeline_name": "a", "occurred_at": NOW - timedelta(hours=1)},
         {"pipeline_name": "b", "occurred_at": NOW - timedelta(hours=1), "severity": "error", "is_alert": True},
         {"pipeline_name": "b", "occurred_at": NOW - timedelta(hours=2)},
-        {"pipeline_name": "smoke.test", "occurred_at": NOW - timedelta(hours=1)},
+        {"pipeline_name": "hide.me", "occurred_at": NOW - timedelta(hours=1)},
     ])
-    out = {r.pipeline_name: r for r in timeline.lanes(rows, NOW).collect()}
+    out = {r.pipeline_name: r for r in timeline.lanes(rows, NOW, TimelineOptions(rules=NameRules(hidden=("hide.*",)))).collect()}
     assert set(out) == {"a", "b"}
     assert (out["a"].status_label, out["a"].critical, out["a"].sort_rank) == ("OK", 1, 4.0)
     assert (out["b"].status_label, out["b"].alerts) == ("DEGRADED", 1)
