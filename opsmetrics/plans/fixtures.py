@@ -151,7 +151,7 @@ SELECT concat('m', CAST(event_id AS STRING)) AS message_id,
     WHEN user_id % 4 = 1 THEN concat('arn:aws:sns:r:1:ai-ingest-svc', CAST(user_id % 6 AS STRING), '-alerts')
     ELSE concat('arn:aws:sns:r:1:topic', CAST(user_id % 3 AS STRING)) END AS topic_arn,
   ts AS occurred_at
-FROM events WHERE event_type = 'error'
+FROM events
 """
 
 FAILURE_REPORTS = """
@@ -164,7 +164,7 @@ SELECT concat('f', CAST(event_id AS STRING)) AS report_id,
   CASE WHEN event_id % 4 = 0 THEN 'load_failure' END AS metric_name,
   CASE WHEN event_id % 29 = 0 THEN '[1]' WHEN event_id % 3 = 1 THEN '{"step":"load"}' END AS payload,
   ts AS occurred_at, 'prod' AS environment
-FROM events WHERE event_type = 'error'
+FROM events
 """
 
 RUN_RESULTS = """
@@ -183,7 +183,7 @@ SELECT concat('d', CAST(event_id AS STRING)) AS delivery_id, CAST(event_id AS ST
   CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'sent' END AS status,
   CASE WHEN event_id % 4 = 0 THEN 'http 500' END AS error_message,
   ts + INTERVAL 60 SECOND AS sent_at
-FROM events WHERE event_type = 'error' AND event_id % 3 <> 0
+FROM events WHERE event_type = 'error'
 """
 
 RUN_FAILURE_PAYLOADS = """
@@ -198,7 +198,7 @@ SELECT CAST(event_id AS STRING) AS event_key, 'dbt_run_failures' AS pipeline_nam
       '"},{"pipeline_name":"m', CAST(user_id % 3 AS STRING), '"}]}')
     ELSE '{"reason":""}' END AS payload,
   ts AS occurred_at, TRUE AS is_alert, FALSE AS sent, CAST(NULL AS TIMESTAMP) AS sent_at, 'prod' AS environment
-FROM events WHERE event_type = 'error'
+FROM events
 """
 
 PROMPT_LOG = """
