@@ -71,7 +71,25 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRICKY_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
-@query("op3_chat_format")
+STEP = """CASE split_part(acc, '|', 1) || '>' || x WHEN 'start>system' THEN 'instructed' WHEN 'start>user' THEN 'asked'
+    WHEN 'instructed>user' THEN 'asked' WHEN 'asked>assistant' THEN 'answered' WHEN 'answered>user' THEN 'asked' END"""
+
+
+@query("op3_chat_format", sql=rf"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{TRICKY_TEXT}' FROM range(2) r(i)),
+    c AS (SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(12 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|im_(start|end)\|>')) + 11)::BIGINT AS formatted_chars,
+        list_reduce(['start|-|0'] || list(role ORDER BY turn NULLS FIRST, role, text), lambda acc, x: concat(
+          coalesce({STEP}, split_part(acc, '|', 1)), '|',
+          CASE WHEN split_part(acc, '|', 2) = '-' AND {STEP} IS NULL THEN split_part(acc, '|', 3) ELSE split_part(acc, '|', 2) END,
+          '|', CAST(split_part(acc, '|', 3) AS INT) + 1)) AS run
+      FROM t GROUP BY conv_id)
+    SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+      split_part(run, '|', 1) = 'answered' AND split_part(run, '|', 2) = '-' AS valid, try_cast(split_part(run, '|', 2) AS INT) AS first_error FROM c
+""")
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -88,7 +106,27 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"), "valid", "first_error")
 
 
-@query("op4_url_filter")
+def _quoted(terms) -> str:
+    return ", ".join(f"'{t}'" for t in terms)
+
+
+@query("op4_url_filter", sql=rf"""
+    WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    w AS (SELECT *, string_split_regex(lower(host || path), '[^\p{{L}}\p{{N}}]+') AS words,
+        CASE WHEN ends_with('.' || host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+          WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+          WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/'
+          WHEN ends_with('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+          WHEN ends_with('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/' END AS rule FROM u),
+    n AS (SELECT *, list_filter(words, lambda x: x IN ({_quoted(url_filter.STRICT_TERMS)})) AS strict,
+        list_filter(words, lambda x: x IN ({_quoted(url_filter.SOFT_TERMS)})) AS soft FROM w)
+    SELECT page_id, host, path, rule,
+      CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+        WHEN len(strict) > 0 OR len(list_distinct(soft)) >= 2 THEN 'block' ELSE 'allow' END AS verdict,
+      len(strict) AS strict_hits, len(soft) AS soft_hits FROM n
+""")
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
     return judged.select(

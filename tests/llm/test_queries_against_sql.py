@@ -1,0 +1,24 @@
+"""The operators' queries against their SQL, whole tables."""
+
+import duckdb
+import pytest
+
+from opsmetrics.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_all_ten_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    rel = con.execute(ORACLES[name])
+    columns = [d[0] for d in rel.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, rel.fetchall()))
