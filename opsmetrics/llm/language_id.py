@@ -131,14 +131,19 @@ def _reject_below(chances: np.ndarray, y: np.ndarray, precision: float) -> float
 
 
 def _labelled_counts(docs: DataFrame, may_learn: Column, settings: Settings, id_col: str, text_col: str, lang_col: str):
-    """Subword counts and languages of the sample: of each language the same number of texts, first
-    in a seeded order. Spark keeps that many per language and task before the shuffle."""
+    """Subword counts and languages of the sample: of each language about the same number of texts,
+    first in a seeded order. The seeded number of a row and the size of its language tell whether
+    it can be among them; only twice as many as wanted are ranked, however large a language is."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    langs = rows.select("lang").distinct().count()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    langs = sizes.count()
     each = max(settings.sample // max(langs, 1), 1)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(settings.seed), "id"), "id")
-    ids = rows.select("id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("id")
+    place = F.pmod(F.xxhash64(F.lit(settings.seed), "id"), F.lit(1 << 31)) / float(1 << 31)
+    near = rows.select("id", "lang", place.alias("place")).join(sizes, "lang").where(
+        F.col("place") < 2.0 * each / F.col("rows"))
+    first = Window.partitionBy("lang").orderBy("place", "id")
+    ids = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("id")
     sample = rows.join(F.broadcast(ids.distinct().limit(each * max(langs, 1))), "id")  # at most `sample` ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
