@@ -187,7 +187,9 @@ def _round(spark: SparkSession, state: _State, capacity: int, small: int) -> tup
     filled = crossed.groupBy("seq").agg(F.sum("size").alias("filled"))
     gaps = stage(untouched.join(filled, "seq", "left").select(
         "seq", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")).where("gap > 0").unionAll(used), "gaps")
-    keep = spark.createDataFrame(list(plan.keep.items()), "part int, keep long")
+    keep = spark.createDataFrame(pa.table(
+        {"part": list(plan.keep.keys()), "keep": list(plan.keep.values())},
+        schema=pa.schema([("part", pa.int32()), ("keep", pa.int64())])))
     left = stage(free.join(F.broadcast(keep), "part").where("rank < keep").select("id", "size"), "unplaced")
     number, tokens = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     return _State(left, gaps, number, tokens, gaps.count()), inside.unionAll(crossed.select("id", "seq", "offset"))
@@ -196,7 +198,9 @@ def _round(spark: SparkSession, state: _State, capacity: int, small: int) -> tup
 def _crossed(spark: SparkSession, free: DataFrame, untouched: DataFrame, plan: _Between, capacity: int) -> DataFrame:
     """Pieces that meet a gap of a higher range, by their ranks."""
     # at most two rows per range
-    meets = spark.createDataFrame(plan.intervals, "p int, low long, high long, each long, q int, gap_low long")
+    kinds = {"p": pa.int32(), "low": pa.int64(), "high": pa.int64(), "each": pa.int64(), "q": pa.int32(), "gap_low": pa.int64()}
+    meets = spark.createDataFrame(pa.table(
+        [pa.array(c, t) for c, t in zip(zip(*plan.intervals, strict=True), kinds.values(), strict=True)], names=list(kinds)))
     in_interval = (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     below = Window.partitionBy("seq").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
     return (

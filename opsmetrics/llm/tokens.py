@@ -21,10 +21,14 @@ GENERATION = 1 << 20  # words kept per generation of the cache, about 200 MB
 JOINED = 4096  # words in one call of the tokenizer
 ID_BYTES = 4
 # str.split() parts at these, the tokenizer's white space does not
-_NOT_ITS_SPACE = re.compile("[\x1c-\x1f]")
+_NOT_ITS_SPACE = "\x1c\x1d\x1e\x1f"
 # Letters of Latin-1 whose lower case is one letter, then marks other than the apostrophe: the
 # tokenizer takes the run of letters, in lower case, and the run of marks, each for itself.
 _PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:-@\[-`{-~]*)")
+# The alphabet of byte-level vocabularies: printable bytes stand for themselves, the others are
+# numbered on from 256.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,6 +43,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -46,28 +51,32 @@ class WordTokenizer:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of all words into the young generation."""
-        new = words.difference(self._young)
-        if len(self._young) + len(new) > GENERATION:
-            self._old, self._young, new = self._young, {}, words
-        young, old, plain = self._young, self._old, _PLAIN.fullmatch
-        unknown, joined = set(), []
-        for w in new:
-            if w in old:
-                young[w] = old[w]
-            elif (parts := plain(w)) is None:
-                unknown.add(w)
-            else:
+    def _letters(self, letters: str) -> bytes:
+        """The ids of a run of lower-case letters: one word of the model, in its byte alphabet."""
+        found = self._model.tokenize(letters.encode().decode("latin-1").translate(_BYTE_LETTERS))
+        return array("I", [t.id for t in found]).tobytes()
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that the young generation does not have; it has them then."""
+        if len(self._young) + len(words) > GENERATION:
+            self._old, self._young = self._young, {}
+        young, old, plain, found, others = self._young, self._old, _PLAIN.fullmatch, {}, []
+        for w in words:
+            if (ids := old.get(w)) is None:
+                if (parts := plain(w)) is None:
+                    others.append(w)
+                    continue
                 letters, marks = parts[1].lower(), parts[2]
-                if letters not in young:
-                    unknown.add(letters)
-                if marks and marks not in young:
-                    unknown.add(marks)
-                joined.append((w, letters, marks))
-        young.update(zip(unknown, self._encode_words(list(unknown)), strict=True))
-        for w, letters, marks in joined:
-            young[w] = young[letters] + young[marks] if marks else young[letters]
+                if (ids := young.get(letters)) is None:
+                    young[letters] = ids = self._letters(letters)
+                if marks:
+                    if (after := young.get(marks)) is None:
+                        young[marks] = after = self._encode([marks])[0]
+                    ids += after
+            found[w] = ids
+        found.update(zip(others, self._encode_words(others), strict=True))
+        young.update(found)
+        return found
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, from texts of many words and the places of their tokens."""
@@ -83,12 +92,25 @@ class WordTokenizer:
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        split = [None if _NOT_ITS_SPACE.search(t) else t.split() for t in texts]
-        self._learn(set().union(*(words for words in split if words is not None)))
-        return [
-            self._encode([t])[0] if words is None else b"".join(map(self._young.__getitem__, words))
-            for t, words in zip(texts, split, strict=True)]
+        """The ids of each text, as bytes. Each word is looked up once; texts with words that are
+        not known yet wait until these are learned together."""
+        known, out, waiting = self._young.get, [], []
+        for n, text in enumerate(texts):
+            if any(c in text for c in _NOT_ITS_SPACE):
+                out.append(self._encode([text])[0])
+                continue
+            words = text.split()
+            ids = list(map(known, words))
+            if None in ids:
+                waiting.append((n, words, ids))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        new = {w for _, words, ids in waiting for w, i in zip(words, ids, strict=True) if i is None}
+        found = self._learn(list(new)) if new else {}
+        for n, words, ids in waiting:
+            out[n] = b"".join([found[w] if i is None else i for w, i in zip(words, ids, strict=True)])
+        return out
 
 
 def slabs(texts: pa.Array) -> Iterator[list[str]]:
