@@ -64,9 +64,15 @@ class Model:
     settings: Settings
 
     def terms(self, counts: np.ndarray) -> np.ndarray:
-        tfidf = np.log1p(counts[:, :-1]) * self.idf
-        both = np.hstack([_unit(tfidf), self.settings.repeats * counts[:, -1:]])
-        return _unit(both)
+        """Rows of length one: weighted trigrams of length one, and the repeats beside them."""
+        out = np.empty(counts.shape, dtype=np.float32)
+        grams = out[:, :-1]
+        np.log1p(counts[:, :-1], out=grams)
+        grams *= self.idf
+        grams /= np.maximum(np.linalg.norm(grams, axis=1, keepdims=True), 1e-12)
+        out[:, -1] = self.settings.repeats * counts[:, -1]
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        return out
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
         return _unit(self.terms(counts) @ self.axes)
@@ -100,7 +106,7 @@ def train(counts: np.ndarray, labels: np.ndarray, settings: Settings = Settings(
     flat = Model(idf, np.zeros((terms, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), settings)
     if not len(counts):
         return flat
-    a = flat.terms(counts).astype(np.float32)
+    a = flat.terms(counts)
     k = min(settings.length, len(a))
     span = np.linalg.qr(a @ rng.normal(size=(terms, k + 10)).astype(np.float32))[0]
     for _ in range(settings.passes):
@@ -134,7 +140,9 @@ def fit(
 
     got = texts.join(F.broadcast(picked), "id").select(F.col("id").cast("long"), "label", "text").mapInArrow(
         count, "id long, label int, terms binary").toPandas().drop_duplicates("id").sort_values("id", ignore_index=True)
-    counts = np.stack([np.frombuffer(t, "<f4") for t in got["terms"]]) if len(got) else np.zeros((0, (1 << BITS) + 1), np.float32)
+    counts = np.empty((len(got), (1 << BITS) + 1), dtype=np.float32)
+    for row, terms in zip(counts, got.pop("terms"), strict=True):
+        row[:] = np.frombuffer(terms, "<f4")
     return train(counts, got["label"].to_numpy(), settings)
 
 
