@@ -80,15 +80,16 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def train(counts: np.ndarray, langs: list[str], settings: Settings = Settings()) -> Model:
-    """Fit on one row of subword counts per text. The rows are shuffled by the seed, so equal
-    samples give equal models."""
+    """Fit on one row of subword counts per text; float rows are scaled in place. The rows are taken
+    in an order drawn by the seed, so equal samples give equal models."""
     names = tuple(sorted(set(langs)))
     if not names:
         return Model((), np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
     rng = np.random.default_rng(settings.seed)
     order = rng.permutation(len(langs))
     y = np.array([names.index(lang) for lang in langs])[order]
-    x = (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)[order]
+    x = np.asarray(counts, dtype=np.float32)
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
     back = int(len(y) * settings.held_back)
     emb = rng.normal(0, 1 / settings.width, (x.shape[1], settings.width)).astype(np.float32)
     out, bias = np.zeros((settings.width, len(names)), np.float32), np.zeros(len(names), np.float32)
@@ -98,7 +99,7 @@ def train(counts: np.ndarray, langs: list[str], settings: Settings = Settings())
     for epoch in range(settings.epochs):
         rate = settings.rate * (1 - epoch / settings.epochs)
         for at in range(back, len(y), settings.batch):
-            xb, yb = x[at:at + settings.batch] * scale, y[at:at + settings.batch]
+            xb, yb = x[order[at:at + settings.batch]] * scale, y[at:at + settings.batch]
             mean = xb @ emb
             grad = softmax(mean @ out + bias)
             grad[np.arange(len(yb)), yb] -= 1
@@ -108,7 +109,7 @@ def train(counts: np.ndarray, langs: list[str], settings: Settings = Settings())
             bias -= rate * grad.sum(axis=0)
             emb -= rate * (xb.T @ d_mean)
     table = (emb * scale) @ out
-    held = x[:back] @ table + bias
+    held = x[order[:back]] @ table + bias
     heat = _temperature(held, y[:back]) if back else 1.0
     return Model(names, table / heat, bias / heat, _reject_below(softmax(held / heat), y[:back], settings.precision))
 
