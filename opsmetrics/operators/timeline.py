@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from opsmetrics.functions import clock, names, severity, text
 from opsmetrics.operators import filters
-from opsmetrics.operators.rollup import last_seen as last_seen_of
 
 COUNTED = ("warning", "error", "critical", "noload", "running")
 # --- fixed values -----------------------------------------------------------
@@ -310,12 +309,14 @@ LANE_COLUMNS = (
 
 
 def ghost_pipelines(events: DataFrame, now: datetime, opts: TimelineOptions = TimelineOptions()) -> DataFrame:
-    """anti_ghost_pipelines: retained but silent in the window."""
-    start, end = opts.bounds(now)
-    rows = visible(events, opts.rules)
-    seen = last_seen_of(rows, now, opts.retention_weeks)
-    active = rows.where(_inside(start, end)).select("pipeline_name").distinct()
-    return seen.join(active, "pipeline_name", "left_anti")
+    """anti_ghost_pipelines: retained but silent in the window. One aggregate over one scan."""
+    inside, t = _inside(*opts.bounds(now)), F.col("occurred_at")
+    retained = (t >= clock.ts(now - timedelta(weeks=opts.retention_weeks))) & (t <= clock.ts(now))
+    return (
+        visible(events, opts.rules).where(retained | inside).groupBy("pipeline_name")
+        .agg(F.max(F.when(retained, t)).alias("last_seen"), F.bool_or(inside).alias("_active"))
+        .where(F.col("last_seen").isNotNull() & ~F.col("_active")).select("pipeline_name", "last_seen")
+    )
 
 
 def ghost_lanes(

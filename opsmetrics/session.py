@@ -19,6 +19,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # bounds what a Python worker holds of long texts at once
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     # row_number() <= k is cut to k rows per group before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
     # sessions are merged before the shuffle, so a busy key does not send its rows
