@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from opsmetrics.llm.boxes import boxed, unboxed
 from opsmetrics.session import ship_package, stage
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, WHITE_SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 RANK_BITS = 10  # a (source, size) class is ranked in up to 2^10 parts
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    """Words as one letter each, without what is between them: no list of words is built."""
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x")
+    return F.length(F.regexp_replace(letters, WHITE_SPACE, "")).cast("long")
 
 
 def _text_key(text: Column) -> Column:
