@@ -111,15 +111,16 @@ def alert_text_fields(spark, sf):
 @query("payload_kv_rows", f"""
 WITH {RF}
 SELECT event_key, 'core' AS part, 'metric' AS key, metric_name AS value FROM rf
+UNION ALL SELECT event_key, 'core', 'value', CAST(metric_value AS STRING) FROM rf
 UNION ALL SELECT event_key, 'core', 'severity', severity FROM rf
 UNION ALL SELECT event_key, 'core', 'run_id', run_id FROM rf
 UNION ALL SELECT event_key, 'core', 'environment', environment FROM rf
 UNION ALL SELECT event_key, 'payload', 'host', payload->>'$.host' FROM rf WHERE payload->>'$.host' IS NOT NULL
+UNION ALL SELECT event_key, 'payload', 'failures', payload->>'$.failures' FROM rf WHERE payload->>'$.failures' IS NOT NULL
 UNION ALL SELECT event_key, 'raw', 'k', payload->>'$.raw.k' FROM rf WHERE payload->>'$.raw.k' IS NOT NULL""")
 def payload_kv_rows(spark, sf):
     rows = derive(spark, sf, fx.RUN_FAILURE_PAYLOADS, "events")
-    out = alerts.payload_kv_rows(rows.withColumn("metric_value", F.lit(None).cast("double")))
-    return out.where(F.col("key") != "failures")
+    return alerts.payload_kv_rows(rows)
 
 
 RULES = (

@@ -163,9 +163,8 @@ def fn_enum(spark, sf):
 
 
 @query("fn_map", f"""
-WITH {cte('rf', fx.RUN_FAILURE_PAYLOADS)} SELECT event_key, key, payload->>('$.' || key) AS value FROM rf, (SELECT unnest(['host', 'reason']) AS key)
+WITH {cte('rf', fx.RUN_FAILURE_PAYLOADS)} SELECT event_key, key, payload->>('$.' || key) AS value FROM rf, (SELECT unnest(['error_message', 'failures', 'host', 'raw', 'reason']) AS key)
 WHERE payload->>('$.' || key) IS NOT NULL""")
 def fn_map(spark, sf):
     rows = derive(spark, sf, fx.RUN_FAILURE_PAYLOADS, "events")
-    flat = rows.select("event_key", F.explode(documents.as_map(documents.tolerant_object(F.col("payload")))))
-    return flat.where(F.col("key").isin("host", "reason"))
+    return rows.select("event_key", F.explode(documents.as_map(documents.tolerant_object(F.col("payload")))))
