@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics.llm.byte_ngrams import ngram_counts
-from opsmetrics.session import ship_package
+from opsmetrics.session import ship_package, stage
 
 UNDETERMINED = "und"
 ORDERS = (2, 3)
@@ -49,6 +49,7 @@ def has_letter(text: str | None) -> bool:
 @dataclass(frozen=True)
 class Settings:
     sample: int = 4000  # labelled texts to learn from, in all
+    most_langs: int = 1000  # more labels than this are no languages: an error
     width: int = 16  # length of an embedding
     epochs: int = 12
     batch: int = 32
@@ -137,11 +138,13 @@ def _labelled_counts(docs: DataFrame, may_learn: Column, settings: Settings, id_
     it can be among them; only twice as many as wanted are ranked, however large a language is."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
     langs = sizes.count()
+    if langs > settings.most_langs:
+        raise ValueError(f"{langs} languages; at most {settings.most_langs} are learned")
     each = max(settings.sample // max(langs, 1), 1)
     place = F.pmod(F.xxhash64(F.lit(settings.seed), "id"), F.lit(1 << 31)) / float(1 << 31)
-    near = rows.select("id", "lang", place.alias("place")).join(sizes, "lang").where(
+    near = rows.select("id", "lang", place.alias("place")).join(F.broadcast(sizes), "lang").where(  # checked above
         F.col("place") < 2.0 * each / F.col("rows"))
     first = Window.partitionBy("lang").orderBy("place", "id")
     ids = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("id")

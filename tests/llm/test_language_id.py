@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from opsmetrics.llm.byte_ngrams import ngram_counts
@@ -61,6 +62,11 @@ def test_nulls_repeats_and_the_bound(docs):
     assert {r.lang_pred for r in got if r.id == 60} == {UNDETERMINED}
 
 
+def test_too_many_labels_are_an_error(docs):
+    with pytest.raises(ValueError):
+        fit(docs([(i, RED, f"l{i}") for i in range(6)]), settings=Settings(most_langs=5))
+
+
 def test_held_out_accuracy_and_labels_unseen(spark, table):
     langs = dict(table("documents", "doc_id, lang"))
     got = QUERIES["op1_language_id"](spark, SF).collect()
