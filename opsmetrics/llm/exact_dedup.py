@@ -80,6 +80,20 @@ class DigestIndex:
         )
 
 
+def _decide(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Add the batch to the index. Returns its (id, digest, row) rows and, per digest, keep_id,
+    own_id (the smallest of this batch) and group_size; both are written tables."""
+    rows = stage(
+        docs.select(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest"))
+        .withColumn("row", F.monotonically_increasing_id()), "digests")
+    groups = rows.groupBy("digest").agg(
+        F.min("id").alias("own_id"), F.count(F.lit(1)).alias("group_size"))
+    index.append_new(groups.withColumnRenamed("own_id", "keep_id"))
+    decided = groups.join(index.plain_rows(), "digest").withColumn(
+        "stays", F.col("own_id").eqNullSafe(F.col("keep_id")))
+    return rows, stage(decided.select("digest", "keep_id", "stays", "group_size"), "decided")
+
+
 def add_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Decide every row of `docs` against the index, and add the batch to it.
 
@@ -88,27 +102,18 @@ def add_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     are read once; everything after is (id, digest) rows. Counting is combined before the
     shuffle; the join back to the rows is a plain equi-join whose skewed side Spark can split.
     """
-    rows = stage(
-        docs.select(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest"))
-        .withColumn("row", F.monotonically_increasing_id()), "digests")
-    groups = rows.groupBy("digest").agg(
-        F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    index.append_new(groups)
-    decided = stage(
-        groups.withColumnRenamed("keep_id", "own_id")
-        .join(index.plain_rows(), "digest")
-        .select("digest", "keep_id", "own_id", "group_size"), "decided")
+    rows, decided = _decide(docs, index, id_col, text_col)
     # before the join, where no row needs its whole group: a hot digest stays splittable
     numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "digest").orderBy("row")))
-    stays = F.col("id").eqNullSafe(F.col("keep_id")) & F.col("own_id").eqNullSafe(F.col("keep_id"))
-    return numbered.join(decided, "digest").select(
-        "id", "digest", "keep_id", "group_size", (stays & (F.col("copy") == 1)).alias("kept"))
+    kept = F.col("stays") & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    return numbered.join(decided, "digest").select("id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
 def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, all columns as they are."""
-    kept = add_batch(docs, index, id_col, text_col).where("kept").select(
-        F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    """The rows of `docs` that stay, all columns as they are. One (id, digest) per group is looked
+    up, so a large group is no hot key."""
+    _, decided = _decide(docs, index, id_col, text_col)
+    kept = decided.where("stays").select(F.col("keep_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
     rows = boxed(docs, id=F.col(id_col), digest=text_digest(F.col(text_col)))
     same = rows["id"].eqNullSafe(kept["kept_id"]) & (rows["digest"] == kept["kept_digest"])
     again = Window.partitionBy("id", "digest").orderBy(F.lit(1))
