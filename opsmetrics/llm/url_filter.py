@@ -24,12 +24,12 @@ from opsmetrics.session import ship_package
 
 # The default vocabulary. Strict terms reject alone, soft terms only together.
 STRICT_TERMS = (
-    "casino", "porn", "porno", "spam", "xxx",
+    "casino", "casinos", "porn", "porno", "spam", "xxx",
 )
 SOFT_TERMS = (
-    "adult", "bet", "betting", "bonus", "cheap", "crack", "deal", "dating", "farm", "free",
-    "jackpot", "keygen", "loan", "lottery", "pharma", "pills", "poker", "sex", "slots", "torrent",
-    "warez", "win", "winner",
+    "ads", "adult", "adults", "bet", "bets", "betting", "bonus", "cheap", "crack", "dating", "deals", "farm",
+    "free", "jackpot", "keygen", "loan", "loans", "lottery", "pharma", "pills", "poker", "sex", "slots",
+    "torrent", "torrents", "track", "tracker", "warez", "win", "winner", "x",
 )
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
