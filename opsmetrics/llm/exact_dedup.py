@@ -86,8 +86,9 @@ def _decide(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str) ->
     rows = stage(
         docs.select(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest"))
         .withColumn("row", F.monotonically_increasing_id()), "digests")
-    groups = rows.groupBy("digest").agg(
-        F.min("id").alias("own_id"), F.count(F.lit(1)).alias("group_size"))
+    # written, because the optimizer would move the anti-join below the aggregate, onto all rows
+    groups = stage(rows.groupBy("digest").agg(
+        F.min("id").alias("own_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     index.append_new(groups.withColumnRenamed("own_id", "keep_id"))
     decided = groups.join(index.plain_rows(), "digest").withColumn(
         "stays", F.col("own_id").eqNullSafe(F.col("keep_id")))
