@@ -22,7 +22,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
+    """Of each group of linked fingerprints the document with the smallest id stays, null ids last."""
     return simhash_dedup.keep_one(docs, radius=2, words=3, seed=42)
 
 

@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics.llm.boxes import boxed, unboxed
@@ -77,19 +77,30 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text",
+    with_digest: bool = False,
 ) -> DataFrame:
-    """(id, fp) per row; fp is the 64-bit fingerprint as a signed long. A map, no shuffle."""
+    """(id, fp) per row; fp is the 64-bit fingerprint as a signed long. A map, no shuffle. With
+    `with_digest` also the digest of the text, by which a row is found again among others of its id."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter(
                 (fingerprint(t.as_py(), words, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]],
+                names=["id", "fp", *(["digest"] if with_digest else [])])
 
-    narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return narrow.mapInArrow(run, "id long, fp long")
+    narrow = docs.select(
+        docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"),
+        *([_digest(docs[text_col]).alias("digest")] if with_digest else []))
+    return narrow.mapInArrow(run, "id long, fp long" + ", digest string" * with_digest)
+
+
+def _digest(text: Column) -> Column:
+    """Of the text as it is; null is empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -143,6 +154,12 @@ def linked(prints: DataFrame, radius: int = 2, compared: int = COMPARED) -> Data
     return pairs.unionAll(stars).distinct()
 
 
+def rooted(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """`prints`, one row per distinct `fp`, with the `root` of its component, a fingerprint."""
+    found = roots(linked(prints.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return prints.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def components(
     docs: DataFrame, radius: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -152,20 +169,26 @@ def components(
     to the rows is a plain equi-join that Spark can split where a fingerprint is hot.
     """
     rows = stage(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
-    prints = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    found = roots(linked(prints.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = prints.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stage(rooted.join(names, "root").select("fp", "component_id"), "components")
+    found = rooted(rows.groupBy("fp").agg(F.min("id").alias("first")), radius)
+    names = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stage(found.join(names, "root").select("fp", "component_id"), "components")
     return rows.join(named, "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component: the one with the smallest id. All columns as they are."""
-    kept = components(docs, id_col=id_col, text_col=text_col, **options).where(
-        F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id")).distinct()
-    rows = boxed(docs, id=F.col(id_col))
-    again = Window.partitionBy("id").orderBy(F.lit(1))
-    return unboxed(
-        rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]), "left_semi")
-        .withColumn("copy", F.row_number().over(again)).where("copy = 1"))
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3, seed: int = 42
+) -> DataFrame:
+    """One row of each component: the one with the smallest id, null ids last. All columns as they are.
+
+    An id names no row of its own: it may be null or stand on several texts. A component therefore
+    chooses an (id, digest of the text), and of rows that are equal in both any one stays.
+    """
+    prints = stage(fingerprints(docs, words, seed, id_col, text_col, with_digest=True), "fingerprints")
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest"))
+    found = rooted(prints.groupBy("fp").agg(least.alias("first")), radius)
+    kept = found.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
+    rows = boxed(docs, id=F.col(id_col).cast("long"), digest=_digest(F.col(text_col)))
+    same = rows["id"].eqNullSafe(kept["kept_id"]) & (rows["digest"] == kept["kept_digest"])
+    again = Window.partitionBy("id", "digest").orderBy(F.lit(1))
+    return unboxed(rows.join(kept, same, "left_semi").withColumn("copy", F.row_number().over(again)).where("copy = 1"))

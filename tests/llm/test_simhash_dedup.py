@@ -102,3 +102,13 @@ def test_near_copies_nulls_and_repeats(spark, docs):
     assert kept.columns == df.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 8]
     assert components(docs([])).count() == 0 and keep_one(docs([])).count() == 0
+
+
+def test_texts_that_stay(spark, docs):
+    """Ids are null or stand on several texts: each component keeps a row of its own all the same."""
+    words = " ".join(f"w{i}" for i in range(3000))
+    df = docs([(4, words), (None, words + " tail"), (None, "alone here now"), (None, "unrelated and without id"),
+               (None, "unrelated and without id"), (5, "one text of id five"), (5, "quite another text under it"), (6, None), (6, "")])
+    got = sorted((r.doc_id or 0, r.text or "") for r in keep_one(df).collect())
+    assert got == sorted([(4, words), (0, "alone here now"), (0, "unrelated and without id"),
+                          (5, "one text of id five"), (5, "quite another text under it"), (6, "")])
