@@ -111,3 +111,35 @@ def test_query_against_the_texts(spark, table):
 def test_only_dataframe_functions(spark):
     plan = QUERIES["op8_order_minhash"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and fingerprint_text(F.array(F.lit(1))) is not None
+
+
+def test_texts_without_word_gaps_and_short_ones(spark, docs):
+    rng = random.Random(7)
+    cjk = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(4000))
+    token = "".join(rng.choice("abcdefghij/") for _ in range(4000))
+    note = "a short note about nothing in particular that ends here"
+    long_note = " ".join(f"w{i}" for i in range(70))
+    df = docs([(1, cjk), (2, token), (3, note), (4, "other"), (5, " ".join(long_note.split()[:60])), (6, long_note), (7, " ".join(long_note.split()[:60]))])
+    got = {r.id: r for r in fingerprint_edits(df).collect()}
+    assert all(0.25 < got[i].near_edited < 1 for i in (1, 2, 3)), got
+    # by characters and by words: still comparable, and each by its own kind
+    assert got[5].near_next > 0.5 and got[6].near_next > 0.5
+
+
+def test_every_tuple_of_a_short_text_carries_order(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(200):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(24)]
+        rows.append((i, " ".join(words), " ".join(words[12:] + words[:12])))
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+
+    def mean(fill):
+        both = with_fingerprint(with_fingerprint(df, "a", "fa", fill=fill), "b", "fb", fill=fill)
+        return both.agg(F.avg(likeness(F.col("fa"), F.col("fb")))).first()[0]
+
+    # of pairs from two swapped halves about half change their order; single k-mers never do
+    assert mean(True) < 0.65 and mean(True) < mean(False) - 0.1
+    few = spark.createDataFrame([(0, "a b c d"), (1, "c d a b")], "i long, t string")
+    fps = [r.fp for r in with_fingerprint(few, "t", "fp", k=1, fill=True).orderBy("i").collect()]
+    assert len(fps[0]) == len(fps[1]) and fps[0] != fps[1]
