@@ -101,6 +101,30 @@ def st_run_sessions(spark, sf):
     return _table(spark, sf, jobs.run_sessions, "sessions")
 
 
+# The three above are what the stream alone closes. With the repair they are the batch result over all events.
+@query("st_load_slices_repaired", f"""
+WITH {ME} SELECT time_bucket(INTERVAL '15 minutes', occurred_at) AS bucket_start, count(*) AS rows_loaded FROM me GROUP BY 1""")
+def st_load_slices_repaired(spark, sf):
+    return jobs.repaired_slices(st_load_slices(spark, sf), metric_events(spark, sf))
+
+
+@query("st_alert_rate_repaired", f"""
+WITH {ME}, x AS (SELECT severity, time_bucket(INTERVAL '15 minutes', occurred_at) - i * INTERVAL 15 MINUTE AS window_start FROM me, (SELECT unnest(range(4)) AS i))
+SELECT window_start, count(*) FILTER (severity IN ('error', 'critical')) AS fail, count(*) FILTER (severity = 'warning') AS warn,
+  count(*) FILTER (severity NOT IN ('error', 'critical', 'warning')) AS other FROM x GROUP BY 1""")
+def st_alert_rate_repaired(spark, sf):
+    return jobs.repaired_rate(st_alert_rate(spark, sf), metric_events(spark, sf))
+
+
+@query("st_run_sessions_repaired", f"""
+WITH {ME},
+l AS (SELECT pipeline_name, occurred_at, lag(occurred_at) OVER (PARTITION BY pipeline_name ORDER BY occurred_at) AS prev FROM me),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR occurred_at > prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY pipeline_name ORDER BY occurred_at) AS k FROM l)
+SELECT pipeline_name, min(occurred_at) AS session_start, max(occurred_at) + INTERVAL 30 MINUTE AS closes_at, count(*) AS n FROM s GROUP BY pipeline_name, k""")
+def st_run_sessions_repaired(spark, sf):
+    return jobs.repaired_sessions(st_run_sessions(spark, sf), metric_events(spark, sf))
+
+
 @query("st_alert_outbox", f"""
 WITH {ME}, h AS (SELECT *, CAST(NULL AS VARCHAR) AS hook FROM me WHERE is_alert) SELECT event_key, {CHANNEL} AS channel, severity FROM h""")
 def st_alert_outbox(spark, sf):
