@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: production parameters, whole tables."""
+"""The registered queries of the operators: production parameters, whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsmetrics.llm import chat_format, exact_dedup, language_id, mixing, order_minhash, packing, quality, simhash_dedup, url_filter, warc
+from opsmetrics.llm import (
+    chat_format, exact_dedup, language_id, merkle, mixing, order_minhash, packing, quality, simhash_dedup, url_filter, warc,
+)
 from opsmetrics.session import configure, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +192,47 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = exact_dedup.add_batch(read(spark, sf_dir, "documents"), index)
     return decided.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+# crc32 of the decimal id, as a number: bytes of its text, each followed by eight steps of a bit
+CRC32 = """xor(list_reduce([4294967295] || flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: [256 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: CASE WHEN x >= 256 THEN xor(a, x - 256) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+@query("op11_merkle_manifest", sql=rf"""
+    WITH RECURSIVE d AS (SELECT *, {_leaf("text")} AS leaf, CASE WHEN {CRC32.format("doc_id")} % 2 = 0
+        THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS altered FROM documents),
+    l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER s - 1 AS p, count(*) OVER (PARTITION BY source) AS n
+      FROM d WINDOW s AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+    inner_nodes AS (SELECT g, 0 AS lvl, p, n, leaf AS h FROM l
+      UNION ALL SELECT g, lvl + 1, p // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY p)) FROM inner_nodes WHERE n > 1 GROUP BY g, lvl, p // 3, n),
+    sub AS (SELECT g, h AS subroot, lvl AS height FROM inner_nodes WHERE n = 1),
+    outer_nodes AS (SELECT 0 AS lvl, g AS p, count(*) OVER () AS n, subroot AS h FROM sub
+      UNION ALL SELECT lvl + 1, p // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY p)) FROM outer_nodes WHERE n > 1 GROUP BY lvl, p // 3, n),
+    levels AS (SELECT g, lvl, p, n, h FROM inner_nodes WHERE n > 1),
+    ways AS (SELECT l.g, l.p AS leaf_p, x.lvl, string_agg(x.h, '' ORDER BY x.p) FILTER (x.p < l.p // (3 ** x.lvl)::BIGINT) AS a,
+        string_agg(x.h, '' ORDER BY x.p) FILTER (x.p > l.p // (3 ** x.lvl)::BIGINT) AS b
+      FROM l JOIN levels x ON l.g = x.g AND x.p // 3 = l.p // (3 ** (x.lvl + 1))::BIGINT GROUP BY ALL
+      UNION ALL SELECT l.g, l.p, 1000 + x.lvl, string_agg(x.h, '' ORDER BY x.p) FILTER (x.p < l.g // (3 ** x.lvl)::BIGINT),
+        string_agg(x.h, '' ORDER BY x.p) FILTER (x.p > l.g // (3 ** x.lvl)::BIGINT)
+      FROM l JOIN outer_nodes x ON x.n > 1 AND x.p // 3 = l.g // (3 ** (x.lvl + 1))::BIGINT GROUP BY ALL),
+    proofs AS (SELECT g, leaf_p, string_agg(coalesce(a, '') || coalesce(b, ''), '' ORDER BY lvl) AS proof,
+        list([coalesce(a, ''), coalesce(b, '')] ORDER BY lvl) AS way FROM ways GROUP BY ALL),
+    r AS (SELECT doc_id, leaf, subroot, (SELECT h FROM outer_nodes WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+        list_reduce([['', altered]] || coalesce(way, []), lambda acc, x: ['', sha256(x[1] || acc[2] || x[2])])[2] AS folded_root
+      FROM l JOIN sub USING (g) LEFT JOIN proofs ON proofs.g = l.g AND leaf_p = p)
+    SELECT *, folded_root = root AS verified FROM r
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    cut = F.when(id_bucket("doc_id", 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.leaves(docs, ("doc_id", "source", "lang", "n_chars", "text"), altered={"text": cut})
+    folded = merkle.fold(F.col("altered"), F.col("path"))
+    return merkle.manifest(rows).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
