@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsmetrics.llm import (
-    chat_format, exact_dedup, language_id, merkle, mixing, order_minhash, packing, quality, simhash_dedup, url_filter, warc,
+    chat_format, exact_dedup, language_id, merkle, mixing, order_minhash, packing, prefix_trie, quality, simhash_dedup,
+    superminhash_dedup, url_filter, warc,
 )
 from opsmetrics.session import configure, work_path
 
@@ -236,3 +237,49 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(rows).select(
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_prefix_trie", sql=f"""
+    WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS i,
+        coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    n AS (SELECT c, max(i) AS own, c - c % 100 AS base, {CRC32.format("c")} % 6 AS h FROM t GROUP BY c),
+    k AS (SELECT n.*, least(h, coalesce(b.own, 0)) AS taken FROM n LEFT JOIN (SELECT c AS base, own FROM n) b USING (base)),
+    r AS (SELECT k.c, t.i AS d, role, text FROM k JOIN t ON t.c = k.base AND t.i <= k.taken
+      UNION ALL SELECT k.c, t.i - h + taken, role, text FROM k JOIN t ON t.c = k.c AND t.i > h),
+    p AS (SELECT c, d, length(text) AS chars, max(d) OVER (PARTITION BY c) AS len,
+        string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS prefix FROM r),
+    w AS (SELECT c, d, prefix, chars, d = len AS ends FROM p
+      UNION ALL SELECT c, 0, '', 0, c NOT IN (SELECT c FROM p) FROM k),
+    nodes AS (SELECT prefix, d, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM w GROUP BY prefix, d),
+    kids AS (SELECT x.*, (SELECT count(*) FROM nodes y WHERE y.d = x.d + 1 AND y.prefix[:64 * x.d] = x.prefix) AS n_children FROM nodes x),
+    sums AS (SELECT x.prefix, count(*) FILTER (y.n_children = 0) AS n_leaves, sum((y.n_convs - 1) * y.chars)::BIGINT AS saved_tokens
+      FROM nodes x JOIN kids y ON y.d >= x.d AND y.prefix[:64 * x.d] = x.prefix GROUP BY x.prefix)
+    SELECT kids.conv_id, kids.d AS depth, up.conv_id AS parent_conv_id, kids.n_convs, n_children, n_leaves, saved_tokens, kids.ends_sha256
+    FROM kids JOIN sums USING (prefix) LEFT JOIN nodes up ON up.d = kids.d - 1 AND up.prefix = kids.prefix[:64 * (kids.d - 1)]
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns(read(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    ids, rebuilt = prefix_trie.grafted(turns, base=conv - conv % 100, heads=id_bucket("conv_id", 6), most=5)
+    return prefix_trie.report(ids, rebuilt)
+
+
+@query("op13_superminhash_dedup", sql=r"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(words) BETWEEN 1 AND 4 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(len(words) - 4), lambda i: array_to_string(words[i + 1:i + 5], ' '))) END AS shingles FROM w),
+    n AS (SELECT doc_id, coalesce(len(shingles), 0) AS n_shingles FROM s),
+    x AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 85 * (na.n_shingles + nb.n_shingles - both)),
+    l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+    SELECT doc_id, n_shingles, (SELECT min(b) FROM r WHERE a = doc_id) AS component_id,
+      doc_id = (SELECT min(b) FROM r WHERE a = doc_id) AS kept FROM n
+""")
+def op13_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = superminhash_dedup.clusters(read(spark, sf_dir, "documents"), words=5, percent=85, seed=42)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
