@@ -272,8 +272,8 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE list_distinct(list_transform(range(len(words) - 4), lambda i: array_to_string(words[i + 1:i + 5], ' '))) END AS shingles FROM w),
     n AS (SELECT doc_id, coalesce(len(shingles), 0) AS n_shingles FROM s),
     x AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
-    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
-    e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 85 * (na.n_shingles + nb.n_shingles - both)),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 85 * (na.n_shingles + nb.n_shingles - common)),
     l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
     SELECT doc_id, n_shingles, (SELECT min(b) FROM r WHERE a = doc_id) AS component_id,
