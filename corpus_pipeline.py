@@ -18,7 +18,10 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id stays."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark, work_path(spark, "digest-index"), buckets).open())
+    index = exact_dedup.DigestIndex(spark, work_path(spark, "digest-index"), buckets).open()
+    kept = exact_dedup.keep_first(docs, index, batches=2)
+    index.close()
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

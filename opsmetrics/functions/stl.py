@@ -85,7 +85,7 @@ def _cycles(detrended: np.ndarray, weights: np.ndarray, period: int) -> np.ndarr
     return out.reshape(-1)[: n + 2 * period]
 
 
-def decompose(values, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decompose(values, period: int, outer_passes: int = OUTER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(trend, seasonal, residual); they add up to the values."""
     y = np.asarray(values, dtype=float)
     n = len(y)
@@ -93,14 +93,14 @@ def decompose(values, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low_span = _odd_above(period + 1)
     ones = np.ones(n)
     trend, seasonal, robust = np.zeros(n), np.zeros(n), ones
-    for outer in range(OUTER + 1):
+    for outer in range(outer_passes + 1):
         for _ in range(INNER):
             cycle = _cycles(y - trend, robust, period)
             low = _moving_average(_moving_average(_moving_average(cycle, period), period), 3)
             low = loess(low, low_span, ones)
             seasonal = cycle[period:-period] - low
             trend = loess(y - seasonal, trend_span, robust)
-        if outer < OUTER:
+        if outer < outer_passes:
             size = np.abs(y - trend - seasonal)
             limit = 6.0 * np.median(size)
             if limit <= 0:

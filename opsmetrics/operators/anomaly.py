@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from opsmetrics.functions import clock, names, text
 from opsmetrics.operators import filters, series
 from opsmetrics.operators.exact import (
-    first_per_key, is_bounded, median_and_mad, value_counts,
+    first_per_key, median_and_mad, value_counts,
 )
 from opsmetrics.operators.series import KEYS, CurveOptions
 from opsmetrics.session import stage
@@ -19,6 +20,11 @@ from opsmetrics.session import stage
 # --- fixed values -----------------------------------------------------------
 SENSITIVITY_GRID = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0)
 MAD_TO_SD = 0.6745
+# least and greatest value of each detector setting a user may choose
+DETECTOR_LIMITS = {
+    "z_threshold": (0.5, 10.0), "min_pct": (0.0, 200.0), "baseline_days": (1, 30), "min_points": (2, 50),
+    "row_limit": (0, 100000),
+}
 
 
 @dataclass(frozen=True)
@@ -46,6 +52,22 @@ class AnomalyOptions:
         return first - timedelta(days=self.baseline_days), end
 
 
+def chosen_options(given: Mapping[str, object], base: AnomalyOptions = AnomalyOptions()) -> AnomalyOptions:
+    """Options from what a user asked for: a setting outside its limits takes the nearer limit, one
+    that is no number or missing keeps the value of `base`. Other names are not settings."""
+    found = {}
+    for name, (low, high) in DETECTOR_LIMITS.items():
+        try:
+            value = float(given[name])
+        except (KeyError, TypeError, ValueError):
+            continue
+        if value != value:
+            continue
+        value = min(max(value, low), high)
+        found[name] = int(value) if name == "min_points" else value
+    return replace(base, **found)
+
+
 # --- per metric, in SQL terms ---------------------------------------------------
 def metric_series(events: DataFrame, since: datetime) -> DataFrame:
     low = F.lower("metric_name")
@@ -74,8 +96,7 @@ def baseline_points(points: DataFrame, latest: DataFrame) -> DataFrame:
 def baseline_stats(baseline: DataFrame, min_points: int = 8) -> DataFrame:
     """agg_median_mad: exact median and MAD per metric, from one set of value counts."""
     counts = stage(value_counts(baseline, ["metric_name"], "metric_value"), "counts")
-    stats = median_and_mad(
-        counts, ["metric_name"], "metric_value", bounded=is_bounded(counts, ["metric_name"]))
+    stats = median_and_mad(counts, ["metric_name"], "metric_value")
     n = counts.groupBy("metric_name").agg(F.sum("w").alias("n"))
     return stats.join(n.where(F.col("n") >= min_points), "metric_name")
 
@@ -210,7 +231,7 @@ def score(events: DataFrame, now: datetime, opts: AnomalyOptions = AnomalyOption
     listed = stage(_selected(gated_series(points, opts).join(labels, "pipeline_name", "left"), opts), "series")
     eligible = listed.where(F.col("reason").isNull())
     counts = stage(_baseline_counts(points, eligible, opts), "counts")
-    stats = median_and_mad(counts, KEYS, "value", bounded=is_bounded(counts, KEYS))
+    stats = median_and_mad(counts, KEYS, "value")
 
     kept = points.join(eligible.select(*KEYS), KEYS, "left_semi")
     curve = series.baseline_curve(kept, opts.curve)

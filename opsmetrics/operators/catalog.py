@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics.functions import text
@@ -79,7 +79,7 @@ def search(columns: DataFrame, term: str) -> DataFrame:
 def schema_drift(columns: DataFrame) -> DataFrame:
     """agg_schema_drift: events whose property sets differ between sources."""
     per_source = _distinct(columns).groupBy("event_name", "source").agg(
-        F.concat_ws(",", _sorted_list(F.col("property_name"))).alias("prop_set"))
+        F.array_sort(F.collect_set("property_name")).alias("prop_set"))
     return (
         per_source.groupBy("event_name")
         .agg(F.countDistinct("prop_set").alias("variants"), _sorted_list(F.col("source")).alias("sources"))
@@ -93,52 +93,75 @@ def volume_freshness(rows: DataFrame, source: Column, event: Column, time: str)
         F.count(F.lit(1)).alias("row_count"), F.max(time).alias("last_seen"))
 
 
-def spec_fold(rows: DataFrame) -> DataFrame:
-    """agg_spec_fold: ordered spec rows to one row per event with its parameters.
+def spec_parameters(rows: DataFrame) -> DataFrame:
+    """agg_spec_fold: spec rows to one row per parameter, with its event's status and count.
 
     A parameter that is only a type name belongs to the row before it and is skipped; the
-    status is the first non-empty one.
+    status is the first non-empty one; an event without parameters keeps one row with none. What
+    belongs to an event is aggregated before the shuffle and joined, so no task collects an event.
     """
     name = F.trim(F.coalesce(F.col("parameter"), F.lit("")))
     status = F.trim(F.coalesce(F.col("status"), F.lit("")))
-    keep = (name != "") & ~F.lower(name).isin(*BARE_TYPES)
-    param = F.struct(
-        F.col("ord"), name.alias("name"), F.trim(F.coalesce("data_type", F.lit(""))).alias("type"),
-        F.trim(F.coalesce("description", F.lit(""))).alias("desc"), status.alias("status"))
-    return (
-        rows.withColumn("event_name", F.trim("event_name"))
-        .where(F.col("event_name") != "")
-        .groupBy("event_name")
-        .agg(
-            F.min_by(F.nullif(status, F.lit("")), F.when(status != "", F.col("ord"))).alias("status"),
-            F.array_sort(F.collect_list(F.when(keep, param))).alias("params"),
-        )
-        .select(
-            "event_name", F.coalesce("status", F.lit("")).alias("status"),
-            F.transform("params", lambda p: p.dropFields("ord")).alias("params"),
-            F.size("params").alias("param_count"),
-        )
-    )
-
-
-def _substrings(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
-    """Every substring of a name (names are short), so containment becomes an equi-join."""
-    s = F.col(text_col)
-    starts = F.sequence(F.lit(1), F.length(s))
-    pieces = F.flatten(F.transform(
-        starts, lambda i: F.transform(
-            F.sequence(F.lit(1), F.length(s) - i + 1), lambda n: F.substring(s, i, n))))
-    return df.where(F.length(s) > 0).select(
-        *keep, F.explode(F.array_distinct(pieces)).alias("piece"))
+    clean = rows.select(
+        F.trim("event_name").alias("event_name"), "ord", name.alias("name"), status.alias("param_status"),
+        F.trim(F.coalesce("data_type", F.lit(""))).alias("type"), F.trim(F.coalesce("description", F.lit(""))).alias("desc"),
+        ((name != "") & ~F.lower(name).isin(*BARE_TYPES)).alias("_kept"),
+    ).where(F.col("event_name") != "")
+    events = clean.groupBy("event_name").agg(
+        F.min(F.when(F.col("param_status") != "", F.struct("ord", "param_status")))["param_status"].alias("status"),
+        F.count_if("_kept").alias("param_count"))
+    kept = clean.where("_kept").drop("_kept")
+    return events.withColumn("status", F.coalesce("status", F.lit(""))).join(kept, "event_name", "left")
+
+
+def spec_fold(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """The parameters of `spec_parameters` as arrays in order, of at most `most` a row; an event with
+    more has several rows, numbered by `part`."""
+    flat = spec_parameters(rows)
+    w = Window.partitionBy("event_name").orderBy("ord", "name", "type", "desc", "param_status")
+    part = F.when(F.col("name").isNull(), 0).otherwise(F.floor((F.row_number().over(w) - 1) / most)).cast("int")
+    one = F.struct("ord", "name", "type", "desc", F.col("param_status").alias("status"))
+    return flat.withColumn("part", part).groupBy("event_name", "status", "param_count", "part").agg(
+        F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), one))).alias("params")
+    ).withColumn("params", F.transform("params", lambda p: p.dropFields("ord")))
+
+
+GRAM = 4
+
+
+def _grams(df: DataFrame, sizes: range, *keep: str) -> DataFrame:
+    """The distinct substrings of `norm` of these sizes: linear in its length."""
+    s = F.col("norm")
+    pieces = [F.when(F.length(s) >= n, F.transform(
+        F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i, n=n: F.substring(s, i, n))).otherwise(F.array().cast("array<string>"))
+        for n in sizes]
+    return df.select("norm", *keep, F.explode(F.array_distinct(F.concat(*pieces))).alias("gram"))
+
+
+def contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """(needle, hay): every `norm` of needles that lies inside a `norm` of haystacks; both distinct and
+    not empty.
+
+    A gram index: a needle is looked up by the rarest of its grams of four characters (a shorter one by
+    itself), and what it finds is verified. Rows are linear in the length of names, and a gram that most
+    names share is only used by needles that have no other.
+    """
+    index = _grams(haystacks, range(1, GRAM + 1)).withColumnRenamed("norm", "hay")
+    seen = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    short = F.length("norm") < GRAM
+    own = _grams(needles.where(~short), range(GRAM, GRAM + 1)).unionByName(needles.where(short).select("norm", F.col("norm").alias("gram")))
+    rarest = own.join(seen, "gram", "left").groupBy("norm").agg(
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("best")).where("best.df > 0")
+    return rarest.select(F.col("norm").alias("needle"), F.col("best.gram").alias("gram")).join(index, "gram").where(
+        F.contains("hay", "needle")).select("needle", "hay")
 
 
 def fuzzy_spec(events: DataFrame, spec: DataFrame) -> DataFrame:
     """join_fuzzy_spec: exact by upper name; else alphanumeric containment either way, first
     spec in order; else none; and the spec rows nothing matched.
 
-    `events(event)`, `spec(spec, ord)`. Containment is found by joining substrings on
-    equality, each side reduced to its first spec beforehand: no pair is emitted twice and
-    there is no nested-loop join.
+    `events(event)`, `spec(spec, ord)`. Names of one alphanumeric form are one row before they are
+    compared, see `contained`.
     """
     up = spec.groupBy(F.upper("spec").alias("_up")).agg(F.max_by("spec", "ord").alias("spec"))
     marked = events.join(up, F.upper("event") == F.col("_up"), "left").select("event", "spec")
@@ -146,16 +169,15 @@ def fuzzy_spec(events: DataFrame, spec: DataFrame) -> DataFrame:
     rest = marked.where(F.col("spec").isNull()).select(
         "event", text.alnum(F.col("event")).alias("norm"))
 
-    normed = spec.select("spec", "ord", text.alnum(F.col("spec")).alias("norm")).where(F.col("norm") != "")
-    first_same = normed.groupBy("norm").agg(F.min("ord").alias("ord"))
-    first_inside = _substrings(normed, "norm", "ord").groupBy("piece").agg(F.min("ord").alias("ord"))
-    event_in_spec = rest.join(first_inside, F.col("norm") == F.col("piece")).select("event", "ord")
-    spec_in_event = _substrings(rest, "norm", "event").join(
-        first_same, F.col("piece") == F.col("norm")).select("event", "ord")
+    normed = spec.select("ord", text.alnum(F.col("spec")).alias("norm")).where(F.col("norm") != "")
+    specs = normed.groupBy("norm").agg(F.min("ord").alias("ord"))
+    names = rest.where(F.col("norm") != "").select("norm").distinct()
+    inside = contained(names, specs.select("norm")).select(F.col("needle").alias("name"), F.col("hay").alias("norm"))
+    around = contained(specs.select("norm"), names).select(F.col("hay").alias("name"), F.col("needle").alias("norm"))
+    found = inside.unionByName(around).join(specs, "norm").groupBy("name").agg(F.min("ord").alias("ord"))
     # an event without any letter or digit is contained in every spec
     blank = rest.where(F.col("norm") == "").withColumn("ord", normed.agg(F.min("ord")).scalar()).select("event", "ord")
-    best = event_in_spec.unionByName(spec_in_event).unionByName(blank).groupBy("event").agg(
-        F.min("ord").alias("ord"))
+    best = rest.join(found, F.col("norm") == F.col("name")).select("event", "ord").unionByName(blank)
     like = (
         rest.select("event").join(best, "event", "left")
         .join(spec.select("spec", "ord"), "ord", "left")

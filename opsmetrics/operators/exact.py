@@ -1,9 +1,9 @@
 """Exact order statistics and neighbour values for groups of any size.
 
-`median` keeps every distinct value of a group in one task and a plain `lag` window sorts a
-whole group in one task. Neither survives a group with a third of all rows, so both are
-built here from pieces that never put more than a proven number of rows of a group into one
-task.
+`median` keeps every distinct value of a group in one task and a plain `lag` window sorts a whole
+group in one task. Neither survives a group with a third of all rows. Both are built here on one
+thing: rows sorted by ranges of (group, order), which spreads a group over as many tasks as its rows
+need, and a scan over one row per range and group that carries sums or values from range to range.
 """
 
 from __future__ import annotations
@@ -13,19 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsmetrics.functions.clock import slice_of
+from opsmetrics.session import stage
 
-_TOP = 4096  # upper 12 mantissa bits
-_MID = 1 << 20  # next 20 bits; the remaining 20 bits bound the last step to 2^20 values
-_LARGEST = 1.7976931348623157e308
-BOUNDED_ROWS = 1 << 20  # a group of at most this many rows may be handled by one task
 
-
-def is_bounded(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether no group has more than `BOUNDED_ROWS` rows: a size check, one number to the
-    driver. Meant for a staged table, where it is a cheap scan."""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= BOUNDED_ROWS
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`df` in the order of (keys, order), written, with `_part`, the range, and `_seq`, the place over
+    all ranges. Rows that are equal in keys and order stay together: the order should be a total one."""
+    by = [*keys, *order]
+    sorted_rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_seq", F.monotonically_increasing_id())
+    return stage(sorted_rows, "ranges").withColumn("_part", F.shiftright("_seq", 33))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str = "w") -> DataFrame:
@@ -37,23 +33,6 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str = "
     )
 
 
-def _radix(value: Column) -> tuple[Column, Column]:
-    """Two order-preserving integers: exponent + 12 mantissa bits, then 20 more bits."""
-    size = F.abs(value)
-    power = F.pow(F.lit(2.0), F.floor(F.log2(size)))
-    scaled = size / power * _TOP
-    coarse = (F.floor(F.log2(size)) + 1100) * _TOP + F.floor(scaled) - _TOP + 1
-    fine = F.floor((scaled - F.floor(scaled)) * _MID)
-    sign = F.signum(value).cast("bigint")
-    infinite = size > _LARGEST
-    return (
-        F.when(value == 0, F.lit(0).cast("bigint"))
-        .when(infinite, sign * F.lit(1 << 40))
-        .otherwise(sign * coarse.cast("bigint")),
-        F.when((value == 0) | infinite, F.lit(0).cast("bigint")).otherwise(sign * fine.cast("bigint")),
-    )
-
-
 def _match(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Null-safe equi-join that keeps the left copies of the key columns."""
     renamed = right
@@ -67,52 +46,29 @@ def _match(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def weighted_median(
     counts: DataFrame, keys: Sequence[str], value: str, weight: str = "w", out: str = "median",
-    bounded: bool = False,
 ) -> DataFrame:
-    """Exact median per `keys` from (keys, value, weight) rows.
-
-    `bounded` (see `is_bounded`) says that every group is small enough for the built-in
-    percentile; otherwise it is found by radix selection.
+    """Exact median per `keys` from (keys, value, weight) rows, one per key and value.
 
-    Each pass histograms the candidates on a coarser-to-finer slice of the double's bits and
-    keeps only the slice that holds the wanted rank: at most 2^12 per exponent, then 2^20,
-    then 2^20 rows of one group meet in one window task, however large the group is.
-    `value_counts` is one exchange that all passes reuse.
+    Ranges of values are summed, a scan over the sums finds the range that holds the wanted rank, and
+    only the rows of that range are counted through: one shuffle of the counts, one of what two ranges
+    per group hold.
     """
     keys = list(keys)
-    if bounded:
-        return counts.where(F.col(weight) > 0).groupBy(*keys).agg(
-            F.percentile(value, F.lit(0.5), F.col(weight)).alias(out))
-    rows = counts.where(F.col(weight) > 0).select(
-        *keys, F.col(value).cast("double").alias("_v"), F.col(weight).alias("_w"))
-    coarse, fine = _radix(F.col("_v"))
-    rows = rows.withColumn("_c", coarse).withColumn("_f", fine)
-
-    first = rows.groupBy(*keys, "_c").agg(F.sum("_w").alias("_b"))
+    rows = in_ranges(counts.where(F.col(weight) > 0).select(
+        *keys, F.col(value).cast("double").alias("_v"), F.col(weight).alias("_w")), keys, ["_v"])
     whole = Window.partitionBy(*keys)
-    first = (
-        first.withColumn("_n", F.sum("_b").over(whole))
-        .withColumn("_cum", F.sum("_b").over(whole.orderBy("_c")))
-        .withColumn("_rank", F.explode(F.array_distinct(
-            F.array(F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1")))))
-        .where((F.col("_rank") <= F.col("_cum")) & (F.col("_rank") > F.col("_cum") - F.col("_b")))
-        .select(*keys, "_c", F.col("_rank").alias("_r"),
-                (F.col("_rank") - F.col("_cum") + F.col("_b")).alias("_left"))
-    )
-
-    second = _match(rows, first, [*keys, "_c"]).groupBy(*keys, "_c", "_r", "_left", "_f").agg(
-        F.sum("_w").alias("_b"))
-    inside = Window.partitionBy(*keys, "_r").orderBy("_f")
-    second = (
-        second.withColumn("_cum", F.sum("_b").over(inside))
-        .where((F.col("_left") <= F.col("_cum")) & (F.col("_left") > F.col("_cum") - F.col("_b")))
-        .select(*keys, "_c", "_f", "_r", (F.col("_left") - F.col("_cum") + F.col("_b")).alias("_left"))
+    before = F.coalesce(F.sum("_sum").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = (
+        rows.groupBy("_part", *keys).agg(F.sum("_w").alias("_sum"))
+        .withColumns({"_n": F.sum("_sum").over(whole), "_before": before})
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1")))))
+        .where((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_sum")))
+        .select("_part", *keys, (F.col("_rank") - F.col("_before")).alias("_left"))
     )
-
-    last = Window.partitionBy(*keys, "_r").orderBy("_v")
+    inside = Window.partitionBy("_part", *keys, "_left").orderBy("_v")
     return (
-        _match(rows, second, [*keys, "_c", "_f"])
-        .withColumn("_cum", F.sum("_w").over(last))
+        _match(rows, wanted, ["_part", *keys])
+        .withColumn("_cum", F.sum("_w").over(inside))
         .where((F.col("_left") <= F.col("_cum")) & (F.col("_left") > F.col("_cum") - F.col("_w")))
         .groupBy(*keys)
         .agg(F.avg("_v").alias(out))
@@ -123,12 +79,10 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
     return weighted_median(value_counts(df, keys, value), keys, value, out=out)
 
 
-def median_and_mad(
-    counts: DataFrame, keys: Sequence[str], value: str, weight: str = "w", bounded: bool = False
-) -> DataFrame:
+def median_and_mad(counts: DataFrame, keys: Sequence[str], value: str, weight: str = "w") -> DataFrame:
     """(keys, median, mad): both exact, both from the same value counts."""
     keys = list(keys)
-    med = weighted_median(counts, keys, value, weight, bounded=bounded)
+    med = stage(weighted_median(counts, keys, value, weight), "medians")
     # one row per group; AQE broadcasts it when small and splits hot keys when not
     spread = (
         _match(counts, med, keys)
@@ -136,48 +90,25 @@ def median_and_mad(
         .groupBy(*keys, "_dev")
         .agg(F.sum(weight).alias(weight))
     )
-    mad = weighted_median(spread, keys, "_dev", weight, out="mad", bounded=bounded)
+    mad = weighted_median(spread, keys, "_dev", weight, out="mad")
     return med.join(mad, keys)
 
 
 def previous_value(
-    df: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    tie: str,
-    value: str,
-    out: str = "previous",
-    chunk_seconds: int = 60,
-    bounded: bool = False,
+    df: DataFrame, keys: Sequence[str], time: str, tie: str, value: str, out: str = "previous",
 ) -> DataFrame:
-    """`lag(value)` over (keys order by time, tie) without sorting a large group in one task.
-
-    Rows are ordered inside (keys, minute) chunks. Only one row per chunk (its last value)
-    goes through the per-group window, and only the first row of a chunk needs it.
-    """
+    """`lag(value)` over (keys order by time, tie) without a group in one task, also where one moment has
+    most of its rows. A range looks inside itself, and its first row of a group takes the value that
+    the group ends with in the range before."""
     keys = list(keys)
-    if bounded:
-        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(time, tie)))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(time, tie)
-    marked = (
-        df.withColumn("_chunk", slice_of(F.col(time), chunk_seconds))
-        .withColumn("_prev", F.lag(value).over(inside))
-        .withColumn("_pos", F.row_number().over(inside))
-        .withColumn("_next", F.lead(F.lit(1)).over(inside))
-    )
-    ends = (
-        marked.where(F.col("_next").isNull())
-        .select(*keys, "_chunk", F.col(value).alias("_end"))
-        .withColumn("_carry", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk")))
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"), "_carry")
-    )
-    cond = F.col("_chunk") == F.col("_k_chunk")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = marked.join(ends, cond, "left")
-    return joined.withColumn(
+    rows = in_ranges(df, keys, [time, tie])
+    inside = Window.partitionBy("_part", *keys).orderBy("_seq")
+    ends = rows.groupBy("_part", *keys).agg(F.max_by(value, "_seq").alias("_end")).withColumn(
+        "_carry", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_part"))).drop("_end")
+    marked = rows.withColumns({"_prev": F.lag(value).over(inside), "_pos": F.row_number().over(inside)})
+    return _match(marked, ends, ["_part", *keys]).withColumn(
         out, F.when(F.col("_pos") == 1, F.col("_carry")).otherwise(F.col("_prev"))
-    ).drop("_chunk", "_prev", "_pos", "_next", "_carry", "_k_chunk", *[f"_k_{k}" for k in keys])
+    ).drop("_part", "_seq", "_prev", "_pos", "_carry")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsmetrics.functions import clock, text
-from opsmetrics.functions.stl import decompose
+from opsmetrics.functions.stl import OUTER, decompose
+from opsmetrics.functions.windows import rolling_trend, strongest_peak
 from opsmetrics.operators.exact import (
-    is_bounded, median_and_mad, previous_value, value_counts, weighted_median,
+    median_and_mad, previous_value, value_counts, weighted_median,
 )
 from opsmetrics.session import ship_package, stage
 
@@ -79,7 +80,7 @@ def robust_sd_of(arr: Column) -> Column:
 def robust_sd(df: DataFrame, keys: Sequence[str], value: str, out: str = "sd") -> DataFrame:
     """robust_sd over the rows of a group of any size."""
     counts = stage(value_counts(df, keys, value), "counts")
-    stats = median_and_mad(counts, keys, value, bounded=is_bounded(counts, keys))
+    stats = median_and_mad(counts, keys, value)
     spread = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"))
     return stats.join(spread, list(keys)).withColumn(
         out, F.when(F.col("mad") > 0, F.col("mad") / 0.6745).when(F.col("_sd") > 0, F.col("_sd"))
@@ -88,7 +89,7 @@ def robust_sd(df: DataFrame, keys: Sequence[str], value: str, out: str = "sd") -
 
 # --- even grid ------------------------------------------------------------------
 def geometry(
-    distinct_points: DataFrame, opts: CurveOptions = CurveOptions(), bounded: bool = False
+    distinct_points: DataFrame, opts: CurveOptions = CurveOptions(),
 ) -> DataFrame:
     """Grid step and origin per series: the median gap, but never finer than span / max_grid.
 
@@ -99,9 +100,9 @@ def geometry(
     timed = distinct_points.select(*KEYS, "occurred_at", us.alias("us"))
     spans = timed.groupBy(*KEYS).agg(
         F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n_times"))
-    gaps = previous_value(timed, KEYS, "occurred_at", "us", "us", out="before", bounded=bounded).withColumn(
+    gaps = previous_value(timed, KEYS, "occurred_at", "us", "us", out="before").withColumn(
         "gap", (F.col("us") - F.col("before")).cast("double"))
-    med = weighted_median(value_counts(gaps, KEYS, "gap"), KEYS, "gap", out="gap_us", bounded=bounded)
+    med = weighted_median(value_counts(gaps, KEYS, "gap"), KEYS, "gap", out="gap_us")
     step = F.greatest(
         F.round(F.col("gap_us") * 1000, 0),
         F.round((F.col("last_us") - F.col("first_us")) * 1000 / F.lit(opts.max_grid), 0)).cast("bigint")
@@ -127,7 +128,7 @@ def resample_even(points: DataFrame, opts: CurveOptions = CurveOptions()) -> Dat
     them.
     """
     distinct = stage(points.groupBy(*KEYS, "occurred_at").agg(F.avg("value").alias("value")), "points")
-    shape = geometry(distinct, opts, is_bounded(distinct, KEYS))
+    shape = geometry(distinct, opts)
     located = distinct.join(stage(shape, "geometry"), KEYS)
     cells = (
         located.withColumn("_ns", clock.epoch_us(F.col("occurred_at")) * 1000 - F.col("origin_ns"))
@@ -159,41 +160,26 @@ def as_arrays(grid: DataFrame) -> DataFrame:
 
 
 # --- period ----------------------------------------------------------------------
+PEAK = T.StructType([T.StructField("period", T.IntegerType()), T.StructField("acf", T.DoubleType())])
+
+
+def _peaks(min_periods: int, least: float):
+    @F.pandas_udf(PEAK)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for values in batches:
+            found = [strongest_peak(v, min_periods, least) for v in values]
+            yield pd.DataFrame({
+                "period": pd.array([p for p, _ in found], dtype="Int32"), "acf": [h for _, h in found]})
+
+    return run
+
+
 def with_period(series: DataFrame, opts: CurveOptions = CurveOptions()) -> DataFrame:
     """ts_acf_period: lag of the strongest local autocorrelation peak above `acf_min`, with
     room for `min_periods` cycles; null when there is none."""
-    n = F.col("n_grid")
-    max_lag = F.floor(n / opts.min_periods).cast("int")
-    lags = F.sequence(F.lit(1), F.least(max_lag + 1, n - 1))
-
-    def dot(x: Column, lag: Column) -> Column:
-        pairs = F.zip_with(
-            F.slice(x, F.lit(1), n - lag), F.slice(x, lag + 1, n - lag), lambda a, b: a * b)
-        return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p)
-
-    def highest_peak(acf: Column) -> Column:
-        def at(lag: Column) -> Column:
-            return F.get(acf, lag - 1)
-
-        peaks = F.filter(F.sequence(F.lit(2), max_lag), lambda lag: (
-            (at(lag) > opts.acf_min) & (at(lag) >= at(lag - 1))
-            & (at(lag) >= F.coalesce(at(lag + 1), F.lit(-1.0)))))
-        return F.array_max(F.transform(
-            peaks, lambda lag: F.struct(at(lag).alias("height"), (-lag).alias("back"))))
-
-    def peak_of(x: Column) -> Column:
-        power = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
-        return _bind(power, lambda total: F.when(total > 0, _bind(
-            F.transform(lags, lambda lag: dot(x, lag) / total), highest_peak)))
-
-    centred = _bind(_mean_of(F.col("vals")), lambda m: F.transform("vals", lambda x: x - m))
-    peak = F.when((n >= 2 * opts.min_periods) & (max_lag >= 2), _bind(centred, peak_of))
-    return (
-        series.withColumn("_peak", peak)
-        .withColumn("period", -F.col("_peak.back"))
-        .withColumn("acf", F.col("_peak.height"))
-        .drop("_peak")
-    )
+    ship_package(series.sparkSession)
+    found = series.withColumn("_peak", _peaks(opts.min_periods, opts.acf_min)(F.col("vals")))
+    return found.withColumns({"period": F.col("_peak.period"), "acf": F.col("_peak.acf")}).drop("_peak")
 
 
 def with_seasonal_gate(series: DataFrame, opts: CurveOptions = CurveOptions()) -> DataFrame:
@@ -211,49 +197,43 @@ def with_seasonal_gate(series: DataFrame, opts: CurveOptions = CurveOptions()) -
 
 
 # --- baselines ---------------------------------------------------------------------
-def _rolling(arr: Column, half: Column, n: Column, fn) -> Column:
-    """Centred window of `2 * half + 1` cells, cut at the ends."""
-    def window(i: Column) -> Column:
-        lo = F.greatest(i - half, F.lit(0))
-        return F.slice(arr, lo + 1, F.least(i + half, n - 1) - lo + 1)
-
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: fn(window(i)))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _trends(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for values in batches:
+        yield values.map(rolling_trend)
 
 
 def with_trend(series: DataFrame) -> DataFrame:
     """win_rolling_median_mean: rolling median, then rolling mean, window n // 8 (at least 5,
     made odd)."""
-    n = F.col("n_grid")
-    width = F.greatest(F.lit(5), F.floor(n / 8).cast("int"))
-    half = F.floor(F.when(width % 2 == 0, width + 1).otherwise(width) / 2).cast("int")
-    trend = _bind(half, lambda h: _bind(
-        _rolling(F.col("vals"), h, n, _median_of), lambda med: _rolling(med, h, n, _mean_of)))
-    return series.withColumn("trend", trend)
+    ship_package(series.sparkSession)
+    return series.withColumn("trend", _trends(F.col("vals")))
 
 
 STL_RESULT = T.StructType([
     T.StructField(name, T.ArrayType(T.DoubleType())) for name in ("trend", "seasonal", "resid")])
 
 
-@F.pandas_udf(STL_RESULT)
-def _stl_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for values, periods in batches:
-        rows = []
-        for v, p in zip(values, periods):
-            if v is None or pd.isna(p):
-                rows.append((None, None, None))
-            else:
-                rows.append(decompose(v, int(p)))
-        yield pd.DataFrame(rows, columns=["trend", "seasonal", "resid"])
+def _stl_batches(outer: int):
+    @F.pandas_udf(STL_RESULT)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for values, periods in batches:
+            rows = [
+                (None, None, None) if v is None or pd.isna(p) else decompose(v, int(p), outer) for v, p in zip(values, periods)]
+            yield pd.DataFrame(rows, columns=["trend", "seasonal", "resid"])
+
+    return run
 
 
-def with_stl(series: DataFrame, only: Column) -> DataFrame:
-    """ts_stl_baseline: robust seasonal-trend decomposition of the grid, where `only` holds.
+def with_stl(series: DataFrame, only: Column, robust: bool = True) -> DataFrame:
+    """ts_stl_baseline: seasonal-trend decomposition of the grid, where `only` holds, with or
+    without the passes that take the weight of outliers away.
 
-    The one step that leaves the JVM: Arrow batches of short arrays, one per series.
+    Arrow batches of short arrays, one per series.
     """
     ship_package(series.sparkSession)
-    return series.withColumn("stl", _stl_batches(F.when(only, F.col("vals")), F.col("period").cast("double")))
+    return series.withColumn("stl", _stl_batches(OUTER if robust else 0)(
+        F.when(only, F.col("vals")), F.col("period").cast("double")))
 
 
 def phase_sigma(resid: Column, period: Column, opts: CurveOptions = CurveOptions()) -> Column:

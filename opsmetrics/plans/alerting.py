@@ -12,6 +12,7 @@ from opsmetrics.plans import fixtures as fx
 from opsmetrics.plans.common import rounded
 from opsmetrics.plans.fixtures import ME, NOW, anchor, cte, derive, metric_events, table
 from opsmetrics.plans.registry import query
+from opsmetrics.session import work_path
 
 DA = cte("da", fx.DELIVERY_ATTEMPTS)
 RF = cte("rf", fx.RUN_FAILURE_PAYLOADS)
@@ -169,6 +170,69 @@ def audit_run(spark, sf):
         "pipeline_name", "metric_name", "metric_value", "severity", "run_id", "is_alert")
 
 
+class DearDiscounts:
+    """A check in user code: lines with much of a discount on much of a quantity."""
+
+    def __init__(self):
+        self.found = 0
+
+    def eval(self, row):
+        if row["l_quantity"] is not None and row["l_discount"] is not None:
+            self.found += row["l_quantity"] >= 40 and row["l_discount"] > 0.05
+
+    def terminate(self):
+        yield (self.found,)
+
+
+def _discount_share(tables):
+    """Such lines of all, per hundred; the table function runs once per supplier, in parallel."""
+    lines = tables["lineitem"].select("l_suppkey", "l_quantity", "l_discount")
+    spark = lines.sparkSession
+    spark.udtf.register("dear_discounts", F.udtf(DearDiscounts, returnType="found bigint"))
+    return spark.sql(
+        "select 100.0 * sum(found) / (select count(*) from {t}) from dear_discounts(TABLE(select * from {t}) PARTITION BY l_suppkey)", t=lines)
+
+
+def _raises(tables):
+    raise LookupError("no such source")
+
+
+USER_RULES = (
+    Rule(21, "orders", "dear_orders", ">", 100, "warning", sql="select count(*) from {orders} where o_totalprice > 300000"),
+    Rule(22, "lineitem", "max_discount", ">", 0.5, "error", table="lineitem", expr="max(l_discount)"),
+    Rule(23, "lineitem", "discount_share_pct", ">", 5, "critical", check=_discount_share),
+    Rule(24, "orders", "broken_check", ">", 0, "error", check=_raises),
+)
+
+
+@query("audit_user_checks", """
+WITH v AS (SELECT 'orders' AS pipeline_name, 'dear_orders' AS metric_name, (SELECT count(*) FROM orders WHERE o_totalprice > 300000)::DOUBLE AS value, 100 AS lim, 'warning' AS sev, 21 AS id
+ UNION ALL SELECT 'lineitem', 'max_discount', (SELECT max(l_discount) FROM lineitem), 0.5, 'error', 22
+ UNION ALL SELECT 'lineitem', 'discount_share_pct', (SELECT 100.0 * count(*) FILTER (l_quantity >= 40 AND l_discount > 0.05) / count(*) FROM lineitem), 5, 'critical', 23)
+SELECT pipeline_name, metric_name, round(value, 4) AS metric_value, CASE WHEN value > lim THEN sev ELSE 'info' END AS severity, concat('auditor-rule-', id) AS run_id, value > lim AS is_alert FROM v
+UNION ALL SELECT 'orders', 'auditor_failure.broken_check', NULL, 'error', 'auditor-rule-24', TRUE
+UNION ALL SELECT 'auditor', 'auditor_heartbeat', 4.0, 'info', NULL, FALSE
+UNION ALL SELECT 'auditor', 'auditor_failures', 1.0, 'error', NULL, TRUE""")
+def audit_user_checks(spark, sf):
+    """A query, an expression, a table function of the user's own, and a check that raises."""
+    out = audit.run_audit(spark, _audit_tables(spark, sf), USER_RULES, datetime(2024, 2, 1))
+    return rounded(out, "metric_value").select(
+        "pipeline_name", "metric_name", "metric_value", "severity", "run_id", "is_alert")
+
+
+@query("audit_while_writing", """
+SELECT metric_name, value FROM (SELECT 'rows' AS metric_name, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'max_price', max(o_totalprice) FROM orders
+  UNION ALL SELECT 'no_price', count(*) FILTER (o_totalprice IS NULL) FROM orders UNION ALL SELECT 'broken', NULL)""")
+def audit_while_writing(spark, sf):
+    """Rules observed while a sink writes the table: no scan of their own."""
+    rules = [Rule(1, "orders", "rows", ">", 0, table="orders", expr="count(*)"), Rule(2, "orders", "max_price", ">", 0, table="orders", expr="max(o_totalprice)"),
+             Rule(3, "orders", "no_price", "==", 0, table="orders", expr="count_if(o_totalprice is null)"),
+             Rule(4, "orders", "broken", "==", 0, table="orders", expr="sum(no_such_column)")]
+    watched, results = audit.observing(table(spark, sf, "orders"), rules)
+    watched.write.parquet(work_path(spark, "orders-copy"))
+    return results().select("metric_name", "value")
+
+
 @query("audit_compare", f"""
 WITH {ME}, o(cmp) AS (VALUES ('>'), ('<'), ('>='), ('<='), ('=='), ('!='))
 SELECT event_key, cmp AS comparator, CASE cmp WHEN '>' THEN metric_value > 2500 WHEN '<' THEN metric_value < 2500
@@ -196,8 +260,8 @@ SELECT r AS raw_rows, s AS staged_rows, r - s AS delta, r - s <> 0 AS is_alert F
 
 @query("audit_row_delta", DELTA)
 def audit_row_delta(spark, sf):
-    raw = table(spark, sf, "events")
-    return audit.row_delta(raw, raw.where("event_type <> 'signup'"))
+    return audit.staged_row_delta(
+        table(spark, sf, "events"), lambda rows: rows.where("event_type <> 'signup'"), work_path(spark, "staged-events"))
 
 
 PERIOD = """

@@ -14,6 +14,7 @@ from opsmetrics.plans.fixtures import (
     CY, ME, NOW, PNOW, PROD, RULES, anchor, cycle_events, metric_events, prod_events,
 )
 from opsmetrics.plans.registry import query
+from opsmetrics.plans.stl_sql import stl_ctes
 
 K = "metric_name, pipeline_name"
 CYP = f"{CY}, pts AS (SELECT {K}, occurred_at, event_key, metric_value AS value FROM cy WHERE metric_value IS NOT NULL)"
@@ -107,17 +108,69 @@ def ts_trend_baseline(spark, sf):
         F.round("sigma_overall", 4).alias("sigma_overall"))
 
 
-@query("ts_stl_baseline")
-def ts_stl_baseline(spark, sf):
-    """Robust decomposition of every series with a detected period; one row per grid cell."""
-    out = series.with_stl(series.with_period(_arrays(spark, sf)), F.col("period").isNotNull())
+def stl_sql(only: str = "TRUE", **passes) -> str:
+    """CTEs for the decomposition of the series with a period for which `only` holds; the last is `stl`."""
+    ctes, last = stl_ctes("stl_s", "stl_y", **passes)
+    return f"""
+stl_s AS MATERIALIZED (SELECT {K}, row_number() OVER (ORDER BY {K}) AS s, n_grid AS n, period AS p FROM nn JOIN pk USING ({K}) WHERE {only}),
+stl_y AS (SELECT s, idx - min(idx) OVER (PARTITION BY s) AS i, value AS y FROM grid JOIN stl_s USING ({K})),
+{ctes},
+stl AS (SELECT {K}, p AS period, i AS idx, t AS trend, se AS seasonal, resid FROM {last} JOIN stl_s USING (s, p))"""
+
+
+def _decomposed(spark, sf, robust=True):
+    out = series.with_stl(series.with_period(_arrays(spark, sf)), F.col("period").isNotNull(), robust)
     cells = F.posexplode(F.arrays_zip(
         F.col("stl.trend").alias("trend"), F.col("stl.seasonal").alias("seasonal"), F.col("stl.resid").alias("resid")))
     flat = out.where(F.col("period").isNotNull()).select(*KEYS, "period", cells.alias("idx", "c"))
     return rounded(flat.select(*KEYS, "period", "idx", "c.trend", "c.seasonal", "c.resid"), "trend", "seasonal", "resid")
 
 
-@query("ts_baseline_curve")
+STL_COLS = f"{K}, period, idx, round(trend, 4) AS trend, round(seasonal, 4) AS seasonal, round(resid, 4) AS resid"
+
+
+@query("ts_stl_baseline", f"WITH {CYP}, {GRID}, {ACF}, {stl_sql()} SELECT {STL_COLS} FROM stl")
+def ts_stl_baseline(spark, sf):
+    """Robust decomposition of every series with a detected period; one row per grid cell."""
+    return _decomposed(spark, sf)
+
+
+@query("ts_stl_plain", f"WITH {CYP}, {GRID}, {ACF}, {stl_sql(outer=0)} SELECT {STL_COLS} FROM stl")
+def ts_stl_plain(spark, sf):
+    """The same without robustness weights."""
+    return _decomposed(spark, sf, robust=False)
+
+
+# seasonal where the gate holds, trend otherwise: `tr2` and `sg2` in the form of `tr` and `sg`
+CURVE = f"""
+gate AS (SELECT {K}, period, step_ns, first_us, last_us, origin_ns FROM nn JOIN geo USING ({K}) JOIN np USING ({K}) JOIN pk USING ({K})
+  WHERE period >= 2 AND n_points >= 42 AND n_grid >= 3 * period AND (last_us - first_us) * 1000 / (period * step_ns) >= 3
+    AND n_points / ((last_us - first_us) * 1000 / (period * step_ns)) >= 6),
+{stl_sql("(metric_name, pipeline_name) IN (SELECT (metric_name, pipeline_name) FROM gate)")},
+sr0 AS (SELECT {K}, idx % period AS phase, period, resid AS r, median(resid) OVER (PARTITION BY {K}) AS m, median(resid) OVER (PARTITION BY {K}, idx % period) AS pm FROM stl),
+so AS (SELECT {K}, any_value(period) AS period, CASE WHEN median(abs(r - m)) > 0 THEN median(abs(r - m)) / 0.6745 WHEN stddev_pop(r) > 0 THEN stddev_pop(r) ELSE 1.0 END AS sigma_overall
+  FROM sr0 GROUP BY ALL),
+sp1 AS (SELECT {K}, phase, CASE WHEN count(*) < 3 THEN any_value(sigma_overall) WHEN median(abs(r - pm)) > 0 THEN median(abs(r - pm)) / 0.6745
+  WHEN stddev_pop(r) > 0 THEN stddev_pop(r) ELSE 1.0 END AS own, any_value(so.period) AS period, any_value(sigma_overall) AS sigma_overall FROM sr0 JOIN so USING ({K}) GROUP BY {K}, phase),
+sp2 AS (SELECT a.metric_name, a.pipeline_name, a.phase, a.sigma_overall, a.own, a.period, d FROM sp1 a,
+  LATERAL (SELECT unnest(range(-least(greatest(1, a.period // 12), a.period // 2), least(greatest(1, a.period // 12), a.period // 2) + 1)) AS d)),
+ph AS (SELECT a.metric_name, a.pipeline_name, a.phase, greatest(CASE WHEN any_value(a.period) <= 2 THEN any_value(a.own) ELSE avg(b.own) END, 0.5 * any_value(a.sigma_overall)) AS sigma
+  FROM sp2 a JOIN sp1 b ON a.metric_name = b.metric_name AND a.pipeline_name = b.pipeline_name AND b.phase = (a.phase + a.d + a.period) % a.period GROUP BY 1, 2, 3),
+tr2 AS (SELECT {K}, stl.idx + x.lo AS idx, trend + seasonal AS expected FROM stl JOIN (SELECT {K}, min(idx) AS lo FROM grid GROUP BY ALL) x USING ({K})
+  UNION ALL SELECT {K}, idx, expected FROM tr WHERE (metric_name, pipeline_name) NOT IN (SELECT (metric_name, pipeline_name) FROM gate)),
+lb AS (SELECT gate.*, period * step_ns / 1e9 AS secs, CAST(round_even((last_us * 1000 - origin_ns) / step_ns, 0) AS BIGINT) % period AS last_phase FROM gate),
+sg2 AS (SELECT {K}, sigma_overall, sigma AS sigma_latest, 'seasonal ' || label AS basis, label AS period_label FROM so JOIN (SELECT *,
+    CASE WHEN secs / 3600 < 1 THEN '~' || CAST(greatest(1, CAST(round_even(secs / 60, 0) AS BIGINT)) AS VARCHAR) || 'm'
+      WHEN secs / 3600 < 48 THEN '~' || CAST(CAST(round_even(secs / 3600, 0) AS BIGINT) AS VARCHAR) || 'h'
+      ELSE '~' || CAST(CAST(round_even(secs / 86400, 0) AS BIGINT) AS VARCHAR) || 'd' END AS label FROM lb) USING ({K})
+    JOIN ph USING ({K}) WHERE phase = last_phase
+  UNION ALL SELECT {K}, sigma_overall, sigma_overall, 'smooth trend', NULL FROM sg WHERE (metric_name, pipeline_name) NOT IN (SELECT (metric_name, pipeline_name) FROM gate))"""
+
+
+@query("ts_baseline_curve", f"""
+WITH {CYP}, {GRID}, {TREND}, {ACF}, {CURVE}
+SELECT {K}, n_points, n_grid, period_label IS NOT NULL AS seasonal, basis, period_label, round(sigma_overall, 4) AS sigma_overall, round(sigma_latest, 4) AS sigma_latest
+FROM sg2 JOIN np USING ({K}) JOIN nn USING ({K})""")
 def ts_baseline_curve(spark, sf):
     """The whole baseline: seasonal where the gate holds, trend otherwise."""
     out = series.baseline_curve(_cycle_points(spark, sf))
@@ -253,9 +306,13 @@ def anom_sql_robust_z(spark, sf):
                    "z_score", "pct_change")
 
 
-def scored_sql(mode: str = "point", days: int = 7) -> str:
-    """Series with gates and scores; trend baselines only, as none of the fixture's series has
-    enough points per cycle for a seasonal one."""
+def scored_sql(mode: str = "point", days: int = 7, seasonal: bool = False) -> str:
+    """Series with gates and scores; with `seasonal` also on seasonal baselines."""
+    curve, interp = ("", INTERP)
+    if seasonal:
+        curve, interp = f"{ACF}, {CURVE},", INTERP.replace("JOIN tr ", "JOIN tr2 ")
+    quoted_trend = "'smooth trend' AS curve_basis"
+    sigmas, sigma = ("sg2", "sigma_latest" if mode == "point" else "sigma_overall") if seasonal else ("sg", "sigma_overall")
     if mode == "point":
         window = f"occurred_at >= now - INTERVAL {days} DAY AND occurred_at <= now"
         base, observed = "rn > 1 OR n = 1", "rn = 1"
@@ -282,11 +339,11 @@ e0 AS (SELECT *, CASE WHEN lower(metric_name) LIKE '%max#_date' ESCAPE '#' THEN
   WHEN NOT (ends_with(metric_name, '.rows') OR metric_name = 'dbt_model_run') THEN 'not_row_count'
   WHEN {short} THEN 'too_little_history' END AS gate FROM s0),
 pts AS (SELECT {K}, occurred_at, event_key, value FROM wn JOIN e0 USING ({K}) WHERE gate IS NULL),
-{GRID}, {TREND}, {INTERP}, {centre},
-j AS (SELECT e0.*, mad, curve_center, sigma_overall, coalesce(curve_center, med) AS center,
-    CASE WHEN curve_center IS NOT NULL THEN sigma_overall ELSE mad / 0.6745 END AS sd,
+{GRID}, {TREND}, {curve} {interp}, {centre},
+j AS (SELECT e0.*, mad, curve_center, {sigma} AS sigma_overall, {'basis AS curve_basis' if seasonal else quoted_trend}, coalesce(curve_center, med) AS center,
+    CASE WHEN curve_center IS NOT NULL THEN {sigma} ELSE mad / 0.6745 END AS sd,
     CASE WHEN curve_center IS NOT NULL AND curve_center <> 0 THEN curve_center ELSE med END AS ref
-  FROM e0 LEFT JOIN m0 USING ({K}) LEFT JOIN cc USING ({K}) LEFT JOIN sg USING ({K})),
+  FROM e0 LEFT JOIN m0 USING ({K}) LEFT JOIN cc USING ({K}) LEFT JOIN {sigmas} USING ({K})),
 k AS (SELECT *, coalesce(gate, CASE WHEN med < 500 THEN 'low_volume' END, CASE WHEN sd = 0 THEN 'constant' END) AS reason,
   count(*) OVER (PARTITION BY metric_name) AS n_pipelines FROM j),
 sc AS (SELECT *, reason IS NULL AS scored, CASE WHEN n_pipelines > 1 THEN concat_ws('.', pipeline_name, metric_name) ELSE metric_name END AS metric,
@@ -297,7 +354,7 @@ sd AS (SELECT *, scored AND abs(z) >= 3.5 AND abs(pct) >= 10 AS anom FROM sc)"""
 
 SCORED_COLS = """metric, metric_name, pipeline_name, scored, reason, round(CASE WHEN scored THEN observed ELSE last END, 4) AS latest, n,
   round(CASE WHEN scored THEN med END, 4) AS median, round(CASE WHEN scored THEN mean END, 4) AS mean, round(CASE WHEN scored THEN center END, 4) AS center,
-  round(CASE WHEN scored THEN sd.sd END, 4) AS sd, CASE WHEN scored THEN CASE WHEN curve_center IS NULL THEN 'flat' ELSE 'smooth trend' END END AS basis,
+  round(CASE WHEN scored THEN sd.sd END, 4) AS sd, CASE WHEN scored THEN CASE WHEN curve_center IS NULL THEN 'flat' ELSE curve_basis END END AS basis,
   round(z, 4) AS z, round(pct, 4) AS pct, CASE WHEN scored THEN CASE WHEN observed < center THEN 'drop' ELSE 'spike' END END AS direction, anom"""
 OUT = ("metric", "metric_name", "pipeline_name", "scored", "reason", "latest", "n", "median", "mean", "center", "sd", "basis", "z", "pct", "direction", "anom")
 
@@ -314,14 +371,13 @@ def _shown(df):
     return rounded(df, "latest", "median", "mean", "center", "sd", "z", "pct").select(*OUT)
 
 
-@query("anom_point", f"WITH {ME}, {PROD}, {PNOW}, {scored_sql()} SELECT {SCORED_COLS} FROM sd")
+@query("anom_point", f"WITH {ME}, {PROD}, {PNOW}, {scored_sql(seasonal=True)} SELECT {SCORED_COLS} FROM sd")
 def anom_point(spark, sf):
     return _shown(_score(spark, sf))
 
 
-@query("anom_range")
+@query("anom_range", f"WITH {ME}, {PROD}, {PNOW}, {scored_sql('range', seasonal=True)} SELECT {SCORED_COLS} FROM sd")
 def anom_range(spark, sf):
-    """With seasonal baselines, which SQL cannot express; see anom_range_smooth."""
     return _shown(_score(spark, sf, over_last_day=True))
 
 

@@ -92,10 +92,21 @@ f AS (SELECT event_name, arg_min(nullif(status, ''), ord) FILTER (status <> '')
 SELECT event_name, coalesce(status, '') AS status, coalesce(params, '') AS params, param_count FROM f""")
 def agg_spec_fold(spark, sf):
     folded = catalog.spec_fold(derive(spark, sf, fx.SPEC_ROWS, "part"))
-    return folded.withColumn("params", F.array_join(F.transform(
+    return folded.drop("part").withColumn("params", F.array_join(F.transform(
         "params", lambda p: F.concat_ws(":", p["name"], p["type"], p["status"])), ","))
 
 
+@query("spec_parameter_rows", f"""
+WITH {cte('sp', fx.SPEC_ROWS)},
+f AS (SELECT event_name, arg_min(nullif(status, ''), ord) FILTER (status <> '') AS status,
+  count(*) FILTER (lower(parameter) <> '' AND lower(parameter) <> 'string') AS param_count FROM sp GROUP BY 1)
+SELECT f.event_name, coalesce(f.status, '') AS status, param_count, sp.ord, parameter AS name, sp.status AS param_status, data_type AS type, description AS desc
+FROM f LEFT JOIN sp ON sp.event_name = f.event_name AND lower(parameter) <> '' AND lower(parameter) <> 'string'""")
+def spec_parameter_rows(spark, sf):
+    """The same as one row per parameter, for events of any size."""
+    return catalog.spec_parameters(derive(spark, sf, fx.SPEC_ROWS, "part"))
+
+
 @query("join_fuzzy_spec", f"""
 WITH {CUSTOM}, ev AS (SELECT DISTINCT event_name AS event FROM ok), {cte('sn', fx.SPEC_NAMES)},
 s AS (SELECT spec_name AS spec, spec_name AS ord, regexp_replace(lower(spec_name), '[^a-z0-9]', '', 'g') AS norm FROM sn),

@@ -14,7 +14,7 @@ from opsmetrics.plans.fixtures import ME, NOW, PNOW, PROD, anchor, cte, derive,
 from opsmetrics.plans.registry import query
 from opsmetrics.plans.reports import rollup_sql
 from opsmetrics.session import work_path
-from opsmetrics.sources import adapters, events as scans, stores
+from opsmetrics.sources import adapters, drain, events as scans, stores
 
 W7 = "occurred_at >= now - INTERVAL 7 DAY AND occurred_at <= now"
 FULL = ("event_key, pipeline_name, metric_name, round(metric_value, 4) AS metric_value, severity, run_id, payload, "
@@ -235,12 +235,16 @@ def sink_route_by_severity(spark, sf):
 
 @query("sink_ignore_duplicates", f"WITH {ME} SELECT event_key, severity, occurred_at FROM me")
 def sink_ignore_duplicates(spark, sf):
-    """The first batch creates the store; the second brings all rows and some of them twice."""
+    """The first batch creates the store; the second brings all rows, some of them twice and some of
+    the stored ones under another day."""
     events = metric_events(spark, sf)
     path = work_path(spark, "ignore")
-    again = events.where(F.col("event_key").cast("bigint") % 10 == 0)
-    stores.insert_ignore(events.where(F.col("event_key").cast("bigint") % 3 == 0), path)
-    stores.insert_ignore(events.unionByName(again), path)
+    number = F.col("event_key").cast("bigint")
+    again = events.where(number % 10 == 0)
+    moved = events.where(number % 15 == 0).withColumn("occurred_at", F.col("occurred_at") - F.expr("INTERVAL 2 DAYS"))
+    stores.insert_ignore(events.where(number % 3 == 0), path)
+    stores.insert_ignore(moved, path)
+    stores.insert_ignore(events.unionByName(again).unionByName(moved), path)
     return spark.read.parquet(path).select("event_key", "severity", "occurred_at")
 
 
@@ -323,6 +327,19 @@ def ingest_manifest(spark, sf):
         clock.archive_key(F.concat(F.lit("metrics/"), F.col("file_key")), "metrics/").alias("archive_key"))
 
 
+@query("ingest_drain", f"WITH {ME} SELECT event_key, severity, occurred_at FROM me")
+def ingest_drain(spark, sf):
+    """Files of two deliveries, drained in several runs; the second brings some events again."""
+    events = metric_events(spark, sf)
+    paths = drain.DrainPaths(*(work_path(spark, f"drain-{part}") for part in ("in", "store", "manifest", "archive")))
+    number = F.col("event_key").cast("bigint")
+    for rows in (events.where(number % 4 != 0), events.where((number % 4 == 0) | (number % 9 == 0))):
+        rows.repartition(4, "event_key").write.mode("append").parquet(paths.source)
+        while drain.drain(spark, paths, most=3)["left"]:
+            pass
+    return spark.read.parquet(paths.store).select("event_key", "severity", "occurred_at")
+
+
 HASH16 = """substr(sha1(concat_ws('|', pipeline_name, metric_name, TSTEXT, coalesce(CAST(round(metric_value, 0) AS STRING), 'None'), severity,
   coalesce(run_id, 'None'), coalesce(payload, 'None'))), 1, 16)""".replace("TSTEXT", "strftime(occurred_at, '%Y-%m-%d %H:%M:%S.%f')")
 

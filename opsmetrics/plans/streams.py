@@ -3,17 +3,21 @@ rows and copies of rows seen before."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from opsmetrics.functions import clock
+from opsmetrics.operators import rollup
 from opsmetrics.plans.alerting import CHANNEL
 from opsmetrics.plans.common import rounded
-from opsmetrics.plans.fixtures import ME, NOW, anchor, metric_events
+from opsmetrics.plans.fixtures import LOG_LINES, ME, NOW, anchor, cte, derive, metric_events
 from opsmetrics.plans.registry import query
 from opsmetrics.plans.reports import rollup_sql
+from opsmetrics.plans.scans import PIPE
 from opsmetrics.plans.timelines import SINCE, STALE_AFTER, session_sql
 from opsmetrics.session import work_path
-from opsmetrics.streaming import jobs
+from opsmetrics.streaming import arrivals, heartbeat, jobs, logs, repair
 
 MID = "TIMESTAMP '2024-01-16 00:00:00'"
 FIRST = f"CAST(event_key AS BIGINT) % 20 <> 0 AND occurred_at < {MID}"
@@ -42,87 +46,109 @@ def _drain(spark, sf, run, label):
     return out
 
 
-def _table(spark, sf, transform, label, partition_by=()):
-    out = _drain(spark, sf, lambda src, dst, state: jobs.run_to_table(
-        transform(jobs.read_stream(spark, src)), dst, state, partition_by), label)
-    return spark.read.parquet(out)
+def _arrive(spark, sf, run, label, deliveries=_deliveries):
+    """The same through `arrivals`: a delivery arrives, then the job over the arrivals is drained."""
+    source, arrived, taken, out, checkpoint = (
+        work_path(spark, f"{label}-{part}") for part in ("in", "arrived", "taken", "out", "state"))
+    for delivery in deliveries(spark, sf):
+        delivery.write.mode("append").parquet(source)
+        jobs.run_batches(jobs.read_stream(spark, source, None), arrivals.arrival_handler(arrived), taken)
+        run(arrived, out, checkpoint)
+    return arrived, out
+
+
+def _windowed(spark, sf, transform, label, deliveries=_deliveries):
+    """(what the stream has closed, all arrivals, until when it is closed)"""
+    arrived, out = _arrive(spark, sf, lambda src, dst, state: jobs.run_to_table(
+        transform(arrivals.stream_on_time(spark, src)), dst, state), label, deliveries)
+    return spark.read.parquet(out), arrivals.stored(spark, arrived), jobs.closed_until(spark, out)
+
+
+def _three_deliveries(spark, sf):
+    """Late rows twice, older ones again, and copies of both earlier deliveries in the last."""
+    first, second = _deliveries(spark, sf)
+    later = F.col("event_key").cast("bigint") % 7 == 0
+    return first.where(~later), second, first.where(later).unionByName(second.where(F.col("event_key").cast("bigint") % 3 == 0))
 
 
 @query("st_ingest_normalise", f"WITH {ME} SELECT event_key, pipeline_name, severity, occurred_at FROM me")
 def st_ingest_normalise(spark, sf):
-    """Late rows are in, copies are not."""
-    out = _drain(spark, sf, lambda src, dst, state: jobs.run_batches(
-        jobs.read_stream(spark, src, None), jobs.ingest_handler(dst), state), "ingest")
-    return spark.read.parquet(out).select("event_key", "pipeline_name", "severity", "occurred_at")
+    """On-time rows by the keys remembered inside the watermark, late ones against their days."""
+    arrived, out = _arrive(spark, sf, lambda src, dst, state: jobs.run_to_table(
+        arrivals.stream_on_time(spark, src).drop("event_time", "seen_at"), dst, state, ("run_date",)), "ingest")
+    columns = ["event_key", "pipeline_name", "severity", "occurred_at"]
+    late = arrivals.fresh_late(arrivals.stored(spark, arrived))
+    return spark.read.parquet(out).select(*columns).unionByName(late.select(*columns))
 
 
-# rows of a window that was already closed when the second delivery came are late
-KEPT = "kp AS (SELECT * FROM b1 UNION ALL SELECT * FROM cp WHERE {0} UNION ALL SELECT b2.* FROM b2, w1 WHERE {1})"
 @query("st_hourly_rollup", f"WITH {ME} {rollup_sql('me')}")
 def st_hourly_rollup(spark, sf):
     """What the stream closed, and the repair of late and open hours: all hours, as in batch."""
-    closed = _table(spark, sf, jobs.hourly_rollup, "rollup")
-    return rounded(jobs.repaired_rollup(closed, metric_events(spark, sf)), "sum_val", "mean_val", "last_val")
+    closed, arrived, until = _windowed(spark, sf, jobs.hourly_rollup, "rollup")
+    whole = repair.windows(
+        closed, arrived, until, jobs.hourly_rollup, rollup.KEY, "hour", timedelta(hours=1),
+        shared=("environment", "pipeline_name", "metric_name"))
+    return rounded(whole, "sum_val", "mean_val", "last_val")
 
 
-SLICES = KEPT.format(
-    "time_bucket(INTERVAL '15 minutes', occurred_at) + INTERVAL 15 MINUTE > (SELECT wm1 FROM w1)",
-    "time_bucket(INTERVAL '15 minutes', occurred_at) + INTERVAL 15 MINUTE > wm1")
+QUARTER, HOUR = timedelta(minutes=15), timedelta(hours=1)
+SLICES_SQL = f"""
+WITH {ME} SELECT time_bucket(INTERVAL '15 minutes', occurred_at) AS bucket_start, count(*) AS rows_loaded FROM me GROUP BY 1"""
+RATE_SQL = f"""
+WITH {ME}, x AS (SELECT severity, time_bucket(INTERVAL '15 minutes', occurred_at) - i * INTERVAL 15 MINUTE AS window_start FROM me, (SELECT unnest(range(4)) AS i))
+SELECT window_start, count(*) FILTER (severity IN ('error', 'critical')) AS fail, count(*) FILTER (severity = 'warning') AS warn,
+  count(*) FILTER (severity NOT IN ('error', 'critical', 'warning')) AS other FROM x GROUP BY 1"""
+SESSIONS_SQL = f"""
+WITH {ME},
+l AS (SELECT pipeline_name, occurred_at, lag(occurred_at) OVER (PARTITION BY pipeline_name ORDER BY occurred_at) AS prev FROM me),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR occurred_at > prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY pipeline_name ORDER BY occurred_at) AS k FROM l)
+SELECT pipeline_name, min(occurred_at) AS session_start, max(occurred_at) + INTERVAL 30 MINUTE AS closes_at, count(*) AS n FROM s GROUP BY pipeline_name, k"""
 
 
-@query("st_load_slices", f"""
-WITH {SPLIT}, {SLICES}, r AS (SELECT time_bucket(INTERVAL '15 minutes', occurred_at) AS bucket_start, count(*) AS rows_loaded FROM kp GROUP BY 1)
-SELECT r.* FROM r, w2 WHERE bucket_start + INTERVAL 15 MINUTE <= wm2""")
-def st_load_slices(spark, sf):
-    return _table(spark, sf, jobs.load_slices, "slices")
+def _slices(spark, sf, deliveries):
+    closed, arrived, until = _windowed(spark, sf, jobs.load_slices, "slices", deliveries)
+    return repair.windows(closed, arrived, until, jobs.load_slices, ["bucket_start"], "bucket_start", QUARTER)
 
 
-@query("st_alert_rate", f"""
-WITH {SPLIT}, al AS (SELECT *, FALSE AS again FROM b1 UNION ALL SELECT *, TRUE FROM cp UNION ALL SELECT *, TRUE FROM b2),
-x AS (SELECT al.*, time_bucket(INTERVAL '15 minutes', occurred_at) - i * INTERVAL 15 MINUTE AS window_start FROM al, (SELECT unnest(range(4)) AS i)),
-r AS (SELECT window_start, count(*) FILTER (severity IN ('error', 'critical')) AS fail, count(*) FILTER (severity = 'warning') AS warn,
-  count(*) FILTER (severity NOT IN ('error', 'critical', 'warning')) AS other FROM x, w1 WHERE NOT again OR window_start + INTERVAL 1 HOUR > wm1 GROUP BY 1)
-SELECT r.* FROM r, w2 WHERE window_start + INTERVAL 1 HOUR <= wm2""")
-def st_alert_rate(spark, sf):
-    return _table(spark, sf, jobs.alert_rate, "rate")
+def _rate(spark, sf, deliveries):
+    closed, arrived, until = _windowed(spark, sf, jobs.alert_rate, "rate", deliveries)
+    return repair.windows(closed, arrived, until, jobs.alert_rate, ["window_start"], "window_start", HOUR, QUARTER)
 
 
-SESSIONS = KEPT.format(
-    "occurred_at + INTERVAL 30 MINUTE > (SELECT wm1 FROM w1)", "occurred_at + INTERVAL 30 MINUTE > wm1")
+def _sessions(spark, sf, deliveries):
+    closed, arrived, _ = _windowed(spark, sf, jobs.run_sessions, "sessions", deliveries)
+    return repair.sessions(closed, arrived, jobs.run_sessions)
 
 
-@query("st_run_sessions", f"""
-WITH {SPLIT}, {SESSIONS},
-l AS (SELECT pipeline_name, occurred_at, lag(occurred_at) OVER (PARTITION BY pipeline_name ORDER BY occurred_at) AS prev FROM kp),
-s AS (SELECT *, sum(CASE WHEN prev IS NULL OR occurred_at > prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY pipeline_name ORDER BY occurred_at) AS k FROM l),
-r AS (SELECT pipeline_name, k, min(occurred_at) AS session_start, max(occurred_at) + INTERVAL 30 MINUTE AS closes_at, count(*) AS n FROM s GROUP BY 1, 2)
-SELECT pipeline_name, session_start, closes_at, n FROM r, w2 WHERE closes_at <= wm2""")
+@query("st_load_slices", SLICES_SQL)
+def st_load_slices(spark, sf):
+    return _slices(spark, sf, _deliveries)
+
+
+@query("st_alert_rate", RATE_SQL)
+def st_alert_rate(spark, sf):
+    return _rate(spark, sf, _deliveries)
+
+
+@query("st_run_sessions", SESSIONS_SQL)
 def st_run_sessions(spark, sf):
-    return _table(spark, sf, jobs.run_sessions, "sessions")
+    return _sessions(spark, sf, _deliveries)
 
 
-# The three above are what the stream alone closes. With the repair they are the batch result over all events.
-@query("st_load_slices_repaired", f"""
-WITH {ME} SELECT time_bucket(INTERVAL '15 minutes', occurred_at) AS bucket_start, count(*) AS rows_loaded FROM me GROUP BY 1""")
+# the same three over more deliveries: late rows of several ages, copies of on-time and of late rows
+@query("st_load_slices_repaired", SLICES_SQL)
 def st_load_slices_repaired(spark, sf):
-    return jobs.repaired_slices(st_load_slices(spark, sf), metric_events(spark, sf))
+    return _slices(spark, sf, _three_deliveries)
 
 
-@query("st_alert_rate_repaired", f"""
-WITH {ME}, x AS (SELECT severity, time_bucket(INTERVAL '15 minutes', occurred_at) - i * INTERVAL 15 MINUTE AS window_start FROM me, (SELECT unnest(range(4)) AS i))
-SELECT window_start, count(*) FILTER (severity IN ('error', 'critical')) AS fail, count(*) FILTER (severity = 'warning') AS warn,
-  count(*) FILTER (severity NOT IN ('error', 'critical', 'warning')) AS other FROM x GROUP BY 1""")
+@query("st_alert_rate_repaired", RATE_SQL)
 def st_alert_rate_repaired(spark, sf):
-    return jobs.repaired_rate(st_alert_rate(spark, sf), metric_events(spark, sf))
+    return _rate(spark, sf, _three_deliveries)
 
 
-@query("st_run_sessions_repaired", f"""
-WITH {ME},
-l AS (SELECT pipeline_name, occurred_at, lag(occurred_at) OVER (PARTITION BY pipeline_name ORDER BY occurred_at) AS prev FROM me),
-s AS (SELECT *, sum(CASE WHEN prev IS NULL OR occurred_at > prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY pipeline_name ORDER BY occurred_at) AS k FROM l)
-SELECT pipeline_name, min(occurred_at) AS session_start, max(occurred_at) + INTERVAL 30 MINUTE AS closes_at, count(*) AS n FROM s GROUP BY pipeline_name, k""")
+@query("st_run_sessions_repaired", SESSIONS_SQL)
 def st_run_sessions_repaired(spark, sf):
-    return jobs.repaired_sessions(st_run_sessions(spark, sf), metric_events(spark, sf))
+    return _sessions(spark, sf, _three_deliveries)
 
 
 @query("st_alert_outbox", f"""
@@ -138,9 +164,10 @@ WITH {ME}, {NOW}, b AS (SELECT * FROM me), {session_sql()}
 SELECT pipeline_name, last_seen, round(cadence_s, 4) AS cadence_s, round({SINCE}, 4) AS since_last_s,
   round({STALE_AFTER}, 4) AS stale_after_s, {SINCE} > {STALE_AFTER} AS stale FROM ls LEFT JOIN cd USING (pipeline_name), a""")
 def st_staleness(spark, sf):
-    out = _drain(spark, sf, lambda src, dst, state: jobs.run_batches(
-        jobs.read_stream(spark, src, None), jobs.staleness_handler(dst), state), "stale")
-    return rounded(jobs.staleness_now(spark, out, 1, anchor(metric_events(spark, sf))),
+    """From the newest beat of each pipeline: state by key, timers, no history read again."""
+    _, out = _arrive(spark, sf, lambda src, dst, state: jobs.run_batches(
+        heartbeat.beats(arrivals.stream_all(spark, src)), heartbeat.beat_handler(dst), state, "update"), "stale")
+    return rounded(heartbeat.staleness_now(spark, out, anchor(metric_events(spark, sf))),
                    "cadence_s", "since_last_s", "stale_after_s")
 
 
@@ -152,3 +179,39 @@ def st_late_audit(spark, sf):
     out = _drain(spark, sf, lambda src, dst, state: jobs.run_batches(
         jobs.read_stream(spark, src, None), jobs.late_audit_handler(dst), state), "late")
     return spark.read.parquet(out).select("batch_id", "rows", "late_rows")
+
+
+# log files: some lines carry no time, the second delivery brings more files
+LOGS = f"""{cte('ll', LOG_LINES)}, lg AS (SELECT *, line_id % 10 AS c, line_id % 100 = 0 AS bare FROM ll)"""
+
+
+def _drained_logs(spark, sf):
+    lines = derive(spark, sf, LOG_LINES, "events")
+    stamp = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = F.when(F.col("line_id") % 100 == 0, F.col("value")).otherwise(F.concat_ws(" ", stamp, "value"))
+    source = work_path(spark, "logs")
+    tables = logs.LogTables(*(work_path(spark, f"logs-{part}") for part in ("metrics", "quarantine", "archive", "state")))
+    for part in range(2):
+        lines.where(F.col("line_id") % 2 == part).select(text.alias("value"), "log_group").write.mode("append").partitionBy(
+            "log_group").text(source)
+        logs.drain(spark, source, tables)
+    return tables
+
+
+@query("st_log_metrics", f"""
+WITH {LOGS} SELECT occurred_at, CASE c WHEN 7 THEN value->>'$.PIPELINE' ELSE {PIPE} END AS pipeline_name,
+  value->>'$.MONITORING_METRIC' AS metric_name, CAST(coalesce(value->>'$.value', value->>'$.VALUE') AS DOUBLE) AS metric_value,
+  CASE c WHEN 7 THEN 'warning' ELSE 'info' END AS severity, value->>'$.run_id' AS run_id, c = 7 AS is_alert,
+  value->>'$.environment' AS environment FROM lg WHERE c IN (0, 1, 2, 3, 7) AND NOT bare""")
+def st_log_metrics(spark, sf):
+    """Log files of two deliveries as a stream of metric events."""
+    return spark.read.parquet(_drained_logs(spark, sf).metrics).select(
+        "occurred_at", "pipeline_name", "metric_name", "metric_value", "severity", "run_id", "is_alert", "environment")
+
+
+@query("st_log_quarantine", f"""
+WITH {LOGS} SELECT log_group, value, CASE c WHEN 9 THEN 'no_json' WHEN 8 THEN 'no_metric' WHEN 4 THEN 'no_metric' WHEN 6 THEN 'no_number'
+  WHEN 5 THEN 'unknown_severity' ELSE 'no_time' END AS reason FROM lg WHERE c IN (4, 5, 6, 8, 9) OR bare""")
+def st_log_quarantine(spark, sf):
+    """The lines that are no metric events, each with the reason."""
+    return spark.read.parquet(_drained_logs(spark, sf).quarantine).select("log_group", "value", "reason")

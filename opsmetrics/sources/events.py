@@ -18,8 +18,20 @@ ROLLUP_NAMESPACE = "rollup"
 LEAN_COLUMNS = ("pipeline_name", "occurred_at")
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRIC_EVENT).parquet(path)
+def read_events(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    return spark.read.schema(METRIC_EVENT).parquet(*([path] if isinstance(path, str) else path))
+
+
+def write_lookup(events: DataFrame, path: str, runs_per_file: int = 100_000, block_bytes: int = 32 << 20) -> None:
+    """A table for point reads: sorted by (environment, pipeline, time), so that row groups of one
+    pipeline and range are neighbours, and with a Bloom filter per row group on the run id, so that a
+    lookup reads only groups that may hold it."""
+    keys = ["environment", "pipeline_name", "occurred_at", "event_key"]
+    (
+        events.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
+        .option("parquet.bloom.filter.enabled#run_id", "true").option("parquet.bloom.filter.expected.ndv#run_id", str(runs_per_file))
+        .option("parquet.enable.dictionary#run_id", "false").option("parquet.block.size", str(block_bytes)).parquet(path)
+    )
 
 
 def _between(start: datetime, end: datetime, include_end: bool = True) -> Column:

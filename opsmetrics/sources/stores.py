@@ -56,24 +56,51 @@ def within(column: str, values: Sequence) -> Column:
     return hit | F.col(column).isNull() if len(known) < len(values) else hit
 
 
-def insert_ignore(batch: DataFrame, path: str) -> None:
-    """Append only what is new. Rows with a key already in `path` are left out.
+KEY_SLOTS = 64  # partitions of the key index
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("event_key"), F.lit(KEY_SLOTS)).cast("int").alias("slot")
+
 
-    A key belongs to one day, so only the days of the batch are read. A store that does not
-    exist yet is created. The fresh rows are staged: what is appended does not depend on the
-    store it is appended to.
+def _write_keys(new: DataFrame, path: str) -> None:
+    """Append keys to the index, a sorted file per slot with a Bloom filter for lookups of single keys."""
+    new.select("event_key", _slot()).repartition("slot").sortWithinPartitions("slot", "event_key").write.mode(
+        "append").option("parquet.bloom.filter.enabled#event_key", "true").partitionBy("slot").parquet(path)
+
+
+def insert_ignore(batch: DataFrame, path: str) -> None:
+    """Append only what is new: rows whose key is in `path` already are left out, whatever day the
+    stored row lies on and whatever time the copy brings.
+
+    Keys are looked up in an index next to the store (`<path>-keys`), of which only the slots of the
+    batch's keys are read: no stored row beyond the days of the batch is. These are read so that a run
+    that wrote its rows but not its keys is completed by running it again. A store that does not exist
+    yet is created, the index of a store without one is built. The fresh rows are staged: what is
+    appended does not depend on the store it is appended to.
     """
     spark = batch.sparkSession
-    dated = with_run_date(batch)
-    known = dated.limit(0).withColumn("event_key", keys.store_key())
+    index = f"{path}-keys"
+    dated = with_run_date(batch).withColumn("event_key", keys.store_key())
+    rows = stage(first_per_key(dated, ["event_key"], F.col("occurred_at"), F.col("metric_name")), "batch")
+    stored = rows.limit(0)
     if path_exists(spark, path):
         # the schema is given: a store may hold days without any file yet
-        known = spark.read.schema(known.schema).parquet(path).where(within("run_date", touched(dated, "run_date")))
-    fresh = stage(new_rows(dated, known), "fresh")
+        stored = spark.read.schema(rows.schema).parquet(path)
+        if not path_exists(spark, index):
+            _write_keys(stored.select("event_key").distinct(), index)
+    listed = rows.select("event_key").limit(0)
+    if path_exists(spark, index):
+        slots = [r[0] for r in rows.select(_slot()).distinct().collect()]
+        listed = spark.read.schema("event_key string, slot int").parquet(index).where(F.col("slot").isin(*slots)).select("event_key")
+    known = listed.unionAll(stored.where(within("run_date", touched(rows, "run_date"))).select("event_key"))
+    fresh = stage(rows.join(known, "event_key", "left_anti"), "fresh")
+    missing = stage(rows.select("event_key").join(listed, "event_key", "left_anti"), "keys")
     (
         fresh.repartitionByRange("run_date", "occurred_at")
         .write.mode("append").partitionBy("run_date").parquet(path)
     )
+    _write_keys(missing, index)
 
 
 def upsert_latest(
@@ -236,23 +263,32 @@ def severity_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+MANIFEST = "file_key string, archived boolean"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file_key, archived), one row per file. The manifest is a log of both steps of a file, so it is
+    only ever appended to: no run can lose what an earlier one has noted."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(path).groupBy("file_key").agg(F.bool_or("archived").alias("archived"))
+
+
+def manifest_open(spark: SparkSession, path: str) -> DataFrame:
+    """The files that are taken in but not archived yet."""
+    return read_manifest(spark, path).where("NOT archived").select("file_key")
+
+
 def record_ingested(keys_done: DataFrame, path: str) -> None:
     """Add files to the manifest as ingested and not archived yet; known files stay as they are."""
-    spark = keys_done.sparkSession
-    new = keys_done.select("file_key").distinct()
-    if path_exists(spark, path):
-        new = manifest_new(new, spark.read.parquet(path))
+    new = manifest_new(keys_done.select("file_key").distinct(), read_manifest(keys_done.sparkSession, path))
     stage(new.withColumn("archived", F.lit(False)), "manifest").write.mode("append").parquet(path)
 
 
 def mark_archived(keys_done: DataFrame, path: str) -> None:
-    """Set `archived` for files of the manifest. One row per file, so it is rewritten whole, from
-    a staged copy."""
-    spark = keys_done.sparkSession
-    done = keys_done.select("file_key").distinct().withColumn("_done", F.lit(True))
-    now = spark.read.parquet(path).join(done, "file_key", "left").select(
-        "file_key", (F.col("archived") | F.coalesce("_done", F.lit(False))).alias("archived"))
-    stage(now, "manifest").write.mode("overwrite").parquet(path)
+    """Note files of the manifest as archived; others are not added."""
+    done = keys_done.select("file_key").distinct().join(manifest_open(keys_done.sparkSession, path), "file_key", "left_semi")
+    stage(done.withColumn("archived", F.lit(True)), "manifest").write.mode("append").parquet(path)
 
 
 def drop_expired_days(spark: SparkSession, path: str, now: datetime, ttl_days: int = RAW_TTL_DAYS) -> list[str]:

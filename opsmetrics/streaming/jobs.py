@@ -1,9 +1,8 @@
 """Stream jobs. Event time is TIMESTAMP (a watermark refuses TIMESTAMP_NTZ) in a UTC session.
 
-Ingest keeps every row, however late. Windowed results close by the watermark, so rows later than
-that and hours still open are not in them: `repaired_rollup` recomputes exactly those hours from
-the ingested rows, after which the table equals the batch rollup; `repaired_slices`, `repaired_rate`
-and `repaired_sessions` do the same for the other three. `late_audit` counts late rows.
+Windowed jobs run over the on-time rows of `arrivals`, of which the watermark drops none; `repair`
+puts late rows and open windows in, after which a table equals the batch result. `late_audit`
+counts late rows.
 """
 
 from __future__ import annotations
@@ -16,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsmetrics.functions import clock, severity
-from opsmetrics.operators import alerts, rollup, timeline
+from opsmetrics.operators import alerts, rollup
 from opsmetrics.operators.exact import first_per_key
 from opsmetrics.schema import METRIC_EVENT
-from opsmetrics.session import delete_path, path_exists, stage
+from opsmetrics.session import path_exists
 from opsmetrics.sources import adapters, stores
 from opsmetrics.sources.events import with_run_date
 
@@ -58,31 +57,6 @@ def hourly_rollup(rows: DataFrame) -> DataFrame:
     ), start)
 
 
-def repaired_rollup(streamed: DataFrame, events: DataFrame) -> DataFrame:
-    """The streamed rollup with late and open hours put right from the ingested events.
-
-    Rows are counted per key, which is narrow and combined map-side; keys whose count is not the
-    streamed one are recomputed, all others stay as they were streamed.
-    """
-    keyed = events.where(F.col("occurred_at").isNotNull()).withColumn("hour", clock.hour_of(F.col("occurred_at")))
-    counted = keyed.groupBy(*rollup.KEY).agg(F.count(F.lit(1)).alias("rows"))
-
-    def same(a: str, b: str):
-        cond = F.lit(True)
-        for c in rollup.KEY:
-            cond = cond & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-        return cond
-
-    known = streamed.select(*rollup.KEY, "n")
-    wrong = stage(
-        counted.alias("c").join(known.alias("s"), same("c", "s"), "left")
-        .where(~F.col("s.n").eqNullSafe(F.col("c.rows"))).select("c.*"), "repairs").drop("rows")
-    again = keyed.alias("e").join(wrong.alias("w"), same("e", "w"), "left_semi")
-    fresh = rollup.hourly_rollup(again.select(*events.columns))
-    kept = streamed.alias("s").join(wrong.alias("w"), same("s", "w"), "left_anti")
-    return kept.select(*fresh.columns).unionByName(fresh)
-
-
 def load_slices(rows: DataFrame) -> DataFrame:
     """st_load_slices: rows per 15 minutes."""
     start, _ = _window()
@@ -109,53 +83,29 @@ def run_sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
         F.count(F.lit(1)).alias("n")).select("pipeline_name", start.alias("session_start"), end.alias("closes_at"), "n")
 
 
-def _repaired(streamed: DataFrame, events: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The streamed rows that are right, and from the ingested events all others.
-
-    These results are counts, so counting them again is the recompute; all columns are compared,
-    because copies in the stream can make up for late rows in a sum. A session that a late row
-    begins earlier or joins to the next is another row, and the streamed ones go.
-    """
-    whole = stage(transform(events.withColumn("event_time", F.col("occurred_at").cast("timestamp"))), "whole")
-
-    def same(a: str, b: str):
-        cond = F.lit(True)
-        for c in whole.columns:
-            cond = cond & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-        return cond
-
-    kept = streamed.distinct().alias("s").join(whole.alias("w"), same("s", "w"), "left_semi")
-    fresh = whole.alias("w").join(streamed.alias("s"), same("w", "s"), "left_anti")
-    return kept.select(*whole.columns).unionByName(fresh)
-
-
-def repaired_slices(streamed: DataFrame, events: DataFrame) -> DataFrame:
-    """The streamed load slices with late rows and open slices put right."""
-    return _repaired(streamed, events, load_slices)
-
-
-def repaired_rate(streamed: DataFrame, events: DataFrame) -> DataFrame:
-    """The streamed alert rate with late rows and open windows put right."""
-    return _repaired(streamed, events, alert_rate)
-
-
-def repaired_sessions(streamed: DataFrame, events: DataFrame) -> DataFrame:
-    """The streamed run sessions with late rows and open sessions put right."""
-    return _repaired(streamed, events, run_sessions)
-
-
 # --- runners -------------------------------------------------------------------------
 @contextmanager
 def state_partitions(spark: SparkSession, n: int | None = None):
     """State partitions are fixed when a query first starts, so they are sized by the cluster's
-    cores (or `n`) instead of the session's batch default."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    cores (or `n`) instead of the session's batch default. State lives in RocksDB, on disk with
+    changes uploaded, instead of on the executors' heap."""
+    wanted = {
+        "spark.sql.shuffle.partitions": str(n or spark.sparkContext.defaultParallelism),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def closed_path(path: str) -> str:
+    return f"{path}-closed"
 
 
 def run_to_table(
@@ -163,19 +113,36 @@ def run_to_table(
     partitions: int | None = None,
 ) -> None:
     """Drain what is there (availableNow) into a parquet table. The checkpoint makes a rerun
-    continue where the last one stopped."""
+    continue where the last one stopped. Up to which time windows are closed is kept next to it."""
+    spark = rows.sparkSession
     writer = rows.writeStream.format("parquet").outputMode("append").option(
         "checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with state_partitions(rows.sparkSession, partitions):
+    with state_partitions(spark, partitions):
         query = writer.start()
     query.awaitTermination()
+    marks = [p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in (p["eventTime"] or {})]
+    if marks:
+        spark.createDataFrame([(max(marks).removesuffix("Z"),)], "closed string").select(
+            F.col("closed").cast("timestamp_ntz")).write.mode("append").parquet(closed_path(path))
+
+
+def closed_until(spark: SparkSession, path: str) -> datetime | None:
+    """The watermark up to which the table at `path` has all windows."""
+    if not path_exists(spark, closed_path(path)):
+        return None
+    return spark.read.parquet(closed_path(path)).agg(F.max("closed")).first()[0]
 
 
-def run_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start().awaitTermination()
+def run_batches(
+    rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
+    partitions: int | None = None,
+) -> None:
+    with state_partitions(rows.sparkSession, partitions):
+        query = rows.writeStream.foreachBatch(handle).outputMode(mode).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def outbox_handler(path: str) -> Callable[[DataFrame, int], None]:
@@ -198,37 +165,6 @@ def outbox_handler(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def staleness_handler(path: str) -> Callable[[DataFrame, int], None]:
-    """st_staleness: the state is a table of (pipeline, minute, newest time), one version per
-    batch: version k is version k - 1 and the batch's own minutes. Each is combined map-side,
-    so a pipeline adds at most one row per minute whatever its volume. The version before is kept
-    for a batch that runs again; older ones are deleted."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        marks = batch.groupBy("pipeline_name", clock.minute_of(F.col("occurred_at")).alias("bucket")).agg(
-            F.max("occurred_at").alias("last_ts"))
-        before = f"{path}/v{batch_id - 1}"
-        if batch_id > 0:
-            if not path_exists(spark, before):
-                raise FileNotFoundError(f"the state before batch {batch_id} is missing: {before}")
-            marks = marks.unionByName(spark.read.parquet(before)).groupBy("pipeline_name", "bucket").agg(
-                F.max("last_ts").alias("last_ts"))
-        marks.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        delete_path(spark, f"{path}/v{batch_id - 2}")
-
-    return handle
-
-
-def staleness_now(spark: SparkSession, path: str, version: int, now: datetime,
-                  opts: timeline.TimelineOptions = timeline.TimelineOptions()) -> DataFrame:
-    """Staleness of every pipeline from one version of the state."""
-    marks = spark.read.parquet(f"{path}/v{version}")
-    seen = marks.groupBy("pipeline_name").agg(F.max("last_ts").alias("last_seen"))
-    starts = timeline.session_starts(marks.select("pipeline_name", "bucket"), opts.session_gap_s)
-    return timeline.staleness(seen, timeline.cadence(starts), now, opts)
-
-
 def late_audit_handler(path: str, lateness: timedelta = timedelta(hours=6)) -> Callable[[DataFrame, int], None]:
     """st_late_audit: rows, late rows and newest time per batch, before any aggregation.
 

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from opsmetrics.operators.exact import (
-    exact_median, first_per_key, median_and_mad, previous_value, value_counts, weighted_median,
+    exact_median, first_per_key, in_ranges, median_and_mad, previous_value, value_counts, weighted_median,
 )
 
 
@@ -15,7 +15,7 @@ def numbers(seed, n):
     return [rng.choice(pool) if rng.random() < 0.3 else rng.choice([-1, 1]) * 10 ** rng.uniform(-5, 5) for _ in range(n)]
 
 
-def test_radix_median_is_exact(spark):
+def test_median_is_exact(spark):
     groups = {f"g{n}": numbers(n, n) for n in (1, 2, 3, 4, 7, 50, 501, 1000)}
     rows = [(k, v) for k, vs in groups.items() for v in vs] + [("g1", None), ("g1", float("nan"))]
     df = spark.createDataFrame(rows, "k string, v double")
@@ -29,12 +29,12 @@ def test_values_that_differ_in_the_last_bits(spark):
     assert exact_median(df, ["k"], "v").first().median == base[499]
 
 
-def test_bounded_path_and_radix_path_agree(spark):
+def test_median_and_mad_are_those_of_the_built_in(spark):
     df = spark.createDataFrame([(i % 3, round(v, 2)) for i, v in enumerate(numbers(9, 600))], "k int, v double")
-    counts = value_counts(df, ["k"], "v")
-    radix = {r.k: (r.median, r.mad) for r in median_and_mad(counts, ["k"], "v").collect()}
-    small = {r.k: (r.median, r.mad) for r in median_and_mad(counts, ["k"], "v", bounded=True).collect()}
-    assert radix == small
+    got = {r.k: (r.median, r.mad) for r in median_and_mad(value_counts(df, ["k"], "v"), ["k"], "v").collect()}
+    med = df.groupBy("k").agg(F.median("v").alias("m"))
+    want = df.join(med, "k").groupBy("k").agg(F.first("m").alias("m"), F.median(F.abs(F.col("v") - F.col("m"))).alias("mad"))
+    assert got == {r.k: (r.m, r.mad) for r in want.collect()}
 
 
 def test_weights_and_zero_weights(spark):
@@ -54,6 +54,23 @@ def test_previous_value_equals_a_plain_lag(spark):
     assert {r.id: r.p for r in previous_value(df, ["k"], "t", "id", "v", out="p").collect()} == want
 
 
+def test_a_hot_group_and_a_hot_moment_spread_over_tasks(spark):
+    """A third of all rows are one metric in one minute: no range has much more than its share."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(12000).selectExpr(
+            "if(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "if(id % 3 = 0, timestamp_ntz'2026-01-01 00:00:30', "
+            "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)) AS t", "id", "double(id) AS v")
+        sizes = [r[0] for r in in_ranges(df, ["k"], ["t", "id"]).groupBy("_part").count().select("count").collect()]
+        assert len(sizes) == 4 and max(sizes) < 12000 / 4 * 1.5
+        hot = {r.id: r.p for r in previous_value(df, ["k"], "t", "id", "v", out="p").where("k = 'hot'").collect()}
+        assert hot == {i: (i - 3.0 if i else None) for i in range(0, 12000, 3)}
+        assert exact_median(df, ["k"], "v").where("k = 'hot'").first().median == 5998.5
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_first_per_key_limits_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 as k", "id")
     out = first_per_key(df, ["k"], F.desc("id"))

@@ -192,7 +192,7 @@ def test_manifest_and_retention(events, spark):
     stores.record_ingested(files, path)
     stores.record_ingested(spark.createDataFrame([("b",), ("c",)], "file_key string"), path)
     stores.mark_archived(spark.createDataFrame([("b",), ("zz",)], "file_key string"), path)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", False), ("b", True), ("c", False)]
+    assert sorted(map(tuple, stores.read_manifest(spark, path).collect())) == [("a", False), ("b", True), ("c", False)]
     days = work_path(spark, "days")
     scans.write_day_partitions(events([{"occurred_at": NOW - timedelta(days=i)} for i in range(10)]), days)
     assert stores.drop_expired_days(spark, days, NOW, ttl_days=7) == ["20260629", "20260630"]
@@ -214,3 +214,78 @@ def test_written_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
             session.work_path(fake(master), "t")
         assert session.work_path(fake(master, "s3://b/x/"), "t").startswith("s3://b/x/opsmetrics/app/t-")
     assert session.work_path(fake("local[8]"), "t")
+
+
+def test_an_id_under_another_day_is_stored_once(events, spark):
+    path = work_path(spark, "by-id")
+    first = [{"event_key": f"k{i}", "occurred_at": NOW - timedelta(days=i)} for i in range(5)]
+    moved = [{"event_key": "k1", "occurred_at": NOW}, {"event_key": "k9", "occurred_at": NOW}]
+    for batch in (first, moved, moved, [{"event_key": "k9", "occurred_at": NOW - timedelta(days=40)}]):
+        stores.insert_ignore(events(batch), path)
+    got = sorted((r.event_key, r.occurred_at) for r in spark.read.parquet(path).collect())
+    assert got == sorted([(r["event_key"], r["occurred_at"]) for r in first] + [("k9", NOW)])
+
+
+def test_an_insert_that_broke_off_before_its_keys(events, spark):
+    """Rows are there, their keys are not: the next run completes the index and adds no row."""
+    path = work_path(spark, "broken")
+    rows = events([{"event_key": f"k{i}", "occurred_at": NOW} for i in range(5)])
+    stores.insert_ignore(rows.limit(2), path)
+    scans.with_run_date(rows.where("event_key > 'k000001'")).write.mode("append").partitionBy("run_date").parquet(path)
+    before = spark.read.parquet(path).count()
+    stores.insert_ignore(rows, path)
+    assert spark.read.parquet(path).count() == max(before, 5)
+    assert spark.read.parquet(f"{path}-keys").select("event_key").distinct().count() == 5
+
+
+def test_drain_takes_up_where_it_broke_off(events, spark, tmp_path):
+    from opsmetrics.sources import drain
+
+    paths = drain.DrainPaths(*(str(tmp_path / p) for p in ("in", "store", "manifest", "archive")))
+    for i in range(5):
+        events([{"event_key": f"k{i}", "occurred_at": NOW - timedelta(hours=i)}]).coalesce(1).write.mode("append").parquet(paths.source)
+    assert drain.drain(spark, paths, most=2) == {"ingested": 2, "archived": 2, "left": 3}
+    # a run that ends after the insert, and one that ends before the archive
+    files = [r.file_key for r in drain.listed_files(spark, paths.source, ".parquet").orderBy("file_key").collect()]
+    stores.insert_ignore(scans.read_events(spark, files[:1]), paths.store)
+    stores.record_ingested(spark.createDataFrame([(files[1],)], "file_key string"), paths.manifest)
+    stores.insert_ignore(scans.read_events(spark, files[1:2]), paths.store)
+    assert drain.drain(spark, paths) == {"ingested": 2, "archived": 3, "left": 0}
+    assert drain.drain(spark, paths) == {"ingested": 0, "archived": 0, "left": 0}
+    assert sorted(r.event_key for r in spark.read.parquet(paths.store).collect()) == [f"k{i}" for i in range(5)]
+    assert drain.listed_files(spark, paths.archive, ".parquet").count() == 5
+    day = NOW.strftime("%Y%m%d")
+    assert drain.small_days(spark, paths.store, most_files=2) == [day]
+    drain.compact_day(spark, paths.store, day)
+    assert drain.small_days(spark, paths.store, most_files=1) == [] and spark.read.parquet(paths.store).count() == 5
+
+
+def _rows_scanned(df):
+    df.collect()
+    plan, found = [df._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        if "Scan" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return sum(found)
+
+
+def test_point_reads_skip_row_groups(events, spark, tmp_path):
+    rows = events([{"event_key": f"k{i:05d}", "pipeline_name": f"p{i % 20:02d}", "run_id": f"r{i}", "payload": "x" * 200,
+                    "occurred_at": NOW - timedelta(minutes=i)} for i in range(20000)])
+    path = str(tmp_path / "lookup")
+    scans.write_lookup(rows.coalesce(1), path, block_bytes=64 << 10)
+    table = scans.read_events(spark, path)
+    assert _rows_scanned(table.where("payload is not null")) == 20000
+    assert 0 < _rows_scanned(table.where("run_id = 'r777'")) < 20000 / 4
+    some = scans.by_pipeline_range(table, "prod", "p07", NOW - timedelta(days=3), NOW)
+    assert 0 < _rows_scanned(some) < 20000 / 4 and some.count() == 216
+
+
+def test_detector_options_stay_in_their_limits():
+    from opsmetrics.operators.anomaly import AnomalyOptions, chosen_options
+
+    got = chosen_options({"z_threshold": "99", "min_pct": -5, "baseline_days": "x", "min_points": "7.9", "row_limit": None, "other": 1})
+    assert got == AnomalyOptions(z_threshold=10.0, min_pct=0.0, min_points=7)
+    assert chosen_options({"baseline_days": 3650, "min_points": 1, "z_threshold": float("nan")}) == AnomalyOptions(baseline_days=30, min_points=2)
