@@ -7,10 +7,11 @@ and a document is done at the first level j below which all its slots lie: mostl
 steps a shingle instead of one for every slot. Levels run for all shingles of many documents at once.
 
 Documents with one set of shingles are one class from the start. Bands of equal slots make buckets.
-In a bucket all are compared with the member of the smallest number; what that leaves in different
-components is compared in blocks of bounded size, by signature first. Every pair that remains is
-confirmed on its full sets. Links are grouped by union-find inside the tasks, and the forests of the
-tasks by `components.roots`.
+Members of a bucket whose sizes and signatures allow a link are suspects; their full sets are built
+again from their texts. In a bucket all suspects are confirmed against its first member; what that
+leaves in different components is confirmed in blocks of bounded size, the most similar first, by
+union-find. Every link is confirmed on full sets, and a task returns no more links than it has
+members. The forests of the tasks are grouped by union-find in batches and `components.roots`.
 
 With 32 bands of 5 of 160 slots a pair of similarity 0.85 shares no band with probability 7e-9, and
 its signature estimate is below the bound of 0.65 with less. No bucket is cut and no partner is capped.
@@ -25,7 +26,7 @@ size. Only id and text are read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ from opsmetrics.session import ship_package, stage
 SLOTS, BANDS = 160, 32
 LIKELY = 0.65  # share of equal slots below which a pair is not confirmed on its sets
 ELEMENTS = 1 << 15  # shingles that go through the levels together
-BLOCK = 1024  # members of a bucket that meet in one block, about
+BLOCK = 1024  # members of a bucket in one block, about
+SHINGLES = 1 << 22  # shingles of a block's sets, about
+FIRST_BANDS = 4
 
 _LOW = np.uint64(0xFFFFFFFF)
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -158,6 +161,16 @@ def _signed_rows(docs: DataFrame, words: int, seed: int, id_col: str, text_col:
     return stage(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
+def _top(above: dict[int, int], x: int) -> int:
+    """The root of x in a forest of parents; paths are shortened on the way."""
+    root = x
+    while (up := above.get(root, root)) != root:
+        root = up
+    while x != root:
+        above[x], x = root, above[x]
+    return root
+
+
 def forest(edges: DataFrame) -> DataFrame:
     """Edges (a, b) with the same components, at most one per node and batch of a task: union-find."""
     ship_package(edges.sparkSession)
@@ -165,20 +178,11 @@ def forest(edges: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             above: dict[int, int] = {}
-
-            def top(x: int) -> int:
-                root = x
-                while (up := above.get(root, root)) != root:
-                    root = up
-                while x != root:
-                    above[x], x = root, above[x]
-                return root
-
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                low, high = sorted((top(a), top(b)))
+                low, high = sorted((_top(above, a), _top(above, b)))
                 above[low] = low
                 above[high] = low
-            pairs = [(x, top(x)) for x in above]
+            pairs = [(x, _top(above, x)) for x in above]
             pairs = [(x, r) for x, r in pairs if x != r]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], ["a", "b"])
@@ -186,108 +190,156 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def _size_fits(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _blocks(rows: DataFrame, members: str, shingles: str | None = None) -> DataFrame:
+    """`rows` (key, uid, ...) dealt into the groups (key, lo, hi) in which they are compared.
+
+    A bucket is dealt into blocks of about `BLOCK` members, or of `SHINGLES` shingles where the sets go
+    along; a block meets itself and every other one in a group of rows of its own, so a task holds two
+    blocks at most, whatever the bucket's size.
+    """
+    number = F.ceil(F.col(members) / BLOCK)
+    if shingles:
+        number = F.greatest(number, F.ceil(F.col(shingles) / SHINGLES))
+    rows = rows.withColumn("blocks", number).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("long"))
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({
+        "lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
 
 
-def _likely_pairs(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and signatures allow a link."""
-    def side(name: str) -> DataFrame:
-        return distinct.select(F.col("uid").alias(name), F.col("n").alias(f"n_{name}"), F.col("print").alias(f"print_{name}"))
+def _per_group(rows: DataFrame, columns: list[str], schema: str, work: Callable[[list[tuple]], pa.RecordBatch]) -> DataFrame:
+    """`work` on the rows of each (key, lo, hi); a task holds one group at a time."""
+    order = ["key", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, SLOTS) for i in (2, 3))
-                batch = batch.filter(pa.array((x == y).sum(axis=1) >= LIKELY * SLOTS))
-            yield batch.select([0, 1])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    yield work(group)
+                    group = []
+                group.append(row)
+        if group:
+            yield work(group)
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where(_size_fits("n_a", "n_b", percent))
-    return met.select("a", "b", "print_a", "print_b").mapInArrow(run, "a long, b long")
+    return rows.repartition(*order).sortWithinPartitions(*order).select(*order, *columns).mapInArrow(run, schema)
 
 
-def _confirmed(
-    pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int, seed: int, id_col: str, text_col: str, percent: int,
-) -> DataFrame:
-    """The pairs whose full sets reach the similarity. Sets are built again from the texts, of the
-    documents in `pairs` only, so that no table ever holds the sets of all documents."""
-    pairs = stage(pairs, "likely")
-    wanted = pairs.select(F.col("a").alias("uid")).unionAll(pairs.select(F.col("b").alias("uid"))).distinct()
-    wanted = stage(wanted.join(distinct.select("uid", F.col("id").alias("w_id"), F.col("text_digest").alias("w_digest")), "uid"), "wanted")
+def _prints(group: list[tuple], at: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[at] for r in group), dtype="<u2").reshape(-1, SLOTS)
+
+
+def _suspects(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
+    """The uids that share a bucket with one whose size and signature allow a link. A member is told by
+    the first such partner, so a bucket of near copies needs a few comparisons each."""
+    rows = _blocks(met, "members").join(distinct.select("uid", "n", "print"), "uid")
+
+    def work(group: list[tuple]) -> pa.RecordBatch:
+        uid, n = (np.array([r[i] for r in group], dtype=np.int64) for i in (3, 4))
+        prints, known = _prints(group, 5), np.zeros(len(group), dtype=bool)
+        for i in range(len(group)):
+            other = np.flatnonzero(~known if known[i] else np.arange(len(group)) > i)
+            other = other[(other > i) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+            if len(other):
+                near = other[(prints[other] == prints[i]).sum(axis=1) >= LIKELY * SLOTS]
+                known[near] = True
+                known[i] |= len(near) > 0
+        return pa.RecordBatch.from_arrays([pa.array(uid[known])], ["uid"])
+
+    return _per_group(rows, ["uid", "n", "print"], "uid long", work).distinct()
+
+
+def _sets(suspects: DataFrame, distinct: DataFrame, docs: DataFrame, words: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(uid, n, print, members): the full sets of the suspects, built again from their texts, so that no
+    table ever holds the sets of all documents. Written."""
+    wanted = stage(suspects.join(distinct.select(
+        "uid", "n", "print", F.col("id").alias("w_id"), F.col("text_digest").alias("w_digest")), "uid"), "wanted")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     same = F.col("id").eqNullSafe(F.col("w_id")) & (F.sha2("text", 256) == F.col("w_digest"))
     one = Window.partitionBy("uid").orderBy(F.lit(1))
-    found = texts.join(wanted, same).select("uid", "text").withColumn("copy", F.row_number().over(one)).where("copy = 1")
+    found = texts.join(wanted.select("uid", "w_id", "w_digest"), same).select("uid", "text").withColumn(
+        "copy", F.row_number().over(one)).where("copy = 1")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), words, seed).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["uid", "members"])
 
-    sets = stage(found.select("uid", "text").mapInArrow(build, "uid long, members binary"), "sets")
+    sets = found.select("uid", "text").mapInArrow(build, "uid long, members binary")
+    return stage(wanted.select("uid", "n", "print").join(sets, "uid"), "sets")
+
+
+def _linked(x: bytes, y: bytes, percent: int) -> bool:
+    a, b = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _star_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between a bucket's first member and its others: a row per member and bucket at most."""
+    stars = met.where("uid > pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("uid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, SLOTS) for i in (2, 3))
+                batch = batch.filter(pa.array((x == y).sum(axis=1) >= LIKELY * SLOTS))
+            yield batch.select([0, 1])
+
+    near = stars.join(side("a", "n", "print"), "a").join(side("b", "n", "print"), "b").where(
+        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    pairs = stage(near.select("a", "b", "print_a", "print_b").mapInArrow(likely, "a long, b long"), "likely")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [_linked(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    met = pairs.join(sets.select(F.col("uid").alias("a"), F.col("members").alias("x")), "a").join(
-        sets.select(F.col("uid").alias("b"), F.col("members").alias("y")), "b")
-    return stage(met.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"), "links")
+    full = pairs.join(side("a", "members"), "a").join(side("b", "members"), "b")
+    return stage(full.select("a", "b", "members_a", "members_b").mapInArrow(confirm, "a long, b long"), "links")
 
 
-def _open_pairs(met: DataFrame, found: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of members other than the first that share a bucket but no component yet.
+def _block_links(met: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components which still share a bucket; its first member is compared already.
 
-    A bucket is dealt into blocks of about `BLOCK` members; a block meets itself and every other one in
-    a group of rows of its own, so a task holds two blocks at most, whatever the bucket's size.
+    In a group of rows the most similar pairs come first and a pair inside one component is passed
+    over, so a group of near copies is joined with about one confirmation a member, and what is
+    returned is at most one link for each.
     """
-    rest = met.where("uid <> pivot").join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
-        "root", F.coalesce("root", "uid"))
+    rest = met.where("uid <> pivot").select("key", "uid").join(sets.select("uid", "n"), "uid").join(
+        found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     mixed = rest.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    rows = rest.join(mixed, "key").select(
-        "key", "uid", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("uid"), blocks).cast("long").alias("block"))
-    groups = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
-        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "uid", "root")
-    signed = groups.join(distinct.select("uid", "n", "print"), "uid")
-
-    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"),
+        F.sum("n").alias("shingles")).where("low <> high").drop("low", "high")
+    dealt = _blocks(rest.join(mixed, "key"), "members", "shingles").select("key", "lo", "hi", "block", "uid", "root")
+    rows = dealt.join(sets, "uid")
+
+    def work(group: list[tuple]) -> pa.RecordBatch:
         block, uid, root, n = (np.array([r[i] for r in group], dtype=np.int64) for i in (3, 4, 5, 6))
-        prints = np.frombuffer(b"".join(r[7] for r in group), dtype="<u2").reshape(-1, SLOTS)
-        apart = group[0][1] != group[0][2]
+        prints, apart = _prints(group, 7), group[0][1] != group[0][2]
+        pairs = []
         for i in range(len(group)):
             other = np.flatnonzero((uid > uid[i]) & (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             if apart:
                 other = other[block[other] != block[i]]
             if len(other):
-                for j in other[(prints[other] == prints[i]).sum(axis=1) >= LIKELY * SLOTS]:
-                    yield int(uid[i]), int(uid[j])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-
-        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    yield out(list(compare(group)))
-                    group = []
-                group.append(row)
-        if group:
-            yield out(list(compare(group)))
-
-    order = ["key", "lo", "hi"]
-    return signed.repartition(*order).sortWithinPartitions(*order).select(
-        *order, "block", "uid", "root", "n", "print").mapInArrow(run, "a long, b long").distinct()
+                same = (prints[other] == prints[i]).sum(axis=1)
+                near = same >= LIKELY * SLOTS
+                pairs.append(np.stack([same[near], np.full(near.sum(), i), other[near]]))
+        above: dict[int, int] = {}
+        links = ([], [])
+        if pairs:
+            order = np.concatenate(pairs, axis=1)
+            for _, i, j in order[:, np.argsort(-order[0], kind="stable")].T.tolist():
+                a, b = _top(above, int(root[i])), _top(above, int(root[j]))
+                if a != b and _linked(group[i][8], group[j][8], percent):
+                    above[max(a, b)] = min(a, b)
+                    links[0].append(int(uid[i]))
+                    links[1].append(int(uid[j]))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
+
+    return stage(_per_group(rows, ["block", "uid", "root", "n", "print", "members"], "a long, b long", work), "links")
 
 
 def clusters(
@@ -300,18 +352,17 @@ def clusters(
     distinct = stage(rows.join(classes.select("uid", "first_id"), F.col("row") == F.col("uid")).select(
         "uid", "id", "text_digest", "first_id", "n", "bands", "print"), "distinct")
 
-    members = distinct.select("uid", F.explode("bands").alias("key"))
+    members = distinct.select("uid", F.posexplode("bands").alias("band", "key"))
     crowded = members.groupBy("key").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = stage(members.join(crowded.select("key", "pivot"), "key"), "buckets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return _confirmed(pairs, distinct, docs, words, seed, id_col, text_col, percent)
+    met = stage(members.join(crowded, "key"), "buckets")
+    sets = _sets(_suspects(met, distinct, percent), distinct, docs, words, seed, id_col, text_col)
 
-    stars = met.where("uid > pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
-    links = confirmed(_likely_pairs(stars, distinct, percent))
+    links = _star_links(met, sets, percent)
     found = roots(forest(links))
-    more = confirmed(_open_pairs(met, found, distinct, percent))
-    found = roots(forest(links.unionAll(more)))
+    # a few bands join most of what belongs together; the others then have little left to compare
+    for some in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
+        links = links.unionAll(_block_links(met.where(some), found, sets, percent))
+        found = roots(forest(links))
 
     named = distinct.select("uid", "first_id").join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
         "root", F.coalesce("root", "uid"))
