@@ -34,6 +34,10 @@ BLOCK = 1024  # turns of a conversation in one window
 IDS = 4096  # conversation ids in one string
 
 
+def _zero() -> Column:
+    return F.lit(0).cast("long")
+
+
 def turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, depth, digest, chars): the turns of each conversation, numbered from 1. Narrow and written."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
@@ -117,75 +121,80 @@ def trie(ids: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _rake(active: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Leaves go. Returns (the leaves, whose totals are final; the rest with theirs added)."""
-    kids = active.groupBy("parent").agg(F.count(F.lit(1)).alias("kids")).withColumnRenamed("parent", "_p")
-    counted = stage(active.join(kids, F.col("node") == F.col("_p"), "left").drop("_p"), "counted")
-    gone = F.col("kids").isNull() & F.col("parent").isNotNull()
-    leaves = counted.where(gone).drop("kids")
-    given = leaves.groupBy("parent").agg(
-        F.count(F.lit(1)).alias("less"), F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved")
-    ).withColumnRenamed("parent", "_p")
-    zero = F.lit(0).cast("long")
-    rest = counted.where(~gone).join(given, F.col("node") == F.col("_p"), "left").select(
-        "node", "parent", "depth", (F.col("leaves") + F.coalesce("more_leaves", zero)).alias("leaves"),
-        (F.col("saved") + F.coalesce("more_saved", zero)).alias("saved"),
-        (F.coalesce("kids", zero) - F.coalesce("less", zero)).alias("kids"))
+    gone = (F.col("kids") == 0) & F.col("parent").isNotNull()
+    leaves = active.where(gone)
+    given = leaves.groupBy(F.col("parent").alias("_p")).agg(
+        F.count(F.lit(1)).alias("_less"), F.bit_xor("node").alias("_ids"), F.sum("leaves").alias("_leaves"), F.sum("saved").alias("_saved"))
+    rest = active.where(~gone).join(given, F.col("node") == F.col("_p"), "left").select(
+        "node", "parent", "depth", (F.col("kids") - F.coalesce("_less", _zero())).alias("kids"),
+        F.col("child").bitwiseXOR(F.coalesce("_ids", _zero())).alias("child"), (F.col("leaves") + F.coalesce("_leaves", _zero())).alias("leaves"),
+        (F.col("saved") + F.coalesce("_saved", _zero())).alias("saved"))
     return leaves, rest
 
 
-def _compress(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Splices nodes out of chains. Returns (spliced with their `child`, the rest)."""
-    unary = (F.col("kids") == 1) & F.col("parent").isNotNull()
-    # by depth, odd before even and so on, so that a whole chain loses every second node
-    rank = F.struct(F.col("depth").bitwiseAND(-F.col("depth")).alias("bit"), "node")
-    only = rest.groupBy("parent").agg(
-        F.count(F.lit(1)).alias("n"), F.min("node").alias("child"), F.min(F.when(unary, F.col("depth"))).alias("child_depth"),
-        F.bool_and(unary).alias("child_unary")).where("n = 1").withColumnRenamed("parent", "_p")
-    chain = stage(rest.where(unary).join(only, F.col("node") == F.col("_p")).select(
-        "node", "parent", "depth", "leaves", "saved", "child", "child_depth", "child_unary"), "chain")
-    below = F.struct(F.col("child_depth").bitwiseAND(-F.col("child_depth")).alias("bit"), F.col("child").alias("node"))
-    # of every two neighbours in a chain one loses
-    losers = chain.where("child_unary").select(F.when(rank < below, F.col("child")).otherwise(F.col("node")).alias("node")).distinct()
-    spliced = stage(chain.join(losers, "node", "left_anti").select("node", "parent", "leaves", "saved", "child"), "spliced")
-    moved = spliced.groupBy("parent").agg(
-        F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved")).withColumnRenamed("parent", "_p")
-    hung = spliced.select(F.col("child").alias("_c"), F.col("parent").alias("_to"))
-    zero = F.lit(0).cast("long")
-    left = rest.join(spliced.select("node"), "node", "left_anti").join(
-        moved, F.col("node") == F.col("_p"), "left").join(hung, F.col("node") == F.col("_c"), "left")
-    return spliced, left.select(
-        "node", F.coalesce("_to", "parent").alias("parent"), "depth",
-        (F.col("leaves") + F.coalesce("more_leaves", zero)).alias("leaves"),
-        (F.col("saved") + F.coalesce("more_saved", zero)).alias("saved"))
+def _splices(rest: DataFrame) -> DataFrame:
+    """The nodes to splice out of chains: (node, parent, child, leaves, saved). Of two neighbours in a
+    chain at most one."""
+    unary = rest.where((F.col("kids") == 1) & F.col("parent").isNotNull())
+
+    def rank(depth: str, node: str) -> Column:
+        # by depth, odd before even and so on, so that a whole chain loses every second node
+        return F.struct(F.col(depth).bitwiseAND(-F.col(depth)).alias("bit"), F.col(node).alias("node"))
+
+    pairs = unary.select("node", "depth", "child").join(
+        unary.select(F.col("node").alias("child"), F.col("depth").alias("child_depth")), "child")
+    losers = pairs.select(F.when(rank("depth", "node") < rank("child_depth", "child"), F.col("child")).otherwise(
+        F.col("node")).alias("node")).distinct()
+    return unary.join(losers, "node", "left_anti").select("node", "parent", "child", "leaves", "saved")
+
+
+def _spliced(rest: DataFrame, out: DataFrame) -> DataFrame:
+    """`rest` without the nodes of `out`: their totals are the parent's, their child hangs below it."""
+    nothing = F.lit(None).cast("long")
+    changes = (
+        out.select("node", F.lit(1).cast("long").alias("_out"), nothing.alias("_to"), _zero().alias("_ids"), _zero().alias("_leaves"), _zero().alias("_saved"))
+        .unionAll(out.select(F.col("child"), _zero(), F.col("parent"), _zero(), _zero(), _zero()))
+        .unionAll(out.select(F.col("parent"), _zero(), nothing, F.col("child").bitwiseXOR(F.col("node")), F.col("leaves"), F.col("saved")))
+        .groupBy(F.col("node").alias("_n")).agg(
+            F.bit_xor("_ids").alias("_ids"), F.max("_to").alias("_to"), *[F.sum(c).alias(c) for c in ("_out", "_leaves", "_saved")]))
+    return rest.join(changes, F.col("node") == F.col("_n"), "left").where("coalesce(_out, 0) = 0").select(
+        "node", F.coalesce("_to", "parent").alias("parent"), "depth", "kids", F.col("child").bitwiseXOR(F.coalesce("_ids", _zero())).alias("child"),
+        (F.col("leaves") + F.coalesce("_leaves", _zero())).alias("leaves"), (F.col("saved") + F.coalesce("_saved", _zero())).alias("saved"))
 
 
 def subtree_totals(nodes: DataFrame) -> DataFrame:
     """(node, leaves, saved) summed over each subtree. `nodes` has node, parent (null: root), depth
-    (a child's is its parent's and one), leaves and saved, own values; it may hold several trees."""
-    active = stage(nodes.select("node", "parent", "depth", "leaves", "saved"), "active")
+    (a child's is its parent's and one), leaves and saved, own values; it may hold several trees.
+
+    A node carries the number of its children and the exclusive or of their ids, kept up as they go: of
+    an only child that is its id.
+    """
+    kids = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("_p")).agg(
+        F.count(F.lit(1)).alias("kids"), F.bit_xor("node").alias("child"))
+    active = stage(nodes.join(kids, F.col("node") == F.col("_p"), "left").select(
+        "node", "parent", "depth", F.coalesce("kids", _zero()).alias("kids"), F.coalesce("child", _zero()).alias("child"), "leaves", "saved"), "active")
     left = active.count()
+    if not left:
+        return nodes.select("node", "leaves", "saved")
     done, splices = [], []  # per round; the tables shrink from round to round
-    while left:
+    while True:
         raked, rest = _rake(active)
-        spliced, small = _compress(stage(rest, "raked"))
-        now = stage(small, "active")
-        before, left = left, now.count()
+        rest = stage(rest, "raked")
+        out = stage(_splices(rest), "spliced")
+        now = stage(_spliced(rest, out), "active")
         done.append(raked.select("node", "leaves", "saved"))
-        splices.append(spliced)
-        if left == before:
-            done.append(now.select("node", "leaves", "saved"))  # only roots are left
+        splices.append(out)
+        before, left = left, now.count()
+        if left == before:  # only roots are left
+            known = now.select("node", "leaves", "saved")
             break
         active = now
-    if not done:
-        return nodes.select("node", "leaves", "saved")
-    known = done.pop()
     while splices:
         # what was active after a round is known now, so the nodes it spliced out are found
         found = stage(splices.pop().join(known.select(
             F.col("node").alias("child"), F.col("leaves").alias("_l"), F.col("saved").alias("_s")), "child").select(
             "node", (F.col("leaves") + F.col("_l")).alias("leaves"), (F.col("saved") + F.col("_s")).alias("saved")), "found")
-        known = known.unionByName(found)
-        if done:
-            known = known.unionByName(done.pop())
+        known = known.unionByName(found).unionByName(done.pop())
     return known
 
 
