@@ -1,22 +1,21 @@
 """Document fingerprints by Order MinHash.
 
-Words are the symbols, k-mers are runs of `K` words. A text of few or of long words, such as a short
-note, Chinese, or one long token, has characters as symbols and k-mers of `CHAR_K` of them (`by_chars`).
+Symbols are pieces of words (`PIECE`), k-mers are runs of `K` symbols. Most words are one piece. Characters of
+scripts without word gaps are pieces of their own, and a long token is cut where its characters say
+so, so an edit moves no other cut. This is one rule for every text, so any two are comparable.
 Each k-mer carries the number of its earlier occurrences in the text, so all are distinct. A hash of
 both deals them into 2^BIN_BITS bins; of every bin the `KEPT` least are selected, put back into text
 order and hashed as a tuple. A bin with fewer takes the missing ones from the bins that follow, after
-the last from the first. Equal tuples need the same k-mers in the same order, so the share of agreeing
-bins falls with the edit distance and not only with the overlap of the sets. Only DataFrame expressions
-run, all of them linear in the text but for one sort of its k-mers.
-
-Fingerprints by words and by characters have nothing in common. A text is therefore compared with
-fingerprints of the others by its own kind of symbols.
+the last from the first, so every tuple carries order. Equal tuples need the same k-mers in the same
+order, so the share of agreeing bins falls with the edit distance and not only with the overlap of the
+sets. Only DataFrame expressions run, all of them linear in the text but for one sort of its k-mers.
 
 Defined results: a null text counts as empty and has an empty fingerprint; two empty fingerprints
 are alike (1), an empty and another one are not (0); a text of fewer symbols than a k-mer is one
 k-mer; a text with fewer than `KEPT` k-mers hashes those it has; bins empty in both texts do not
-count. Equal texts have equal fingerprints. `with_fingerprint` alone has words as symbols and takes
-nothing from other bins unless it is told to.
+count. Equal texts have equal fingerprints, whichever column they stand in. A text is one value of
+its row with a few arrays of its length beside it while it is fingerprinted: some tens of bytes a
+character, which a task must have room for; texts of 8 million characters are tested.
 """
 
 from __future__ import annotations
@@ -28,11 +27,12 @@ from opsmetrics.session import stage
 
 K = 2
 KEPT = 2
-CHAR_K = 5
-FEW_WORDS = 64  # up to so many words, or
-LONG_WORDS = 16  # from so many characters a word on, the symbols are characters
 BIN_BITS = 5
-WORD_GAP = r"[\x20\x09-\x0D]+"
+# --- fixed values: scripts written without gaps, and the characters after which a token is cut
+_SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_CUT = "jkqxzJKQXZ0-2/=&_-"
+_LONGEST = 16
+PIECE = rf"[{_SINGLE}]|[^\x20\x09-\x0D{_SINGLE}{_CUT}]{{0,{_LONGEST - 1}}}[{_CUT}]|[^\x20\x09-\x0D{_SINGLE}{_CUT}]{{1,{_LONGEST}}}"
 # A k-mer travels as one long: its hash above, its position below. 28 bits hold any position,
 # because a Spark array has fewer than 2^28 longs.
 _AT_BITS = 28
@@ -58,33 +58,22 @@ def _hash(packed: Column) -> Column:
     return F.shiftright(packed, _AT_BITS)
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, WORD_GAP), "")
-
+def symbols(text: Column) -> Column:
+    """The pieces of the words of a text, in order."""
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
-def by_chars(text: Column) -> Column:
-    """Whether the text has too few or too long words for k-mers of words; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.size(_words(text))
-    return (n <= FEW_WORDS) | (F.length(text) >= LONG_WORDS * n)
 
-
-def with_fingerprint(
-    df: DataFrame, text_col: str, out: str, k: int = K, kept: int = KEPT, chars_col: str | None = None, fill: bool = False
-) -> DataFrame:
+def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K, kept: int = KEPT) -> DataFrame:
     """`df` with `out`, an array of one integer per non-empty bin (bin above, tuple below).
 
-    Where `chars_col` is true, characters are the symbols (a run of white space is one space). With
-    `fill`, bins of fewer than `kept` k-mers take more from the bins that follow.
-    Each step is a column of its own, because later steps use it several times.
+    Each step is a column of its own, because later steps use it several times; their names are made
+    so that they clash with no column of `df`.
     """
-    words, kmers, starts, numbered, chosen = (f"_{out}_{x}" for x in ("words", "kmers", "starts", "numbered", "chosen"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    symbols = _words(text)
-    if chars_col:
-        spaced = F.trim(F.regexp_replace(text, WORD_GAP, " "))
-        symbols = F.when(F.col(chars_col), F.array_remove(F.split(spaced, ""), "")).otherwise(symbols)
-    df = df.withColumn(words, symbols)
+    mark = "_"
+    while any(c.startswith(f"{mark}{out}_") for c in df.columns):
+        mark += "_"
+    words, kmers, starts, numbered, chosen = (f"{mark}{out}_{x}" for x in ("words", "kmers", "starts", "numbered", "chosen"))
+    df = df.withColumn(words, symbols(F.coalesce(F.col(text_col), F.lit(""))))
 
     def upto(n: Column) -> Column:
         return F.sequence(F.lit(0), n)
@@ -96,9 +85,8 @@ def with_fingerprint(
         last = F.size(words) - F.least(F.lit(k), F.size(words))  # -1 steps are avoided by the empty case
         return F.transform(upto(last), kmer)
 
-    each = F.when(F.col(chars_col), hashed(CHAR_K)).otherwise(hashed(k)) if chars_col else hashed(k)
     none = F.array().cast("array<bigint>")
-    df = df.withColumn(kmers, F.when(F.size(words) > 0, F.sort_array(each)).otherwise(none))
+    df = df.withColumn(kmers, F.when(F.size(words) > 0, F.sort_array(hashed(k))).otherwise(none))
 
     # equal hashes are neighbours now: where each run of them starts gives the occurrence numbers
     same = F.size(kmers)
@@ -117,11 +105,9 @@ def with_fingerprint(
 
     def tuple_of(x: Column, i: Column) -> Column:
         """The selected k-mers of the bin that begins at i, in text order, as one hash."""
-        if fill:  # the chosen are in the order of their bins
-            around = F.slice(F.concat(F.col(chosen), F.slice(F.col(chosen), 1, kept - 1)), i + 1, F.lit(kept))
-            mates = F.slice(around, F.lit(1), F.least(F.lit(kept), F.size(chosen)))
-        else:
-            mates = F.filter(F.slice(F.col(chosen), i + 1, F.lit(kept)), lambda y: bin_of(y) == bin_of(x))
+        # the chosen are in the order of their bins
+        around = F.slice(F.concat(F.col(chosen), F.slice(F.col(chosen), 1, kept - 1)), i + 1, F.lit(kept))
+        mates = F.slice(around, F.lit(1), F.least(F.lit(kept), F.size(chosen)))
         in_order = F.sort_array(F.transform(mates, lambda y: F.shiftleft(_at(y), 64 - _AT_BITS - 1).bitwiseOR(
             _hash(y).bitwiseAND(_long((1 << (63 - _AT_BITS)) - 1)))))
         ids = F.transform(in_order, lambda y: y.bitwiseAND(_long((1 << (63 - _AT_BITS)) - 1)))
@@ -178,45 +164,36 @@ def fingerprint_edits(
     rows that repeat an id, the one with the least hash of its text is the next document of others.
 
     Texts are dealt by id once. Only the wanted beginnings go to the document before, and only
-    fingerprints are compared with the next one's. The edited and the next text are compared by the
-    symbols of the text itself; a next text that has the other kind gets a second fingerprint for it.
+    fingerprints are compared with the next one's.
     """
     following = stage(next_ids(docs, id_col), "next-ids")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the joins below drop null ids anyway: said before the shuffle, both sides are the same one
     rows = texts.where("id is not null").repartition(parts, "id")
-    chars = by_chars(F.col(text_col))
     asked = stage(docs.select(
-        F.col(id_col).alias("id"), F.floor(F.length(text_col) / share).cast("int").alias("n"), chars.alias("chars"),
-    ).groupBy("id").agg(
-        F.max("n").alias("n"), F.bool_or("chars").alias("for_chars"), F.bool_or(~F.col("chars")).alias("for_words"),
-    ).join(following, "id").select(F.col("next_id").alias("id"), F.col("id").alias("to"), "n", "for_chars", "for_words"), "asked")
+        F.col(id_col).alias("id"), F.floor(F.length(text_col) / share).cast("int").alias("n"),
+    ).groupBy("id").agg(F.max("n").alias("n")).join(following, "id").select(
+        F.col("next_id").alias("id"), F.col("id").alias("to"), "n"), "asked")
     one = Window.partitionBy("id").orderBy(F.xxhash64("text"))
     named = rows.withColumn("_no", F.row_number().over(one)).where("_no = 1").drop("_no")
-    beginnings = named.join(asked.select("id", "to", "n"), "id").select(
+    beginnings = named.join(asked, "id").select(
         F.col("to").alias("id"), F.substring("text", F.lit(1), F.col("n")).alias("begin"))
-    nothing = {"begin": F.lit(None).cast("string"), "for_chars": F.lit(False), "for_words": F.lit(False)}
-    followed = rows.join(beginnings, "id", "left").join(asked.select("id", "for_chars", "for_words"), "id", "left").unionByName(
-        texts.where("id is null").withColumns(nothing))
+    followed = rows.join(beginnings, "id", "left").unionByName(
+        texts.where("id is null").withColumn("begin", F.lit(None).cast("string")))
     quarter = F.floor(F.length("text") / share).cast("int")
     both = followed.withColumn("edited", F.concat(
         F.substring("text", F.lit(1), F.length("text") - quarter),
-        F.substring(F.coalesce("begin", F.lit("")), F.lit(1), quarter))).withColumn("chars", by_chars(F.col("text")))
-    other = F.when(F.col("chars"), F.col("for_words")).otherwise(F.col("for_chars"))
-    both = both.withColumn("other_text", F.when(other, F.col("text"))).withColumn("other", ~F.col("chars"))
-    for text, out, kind in (("text", "fp", "chars"), ("edited", "edited_fp", "chars"), ("other_text", "other_fp", "other")):
-        both = with_fingerprint(both, text, out, chars_col=kind, fill=True)
+        F.substring(F.coalesce("begin", F.lit("")), F.lit(1), quarter)))
+    for text, out in (("text", "fp"), ("edited", "edited_fp")):
+        both = with_fingerprint(both, text, out)
     done = stage(both.select(
         "id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("text_key"),
-        F.sha2("edited", 256).alias("edited_sha256"), "chars", "fp", "edited_fp", "other_fp"), "fingerprints")
+        F.sha2("edited", 256).alias("edited_sha256"), "fp", "edited_fp"), "fingerprints")
     firsts = done.withColumn("_no", F.row_number().over(Window.partitionBy("id").orderBy("text_key"))).where("_no = 1")
-    nexts = following.join(firsts.select(
-        F.col("id").alias("next_id"), F.col("chars").alias("next_chars"), F.col("fp").alias("own_fp"),
-        F.col("other_fp").alias("second_fp")), "next_id").select("id", "next_chars", "own_fp", "second_fp")
+    nexts = following.join(firsts.select(F.col("id").alias("next_id"), F.col("fp").alias("next_fp")), "next_id").select("id", "next_fp")
     empty = F.array().cast("array<bigint>")
-    next_fp = F.when(F.col("next_chars") == F.col("chars"), F.col("own_fp")).otherwise(F.col("second_fp"))
-    return done.join(nexts, "id", "left").withColumn("next_fp", F.coalesce(next_fp, empty)).select(
+    return done.join(nexts, "id", "left").withColumn("next_fp", F.coalesce("next_fp", empty)).select(
         "id", "n_chars", "edited_sha256", "fp", "edited_fp",
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
