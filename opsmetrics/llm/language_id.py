@@ -149,6 +149,9 @@ def _labelled_counts(docs: DataFrame, may_learn: Column, settings: Settings, id_
     first = Window.partitionBy("lang").orderBy("place", "id")
     ids = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("id")
     sample = rows.join(F.broadcast(ids.distinct().limit(each * max(langs, 1))), "id")  # at most `sample` ids
+    # an id may stand on many rows: one of each goes on, cut in every task before the shuffle
+    one = Window.partitionBy("id").orderBy(F.xxhash64("lang", "text"))
+    sample = sample.withColumn("copy", F.row_number().over(one)).where("copy = 1")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,8 +138,11 @@ def fit(
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("label"), pa.array(found, pa.binary())], names=["id", "label", "terms"])
 
-    got = texts.join(F.broadcast(picked), "id").select(F.col("id").cast("long"), "label", "text").mapInArrow(
-        count, "id long, label int, terms binary").toPandas().drop_duplicates("id").sort_values("id", ignore_index=True)
+    # an id may stand on many rows: one of each goes on, cut in every task before the shuffle
+    one = Window.partitionBy("id").orderBy(F.xxhash64("text"))
+    sample = texts.join(F.broadcast(picked), "id").withColumn("copy", F.row_number().over(one)).where("copy = 1")
+    got = sample.select(F.col("id").cast("long"), "label", "text").mapInArrow(
+        count, "id long, label int, terms binary").toPandas().sort_values("id", ignore_index=True)
     counts = np.empty((len(got), (1 << BITS) + 1), dtype=np.float32)
     for row, terms in zip(counts, got.pop("terms"), strict=True):
         row[:] = np.frombuffer(terms, "<f4")

@@ -82,3 +82,41 @@ def test_held_out_rows_do_not_change_the_model(spark, table):
     spoiled = df.withColumn("lang", F.when(learn, F.col("lang")).otherwise("zz")).withColumn("text", F.when(learn, F.col("text")).otherwise("q"))
     a, b = fit(df, learn), fit(spoiled, learn)
     assert a.langs == b.langs and np.allclose(a.logits, b.logits)
+
+
+def plain_prediction(model, text):
+    """Mean of the subwords' logits, softmax, best, one n-gram at a time."""
+    data = [0] + [b if b > 127 or chr(b).isalpha() else 0 for b in text.lower().encode()] + [0]
+    sums, n = [0.0] * len(model.langs), 0
+    for order in (2, 3):
+        for i in range(len(data) - order + 1):
+            gram = data[i:i + order]
+            if all(gram[1:-1]):
+                packed = order
+                for b in gram:
+                    packed = (packed << 8 | b) & 0xFFFFFFFF
+                bucket = (packed * 2654435761 & 0xFFFFFFFF) >> 19
+                sums = [s + float(x) for s, x in zip(sums, model.logits[bucket], strict=True)]
+                n += 1
+    logits = [s / max(n, 1) + float(b) for s, b in zip(sums, model.bias, strict=True)]
+    top = max(logits)
+    parts = [np.exp(x - top) for x in logits]
+    best = int(np.argmax(parts))
+    score = parts[best] / sum(parts)
+    return model.langs[best], score, bool(score >= model.reject_below)
+
+
+def test_at_most_the_sample_reaches_the_driver(spark, docs):
+    """One id on many rows counts once; and the prediction is the forward pass of the definition."""
+    from opsmetrics.llm import language_id as lid
+
+    rows = [(i, f"{'der die das und' if i % 2 else 'the and of to'} {i} word{i}", "de" if i % 2 else "en") for i in range(300)]
+    rows += [(7, f"der die das {k}", "de") for k in range(500)]
+    settings = lid.Settings(sample=200)
+    counts, langs = lid._labelled_counts(docs(rows), F.lit(True), settings, "doc_id", "text", "lang")
+    assert 100 < len(counts) <= 200 and len(langs) == len(counts)
+    model = lid.train(counts, langs, settings)
+    got = lid.predict(docs(rows[:40]), model).collect()
+    for r, (_, text, _) in zip(sorted(got, key=lambda r: r.id), rows[:40], strict=True):
+        lang, score, ok = plain_prediction(model, text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-5 and r.accepted == ok

@@ -60,3 +60,16 @@ def test_held_out_accuracy(spark):
     good = [r.predicted for r in held if quality[r.doc_id]]
     bad = [r.predicted for r in held if not quality[r.doc_id]]
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.25
+
+
+def test_at_most_the_sample_reaches_the_driver(spark, docs, monkeypatch):
+    """A labelled id that stands on very many rows is one text to learn from."""
+    from opsmetrics.llm import quality
+
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda counts, labels, settings: seen.append(len(counts)))
+    df = docs([(i, f"text number {i}") for i in range(300)] + [(5, f"again {k}") for k in range(600)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    quality.fit(df, labels, settings=Settings(sample=100))
+    quality.fit(df, labels, settings=Settings(sample=1000))
+    assert seen == [200, 300]
