@@ -190,7 +190,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(
         spark, work_path(spark, "digest-index"), int(spark.conf.get("spark.sql.shuffle.partitions"))).open()
-    decided = exact_dedup.add_batch(read(spark, sf_dir, "documents"), index)
+    decided = exact_dedup.add_batch(read(spark, sf_dir, "documents"), index, batches=2)
+    index.close()
     return decided.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 

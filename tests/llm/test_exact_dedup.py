@@ -47,3 +47,26 @@ def test_keep_first_keeps_whole_rows(spark, docs, tmp_path):
 def test_empty(spark, docs, tmp_path):
     index = DigestIndex(spark, str(tmp_path / "index"), 4).open()
     assert add_batch(docs([]), index).count() == 0 and keep_first(docs([]), index).count() == 0
+
+
+def test_batches_against_a_filled_index(spark, docs, tmp_path):
+    """Several batches by ascending ids decide as one does; the later ones meet the earlier in the index."""
+    rows = [(i, f"text {i % 7}") for i in range(60)] + [(None, "text 3"), (None, "alone"), (3, "text 3")]
+    one = DigestIndex(spark, str(tmp_path / "one"), 4).open()
+    many = DigestIndex(spark, str(tmp_path / "it's many"), 4).open()
+    want, got = (sorted(((r.id, r.keep_id, r.group_size, r.kept) for r in add_batch(docs(rows, **CLASHES), index, batches=n).collect()), key=str)
+                 for index, n in ((one, 1), (many, 4)))
+    assert got == want and len(got) == len(rows)
+    assert many.rows().count() == 8
+    files = [f for f in (tmp_path / "it's many").iterdir() if f.suffix == ".parquet"]
+    small = many.compacted(str(tmp_path / "small"))
+    assert sorted(map(tuple, small.rows().collect())) == sorted(map(tuple, many.rows().collect()))
+    assert len([f for f in (tmp_path / "small").iterdir() if f.suffix == ".parquet"]) <= min(4, len(files))
+    many.close()
+    assert not spark.catalog.tableExists(many.table) and many.open().rows().count() == 8
+
+
+def test_a_very_long_text(spark, docs, tmp_path):
+    index = DigestIndex(spark, str(tmp_path / "index"), 4).open()
+    long = "word  " * 1_000_000
+    assert decide(docs, index, [(1, long), (2, "word " * 1_000_000), (3, long + "x")]) == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True)]
