@@ -113,6 +113,10 @@ def _quoted(terms) -> str:
     return ", ".join(f"'{t}'" for t in terms)
 
 
+def _pairs(forms) -> str:
+    return ", ".join(f"'{form}': '{term}'" for form, term in forms.items())
+
+
 @query("op4_url_filter", sql=rf"""
     WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -124,7 +128,7 @@ def _quoted(terms) -> str:
           WHEN ends_with('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
           WHEN ends_with('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/' END AS rule FROM u),
     n AS (SELECT *, list_filter(words, lambda x: x IN ({_quoted(url_filter.STRICT_TERMS)})) AS strict,
-        list_filter(words, lambda x: x IN ({_quoted(url_filter.SOFT_TERMS)})) AS soft FROM w)
+        list_filter(list_transform(words, lambda x: MAP {{{_pairs(url_filter.SOFT_TERMS)}}}[x]), lambda x: x IS NOT NULL) AS soft FROM w)
     SELECT page_id, host, path, rule,
       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
         WHEN len(strict) > 0 OR len(list_distinct(soft)) >= 2 THEN 'block' ELSE 'allow' END AS verdict,

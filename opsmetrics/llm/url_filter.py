@@ -12,7 +12,7 @@ any names. The whole URL is scanned, however long.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import ahocorasick
@@ -22,17 +22,54 @@ from pyspark.sql import types as T
 
 from opsmetrics.session import ship_package
 
-# The default vocabulary. Strict terms reject alone, soft terms only together.
-STRICT_TERMS = (
-    "casino", "casinos", "porn", "porno", "spam", "xxx",
-)
-SOFT_TERMS = (
-    "ads", "adult", "adults", "bet", "bets", "betting", "bonus", "cheap", "crack", "dating", "deals", "farm",
-    "free", "jackpot", "keygen", "loan", "loans", "lottery", "pharma", "pills", "poker", "sex", "slots",
-    "torrent", "torrents", "track", "tracker", "warez", "win", "winner", "x",
-)
+# --- fixed values: the default vocabulary, singular forms by language. Strict terms reject alone, soft
+# ones, which honest pages use as well, only together.
+STRICT = {
+    "en": ("casino", "porn", "porno", "pornography", "xxx", "hentai", "camgirl", "escort", "hooker", "nude", "sexcam", "viagra",
+           "cialis", "warez", "keygen", "cryptolocker", "phishing", "malware", "spam", "spammer", "sportsbook", "roulette", "blackjack"),
+    "fr": ("pornographie", "voyance", "arnaque", "salope", "chatte"),
+    "es": ("pornografia", "prostituta", "putas", "tragaperras", "estafa"),
+    "de": ("pornografie", "spielbank", "spielothek", "hure", "nutte", "abzocke"),
+}
+SOFT = {
+    "en": ("ad", "adserver", "adult", "affiliate", "banner", "bet", "betting", "bonus", "bingo", "cash", "cheap", "clickbait", "coupon",
+           "crack", "cracked", "dating", "deal", "discount", "download", "erotic", "fetish", "free", "gambling", "giveaway", "hacked",
+           "hot", "jackpot", "lottery", "loan", "mature", "milf", "payday", "pharmacy", "pill", "pirate", "poker", "popunder", "popup",
+           "prize", "replica", "serial", "sex", "sexy", "singles", "slot", "sweepstake", "torrent", "tracker", "tracking",
+           "weightloss", "win", "winner"),
+    "fr": ("pari", "gratuit", "gratuite", "jeu", "loterie", "gagnant", "sexe", "coquin", "rencontre", "credit", "telechargement",
+           "pilule", "promo", "pub", "sexy"),
+    "es": ("apuesta", "gratis", "loteria", "premio", "ganador", "sexo", "caliente", "cita", "prestamo", "descarga", "pastilla",
+           "oferta", "barato", "farmacia"),
+    "de": ("wette", "gratis", "kostenlos", "lotterie", "gewinn", "gewinner", "erotik", "kontakt", "kredit", "pille", "billig",
+           "werbung", "rabatt", "gutschein"),
+}
+
+
+def forms(term: str, language: str) -> tuple[str, ...]:
+    """A term and its regular plural."""
+    if language == "en":
+        ending = "es" if term.endswith(("s", "x", "z", "ch", "sh")) else "s"
+        plural = term[:-1] + "ies" if term.endswith("y") and term[-2] not in "aeiou" else term + ending
+    elif language == "es":
+        plural = term + ("s" if term[-1] in "aeiou" else "es")
+    elif language == "fr":
+        plural = term if term[-1] in "sxz" else term + ("x" if term.endswith(("eu", "eau")) else "s")
+    else:
+        plural = term + ("n" if term.endswith("e") else "en")
+    return (term, plural)
+
+
+def all_forms(terms: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """Every form of the terms with the term it counts as."""
+    return {f: t for language, some in terms.items() for t in some for f in forms(t, language)}
+
+
+STRICT_TERMS, SOFT_TERMS = all_forms(STRICT), all_forms(SOFT)
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
+Terms = Mapping[str, str] | Sequence[str]
+
 VERDICT = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("host", T.StringType()),
     T.StructField("path", T.StringType()), T.StructField("rule", T.StringType()),
@@ -88,13 +125,14 @@ class RuleSet:
 
 
 class Vocabulary:
-    """Strict and soft terms in one automaton."""
+    """Strict and soft terms in one automaton. Either is a sequence of terms or a mapping of forms to
+    terms; forms of one term count as one where distinct terms are counted."""
 
-    def __init__(self, strict: Sequence[str], soft: Sequence[str]):
+    def __init__(self, strict: Terms, soft: Terms):
         self._found = ahocorasick.Automaton()
         for weight, terms in ((0, soft), (1, strict)):
-            for t in terms:
-                self._found.add_word(t.lower(), (t.lower(), weight))
+            for form, term in (terms.items() if isinstance(terms, Mapping) else ((t, t) for t in terms)):
+                self._found.add_word(form.lower(), (form.lower(), term.lower(), weight))
         self._any = len(self._found) > 0
         if self._any:
             self._found.make_automaton()
@@ -104,8 +142,8 @@ class Vocabulary:
         if not self._any:
             return 0, 0, 0
         text, strict, soft, distinct = text.lower(), 0, 0, set()
-        for end, (term, weight) in self._found.iter(text):
-            start = end + 1 - len(term)
+        for end, (form, term, weight) in self._found.iter(text):
+            start = end + 1 - len(form)
             if (start and text[start - 1].isalnum()) or text[end + 1:end + 2].isalnum():
                 continue
             if weight:
@@ -117,15 +155,15 @@ class Vocabulary:
 
 
 def judge_urls(
-    urls: DataFrame, rules: Sequence[Rule] = (), strict: Sequence[str] = STRICT_TERMS,
-    soft: Sequence[str] = SOFT_TERMS, soft_limit: int = 2, id_col: str = "page_id", url_col: str = "url",
+    urls: DataFrame, rules: Sequence[Rule] = (), strict: Terms = STRICT_TERMS,
+    soft: Terms = SOFT_TERMS, soft_limit: int = 2, id_col: str = "page_id", url_col: str = "url",
 ) -> DataFrame:
     """A row of `VERDICT` per URL: the longest fitting rule decides, else the vocabulary.
 
     A map over the rows: no shuffle, and each task builds the automaton once.
     """
     ship_package(urls.sparkSession)
-    rules, strict, soft = tuple(rules), tuple(strict), tuple(soft)
+    rules = tuple(rules)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ruled, words = RuleSet(rules), Vocabulary(strict, soft)

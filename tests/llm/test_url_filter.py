@@ -1,5 +1,5 @@
 from opsmetrics.llm.queries import URL_RULES
-from opsmetrics.llm.url_filter import RuleSet, Vocabulary, judge_urls, split_url
+from opsmetrics.llm.url_filter import SOFT_TERMS, STRICT_TERMS, RuleSet, Vocabulary, forms, judge_urls, split_url
 
 
 def judged(spark, urls):
@@ -43,3 +43,25 @@ def test_longest_rule_is_by_host_and_path():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert judge_urls(df, URL_RULES).count() == 0
+
+
+def test_forms_and_languages():
+    assert forms("lottery", "en") == ("lottery", "lotteries") and forms("jeu", "fr") == ("jeu", "jeux")
+    assert forms("wette", "de") == ("wette", "wetten") and forms("ganador", "es") == ("ganador", "ganadores")
+    words = Vocabulary(STRICT_TERMS, SOFT_TERMS)
+    assert not set(STRICT_TERMS) & set(SOFT_TERMS)
+    assert words.count("bets.org/bet/winner")[2] == 2  # two terms, three hits
+    assert words.count("x.de/wetten/gewinn")[2] == 2 and words.count("x.fr/jeux/loterie")[2] == 2 and words.count("x.es/apuestas/premios")[2] == 2
+
+
+def test_honest_urls_are_left_alone():
+    """URLs that share letters or single words with the vocabulary."""
+    words = Vocabulary(STRICT_TERMS, SOFT_TERMS)
+    honest = [
+        "www.essex.gov.uk/adult-education", "sussex.ac.uk/course/analysis", "shop.example.org/track/x", "en.wikipedia.org/wiki/Poker",
+        "therapist.example.org/free", "docs.example.org/download/latest", "www.expertsexchange.com/", "news.example.org/winter/alphabet",
+        "bank.example.de/kredit", "biblio.example.fr/jeu", "museo.example.es/gratis", "gnu.org/software/free-software",
+        "postal.example.org/tracking/123", "cassino.example.it/", "farmland.example.org/cheapside", "betty.example.org/slotted/spoon"]
+    for url in honest:
+        strict, _, distinct = words.count(url)
+        assert not strict and distinct < 2, url
