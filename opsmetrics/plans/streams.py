@@ -154,9 +154,10 @@ def st_run_sessions_repaired(spark, sf):
 @query("st_alert_outbox", f"""
 WITH {ME}, h AS (SELECT *, CAST(NULL AS VARCHAR) AS hook FROM me WHERE is_alert) SELECT event_key, {CHANNEL} AS channel, severity FROM h""")
 def st_alert_outbox(spark, sf):
-    out = _drain(spark, sf, lambda src, dst, state: jobs.run_batches(
-        jobs.read_stream(spark, src, None), jobs.outbox_handler(dst), state), "outbox")
-    return spark.read.parquet(out).select("event_key", "channel", "severity")
+    arrived, out = _arrive(spark, sf, lambda src, dst, state: jobs.run_to_table(
+        jobs.outbox(arrivals.stream_on_time(spark, src)), dst, state), "outbox")
+    late = jobs.outbox(arrivals.fresh_late(arrivals.stored(spark, arrived)))
+    return spark.read.parquet(out).unionByName(late).select("event_key", "channel", "severity")
 
 
 @query("st_staleness", f"""

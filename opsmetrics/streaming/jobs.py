@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 
 from opsmetrics.functions import clock, severity
 from opsmetrics.operators import alerts, rollup
-from opsmetrics.operators.exact import first_per_key
 from opsmetrics.schema import METRIC_EVENT
 from opsmetrics.session import path_exists
 from opsmetrics.sources import adapters, stores
-from opsmetrics.sources.events import with_run_date
 
 LATENESS = "6 hours"
 
@@ -145,24 +143,10 @@ def run_batches(
     query.awaitTermination()
 
 
-def outbox_handler(path: str) -> Callable[[DataFrame, int], None]:
-    """st_alert_outbox: one outbox row per alert. A batch owns its partitions and only looks at
-    earlier ones of its own event days, so running it again writes the same rows and a batch
-    never reads the whole outbox."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = with_run_date(first_per_key(
-            alerts.route_alert(batch.where("is_alert")).select("event_key", "channel", "severity", "occurred_at"),
-            ["event_key"], F.col("occurred_at"))).withColumn("batch_id", F.lit(batch_id))
-        if path_exists(spark, path):
-            done = spark.read.schema(fresh.schema).parquet(path).where(
-                (F.col("batch_id") < batch_id) & stores.within("run_date", stores.touched(fresh, "run_date")))
-            fresh = fresh.join(done.select("event_key"), "event_key", "left_anti")
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "batch_id", "run_date").parquet(path)
-
-    return handle
+def outbox(rows: DataFrame) -> DataFrame:
+    """st_alert_outbox: one outbox row per alert. Over the on-time arrivals as a stream, each alert comes
+    once by the keys remembered inside the watermark; over `arrivals.fresh_late` as a batch, the late ones."""
+    return alerts.route_alert(rows.where("is_alert")).select("event_key", "channel", "severity", "occurred_at")
 
 
 def late_audit_handler(path: str, lateness: timedelta = timedelta(hours=6)) -> Callable[[DataFrame, int], None]:
