@@ -132,9 +132,13 @@ GRAM = 4
 def _grams(df: DataFrame, sizes: range, *keep: str) -> DataFrame:
     """The distinct substrings of `norm` of these sizes: linear in its length."""
     s = F.col("norm")
-    pieces = [F.when(F.length(s) >= n, F.transform(
-        F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i, n=n: F.substring(s, i, n))).otherwise(F.array().cast("array<string>"))
-        for n in sizes]
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(s) - (n - 1))
+        return F.when(F.length(s) >= n, F.transform(starts, lambda i: F.substring(s, i, n))).otherwise(
+            F.array().cast("array<string>"))
+
+    pieces = [of_size(n) for n in sizes]
     return df.select("norm", *keep, F.explode(F.array_distinct(F.concat(*pieces))).alias("gram"))
 
 

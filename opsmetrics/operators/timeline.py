@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opsmetrics.functions import clock, names, severity, text
 from opsmetrics.operators import filters
+from opsmetrics.session import stage
 
 COUNTED = ("warning", "error", "critical", "noload", "running")
 # --- fixed values -----------------------------------------------------------
@@ -273,7 +274,7 @@ def lanes(
     start, end = opts.bounds(now)
     clock_now = live_now or now
     rows = visible(filters.window(events, max(now, end), opts.lookback_days), opts.rules)
-    acts = activity(rows, start, end, opts.unit)
+    acts = stage(activity(rows, start, end, opts.unit), "activity")  # narrow; counts and sessions read it
     counts = _counts(acts).where(F.col("events") > 0)
     plan = schedule(session_starts(acts.select("pipeline_name", "bucket"), opts.session_gap_s),
                     opts.jitter_limit)
