@@ -51,3 +51,31 @@ def test_run_is_registered_and_gives_the_last_stage(spark):
     out = entry.queries()["pipeline"](spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
     assert len(pipeline.STAGES) == 5 and pipeline.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
+
+
+CLASHES = {"id": 1, "row": 2, "digest": "x", "copy": 3, "fp": 4, "size": 5, "seq": 6, "piece": "p", "keep_id": 7, "number": 8}
+
+
+def test_stages_with_null_ids_long_texts_and_clashing_columns(spark, docs):
+    """Every stage keeps all columns as they are; clean documents without an id go through all of them."""
+    words = " ".join(f"word{i}" for i in range(400))
+    rows = [(i, f"a document of its own number {i} about topic {i * 7919} " * 3, "en", f"src{i % 3}", 1) for i in range(30)]
+    rows += [(None, words, "en", None, 1), (None, "another text without an id " + words[:300], "en", "src1", 1), (40, None), (41, ""), (41, ""),
+             (50, "word " * 300_000, "en", "src2", 1), (3, "a second text under an id that is used " + words[500:900], "en", "src0", 1)]
+    df = docs(rows, **CLASHES)
+    for name, step in pipeline.STAGES[1:]:
+        out = stage(step(spark, df, SF), "edges")
+        if name != "best-fit packing":
+            assert out.columns == docs(rows, **CLASHES).columns
+            ids = Counter(r.doc_id for r in out.select("doc_id").collect())
+            assert ids[None] >= 2 and set(range(30)) <= set(ids), name
+            assert out.where("digest = 'x' AND piece = 'p' AND number = 8").count() == out.count()
+        df = out
+    assert df.where("doc_id IS NULL").count() >= 2 and df.agg({"length": "max"}).first()[0] == 4096
+
+
+def test_stages_over_an_empty_table(spark, docs):
+    df = docs([], **CLASHES)
+    for name, step in pipeline.STAGES:
+        df = stage(step(spark, df, SF), "empty")
+        assert df.count() == 0, name
