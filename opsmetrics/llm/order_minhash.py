@@ -28,11 +28,13 @@ from opsmetrics.session import stage
 K = 2
 KEPT = 2
 BIN_BITS = 5
-# --- fixed values: scripts written without gaps, and the characters after which a token is cut
-_SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+# --- fixed values: letters of scripts written without gaps (South-East Asian, kana, Han), and the
+# characters after which a token is cut
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _CUT = "jkqxzJKQXZ0-2/=&_-"
-_LONGEST = 16
-PIECE = rf"[{_SINGLE}]|[^\x20\x09-\x0D{_SINGLE}{_CUT}]{{0,{_LONGEST - 1}}}[{_CUT}]|[^\x20\x09-\x0D{_SINGLE}{_CUT}]{{1,{_LONGEST}}}"
+_LONGEST = 15
+# in one pass and without going back: up to 15 plain characters and the cut after them, or one of the others alone
+PIECE = rf"[^\x20\x09-\x0D{_SINGLE}{_CUT}]{{1,{_LONGEST}}}+[{_CUT}]?+|[{_SINGLE}{_CUT}]"
 # A k-mer travels as one long: its hash above, its position below. 28 bits hold any position,
 # because a Spark array has fewer than 2^28 longs.
 _AT_BITS = 28
